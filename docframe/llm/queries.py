@@ -18,6 +18,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import RULES, joined, labelled, scan, train
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = scan(docs, train(labelled(spark, docs)))
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("secrets", lambda s: s["kind"] != "markov")
+    counts = [of(k).alias(f"n_{k}") for k in [*RULES, "markov"]]
+    return found.select("doc_id", *counts[:-1], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), counts[-1])
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -25,5 +36,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op6_simhash": op6_simhash, "op10_language_id": op10_language_id}
+QUERIES = {"op1_secrets": op1_secrets, "op6_simhash": op6_simhash, "op10_language_id": op10_language_id}
 ORACLE_SQL: dict[str, str] = {}
