@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
 from ._common import documents, remainder
 
 
@@ -29,6 +30,13 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts[:-1], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), counts[-1])
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    found = mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return found.select("doc_id", "source", "copy", F.round("rate", 6).alias("rate"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "position")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -36,5 +44,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op6_simhash": op6_simhash, "op10_language_id": op10_language_id}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op6_simhash": op6_simhash, "op10_language_id": op10_language_id}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.oracle()}
