@@ -37,6 +37,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "copy", F.round("rate", 6).alias("rate"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "position")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -44,5 +52,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op6_simhash": op6_simhash, "op10_language_id": op10_language_id}
+QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op6_simhash": op6_simhash, "op10_language_id": op10_language_id}
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.oracle()}
