@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, quality
 from ._common import documents, remainder
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import assess
+
+    return assess(documents(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lang_id import identify, train
 
@@ -52,5 +58,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op6_simhash": op6_simhash, "op10_language_id": op10_language_id}
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.oracle()}
+QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op6_simhash": op6_simhash, "op9_quality": op9_quality, "op10_language_id": op10_language_id}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.oracle(), "op9_quality": quality.oracle()}
