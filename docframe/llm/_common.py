@@ -17,7 +17,9 @@ WORD_RE = re.compile(WORD)
 ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 BYTES_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-_tables: list[tuple[SparkSession, str]] = []
+#: Tables written to the shared folder, with the scope that was current then.
+_tables: list[tuple[SparkSession, str, str]] = []
+_scope = ""
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,28 +38,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as a Parquet table in the shared folder and read from there: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docframe/{name}-{uuid.uuid4().hex}"
-    _tables.append((spark, path))
+    register(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """A position for :func:`release`."""
-    return len(_tables)
+def register(spark: SparkSession, path: str) -> None:
+    """The folder is deleted with the current scope, at the latest when Python ends."""
+    _tables.append((spark, path, _scope))
 
 
-def release(since: int = 0, until: int | None = None) -> None:
-    """Delete the tables that :func:`stored` wrote in between; their readers must have ended."""
-    for spark, path in _tables[since:until]:
+def scope(name: str) -> None:
+    """Tables belong to this scope from now on."""
+    global _scope
+    _scope = name
+
+
+def release_scope(name: str | None = None) -> None:
+    """Delete a scope's tables, or all; their readers must have ended."""
+    for item in [x for x in _tables if name is None or x[2] == name]:
+        spark, path, _ = item
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session has ended
             pass
-    del _tables[since:until]
+        _tables.remove(item)
 
 
-atexit.register(release)
+atexit.register(release_scope)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
