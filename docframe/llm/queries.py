@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import fingerprints, mixing, quality, sharding
 from ._common import documents, remainder
 
 
@@ -58,5 +58,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op6_simhash": op6_simhash, "op9_quality": op9_quality, "op10_language_id": op10_language_id}
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.oracle(), "op9_quality": quality.oracle()}
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edited, fingerprint, following, likeness
+
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = following(docs.withColumn("fingerprint", fingerprint(F.col("text"))), id="doc_id", carry=["text", "fingerprint"])
+    rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
+    near = lambda name: likeness(F.col("fingerprint"), F.col(name))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import descend, shard, topology
+
+    text = F.coalesce("text", F.lit(""))
+    docs = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = shard(docs, topology(8), crc="text_crc32")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", descend(topology(9), F.col("doc_id")).alias("grown_shard"))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_fingerprints": op4_fingerprints, "op6_simhash": op6_simhash, "op7_sharding": op7_sharding, "op9_quality": op9_quality, "op10_language_id": op10_language_id}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.oracle(), "op4_fingerprints": fingerprints.oracle(), "op7_sharding": sharding.oracle(), "op9_quality": quality.oracle()}
