@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, quality, sharding
+from . import fingerprints, mixing, quality, repeats, sharding
 from ._common import documents, remainder
 
 
@@ -78,5 +78,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", descend(topology(9), F.col("doc_id")).alias("grown_shard"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_fingerprints": op4_fingerprints, "op6_simhash": op6_simhash, "op7_sharding": op7_sharding, "op9_quality": op9_quality, "op10_language_id": op10_language_id}
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.oracle(), "op4_fingerprints": fingerprints.oracle(), "op7_sharding": sharding.oracle(), "op9_quality": quality.oracle()}
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import deduplicate
+
+    return deduplicate(documents(spark, sf_dir), keep_text=False)
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_fingerprints": op4_fingerprints, "op6_simhash": op6_simhash, "op7_sharding": op7_sharding, "op8_repeats": op8_repeats, "op9_quality": op9_quality, "op10_language_id": op10_language_id}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.oracle(), "op4_fingerprints": fingerprints.oracle(), "op7_sharding": sharding.oracle(), "op8_repeats": repeats.oracle(), "op9_quality": quality.oracle()}
