@@ -69,6 +69,14 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hpylm import score, train
+
+    docs = documents(spark, sf_dir)
+    test = remainder(F.col("doc_id"), 7) == 2
+    return score(docs, train(docs.filter(~test)), held_out=test)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import descend, shard, topology
 
@@ -84,5 +92,5 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(documents(spark, sf_dir), keep_text=False)
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_fingerprints": op4_fingerprints, "op6_simhash": op6_simhash, "op7_sharding": op7_sharding, "op8_repeats": op8_repeats, "op9_quality": op9_quality, "op10_language_id": op10_language_id}
+QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_fingerprints": op4_fingerprints, "op5_language_model": op5_language_model, "op6_simhash": op6_simhash, "op7_sharding": op7_sharding, "op8_repeats": op8_repeats, "op9_quality": op9_quality, "op10_language_id": op10_language_id}
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.oracle(), "op4_fingerprints": fingerprints.oracle(), "op7_sharding": sharding.oracle(), "op8_repeats": repeats.oracle(), "op9_quality": quality.oracle()}
