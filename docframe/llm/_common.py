@@ -40,7 +40,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/docframe/{name}-{uuid.uuid4().hex}"
     register(spark, path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.docframe_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of :func:`stored`; its readers must have ended."""
+    _delete(lambda item: item[1] == table.docframe_path)
 
 
 def register(spark: SparkSession, path: str) -> None:
@@ -56,7 +63,11 @@ def scope(name: str) -> None:
 
 def release_scope(name: str | None = None) -> None:
     """Delete a scope's tables, or all; their readers must have ended."""
-    for item in [x for x in _tables if name is None or x[2] == name]:
+    _delete(lambda item: name is None or item[2] == name)
+
+
+def _delete(chosen) -> None:
+    for item in [x for x in _tables if chosen(x)]:
         spark, path, _ = item
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BYTES_LOWER, stored, text_of
+from ._common import BYTES_LOWER, discard, stored, text_of
 from .repeats import mix
 
 #: Bits of the class of the word before, and of the word before that.
@@ -41,7 +41,20 @@ END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_K))
-_pack, _load = (lambda x: zstandard.ZstdCompressor(level=1).compress(x)), (lambda x: zstandard.ZstdDecompressor().decompress(x))
+
+
+def pack(x: np.ndarray, kind: str, delta: bool = False) -> bytes:
+    """An array's cell: differences if asked, the bytes of one place together, compressed."""
+    x = np.asarray(x).astype(kind)
+    if delta:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view("u1").reshape(-1, x.itemsize).T.tobytes())
+
+
+def load(cell: bytes, kind: str, delta: bool = False) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), "u1")
+    x = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if delta else x
 
 
 class Words:
@@ -103,6 +116,12 @@ def _grouped(batches, column: int, most: int):
 
 # counts
 
+STATE = ["words", "n", "ctx", "count"]
+
+
+def entry_cells(words: np.ndarray, n: np.ndarray, key: np.ndarray, count: np.ndarray) -> list[bytes]:
+    return [pack(words, "<u8", True), pack(n, "<u4"), pack(key & ((1 << (BITS1 + BITS2)) - 1), "<u2"), pack(count, "<u4")]
+
 
 def count_blocks(batches, buckets: int):
     """Rows (bucket, words, n, ctx, count) of a task's training texts; n is the number of contexts of each word."""
@@ -122,8 +141,8 @@ def count_blocks(batches, buckets: int):
             a2, b2 = a + int((bucket == x).sum()), b + int(n[bucket == x].sum())
             w, e = by_word[a:a2], order[b:b2]
             a, b = a2, b2
-            cols = [own[w].astype("<u8"), n[w].astype("<u4"), (key[e] & ((1 << (BITS1 + BITS2)) - 1)).astype("<u2"), count[e].astype("<u4")]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *[pa.array([_pack(c.tobytes())], pa.binary()) for c in cols]], ["bucket", "words", "n", "ctx", "count"])
+            cells = entry_cells(own[w], n[w], key[e], count[e])
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], ["bucket", *STATE])
 
     for _, texts in _grouped(batches, 0, PIECE):
         token, ctx, _ = words(texts)
@@ -136,17 +155,14 @@ def count_blocks(batches, buckets: int):
         yield from flush()
 
 
-STATE = ["words", "n", "ctx", "count"]
-
 
 def merge_counts(t: pa.Table) -> pa.Table:
     """One row for a bucket, and its sizes: words, tokens, and how many have been counted once or twice at each level."""
     word, ctx, count = [], [], []
     for r in t.to_pylist():
-        n = np.frombuffer(_load(r["n"]), "<u4")
-        word.append(np.repeat(np.frombuffer(_load(r["words"]), "<u8"), n))
-        ctx.append(np.frombuffer(_load(r["ctx"]), "<u2"))
-        count.append(np.frombuffer(_load(r["count"]), "<u4"))
+        word.append(np.repeat(load(r["words"], "<u8", True), load(r["n"], "<u4")))
+        ctx.append(load(r["ctx"], "<u2"))
+        count.append(load(r["count"], "<u4"))
     word, ctx, count = np.concatenate(word), np.concatenate(ctx), np.concatenate(count).astype(np.int64)
     own, at = np.unique(word, return_inverse=True)
     key, to = np.unique(at.astype(np.int64) << (BITS1 + BITS2) | ctx, return_inverse=True)
@@ -155,9 +171,8 @@ def merge_counts(t: pa.Table) -> pa.Table:
     kinds0 = np.bincount(kinds1[0] >> BITS1)
     once = [int((x == k).sum()) for x in (kinds0, kinds1[1], total) for k in (1, 2)]
     n = np.bincount(key >> (BITS1 + BITS2), minlength=len(own))
-    cols = [own.astype("<u8"), n.astype("<u4"), (key & ((1 << (BITS1 + BITS2)) - 1)).astype("<u2"), total.astype("<u4")]
     arrays = [t["bucket"].combine_chunks()[:1].cast(pa.int32()), pa.array([len(own)], pa.int64()), pa.array([int(total.sum())], pa.int64()), pa.array([once], pa.list_(pa.int64()))]
-    return pa.table([*arrays, *[pa.array([_pack(c.tobytes())], pa.binary()) for c in cols]], names=["bucket", "v", "tokens", "once", *STATE])
+    return pa.table([*arrays, *[pa.array([c], pa.binary()) for c in entry_cells(own, n, key, total)]], names=["bucket", "v", "tokens", "once", *STATE])
 
 
 # seating
@@ -190,10 +205,10 @@ class Bucket:
     """Words of a bucket with their entries at each level: (word, class of two), (word, class of one), word."""
 
     def __init__(self, row: dict) -> None:
-        self.words = np.frombuffer(_load(row["words"]), "<u8")
-        n = np.frombuffer(_load(row["n"]), "<u4")
-        self.ctx2 = np.frombuffer(_load(row["ctx"]), "<u2").astype(np.int64)
-        self.c2 = np.frombuffer(_load(row["count"]), "<u4").astype(np.int64)
+        self.words = load(row["words"], "<u8", True)
+        n = load(row["n"], "<u4")
+        self.ctx2 = load(row["ctx"], "<u2").astype(np.int64)
+        self.c2 = load(row["count"], "<u4").astype(np.int64)
         self.key2 = np.repeat(np.arange(len(n)), n) << (BITS1 + BITS2) | self.ctx2
         self.key1, self.up2 = np.unique(self.key2 >> BITS2, return_inverse=True)
         self.ctx1, self.up1 = self.key1 & ((1 << BITS1) - 1), self.key1 >> BITS1
@@ -207,67 +222,83 @@ class Bucket:
 
 
 class Tables:
-    """Table sizes of many (restaurant, word) entries, in order of their owners."""
+    """Table sizes of many (restaurant, word) entries, in order of their owners, with each owner's customers and tables."""
 
     def __init__(self, owner: np.ndarray, size: np.ndarray, n: int) -> None:
         self.owner, self.size, self.n = owner, size, n
-
-    def customers(self) -> np.ndarray:
-        return np.bincount(self.owner, self.size, self.n).astype(np.int64)
-
-    def count(self) -> np.ndarray:
-        return np.bincount(self.owner, minlength=self.n)
+        self.customers = np.bincount(owner, size, n).astype(np.int64)
+        self.count = np.bincount(owner, minlength=n)
 
     def _pick(self, who: np.ndarray, weight: np.ndarray, rng) -> np.ndarray:
         """A table of each owner, drawn by weight."""
         sums = np.cumsum(weight)
-        first = np.searchsorted(self.owner, who)
-        last = np.searchsorted(self.owner, who, side="right") - 1
+        last = np.cumsum(self.count)[who] - 1
+        first = last - self.count[who] + 1
         low = sums[first] - weight[first]
         at = np.searchsorted(sums, low + rng.random(len(who)) * (sums[last] - low), side="right")
         return np.clip(at, first, last)
 
     def leave(self, who: np.ndarray, rng) -> None:
         """One customer, drawn evenly, of each owner leaves."""
-        self.size[self._pick(who, self.size.astype(np.float64), rng)] -= 1
-        stay = self.size > 0
-        self.owner, self.size = self.owner[stay], self.size[stay]
+        at = self._pick(who, self.size.astype(np.float64), rng)
+        self.size[at] -= 1
+        self.customers[who] -= 1
+        gone = self.size[at] == 0
+        if gone.any():
+            self.count[who[gone]] -= 1
+            self.owner, self.size = np.delete(self.owner, at[gone]), np.delete(self.size, at[gone])
 
     def sit(self, who: np.ndarray, fresh: np.ndarray, discount: float, rng) -> None:
         """One customer sits down for each owner; ``fresh`` is the weight of a new table."""
-        if not len(who):
-            return
-        c, t = self.customers()[who], self.count()[who]
-        old = c - discount * t
-        opens = (c == 0) | (rng.random(len(who)) * (old + fresh) < fresh)
-        there = who[~opens]
+        c, t = self.customers[who], self.count[who]
+        opens = (c == 0) | (rng.random(len(who)) * (c - discount * t + fresh) < fresh)
+        there, new = who[~opens], who[opens]
         if len(there):
             self.size[self._pick(there, self.size - discount, rng)] += 1
-        if opens.any():
-            owner = np.concatenate([self.owner, who[opens]])
-            order = np.argsort(owner, kind="stable")
-            self.owner, self.size = owner[order], np.concatenate([self.size, np.ones(int(opens.sum()), np.int64)])[order]
+        if len(new):
+            at = np.cumsum(self.count)[new]  # after the owner's last table
+            self.owner, self.size = np.insert(self.owner, at, new), np.insert(self.size, at, 1)
+            self.count[new] += 1
+        self.customers[who] += 1
+
+    def part(self, own: np.ndarray) -> Tables:
+        """The entries ``own``, numbered from 0."""
+        place = np.full(self.n, -1)
+        place[own] = np.arange(len(own))
+        inside = place[self.owner] >= 0
+        return Tables(place[self.owner[inside]], self.size[inside], len(own))
+
+    def without(self, own: np.ndarray, part: Tables) -> Tables:
+        """The same with the entries ``own`` as in ``part``."""
+        out = np.zeros(self.n, bool)
+        out[own] = True
+        rest = ~out[self.owner]
+        owner = np.concatenate([self.owner[rest], own[part.owner]])
+        order = np.argsort(owner, kind="stable")
+        return Tables(owner[order], np.concatenate([self.size[rest], part.size])[order], self.n)
+
+    def fill(self, target: np.ndarray, fresh: np.ndarray, discount: float, rng, steps: int = 4) -> Tables:
+        """Customers leave or sit down until there are as many as ``target`` says."""
+        out = self
+        for _ in range(steps):
+            if len(who := np.flatnonzero(out.customers > target)):
+                out.leave(who, rng)
+            if len(who := np.flatnonzero(out.customers < target)):
+                out.sit(who, fresh[who], discount, rng)
+        if len(own := np.flatnonzero(out.customers != target)):  # few are far off: on with these alone
+            return out.without(own, out.part(own).fill(target[own], fresh[own], discount, rng, 2 * steps))
+        return out
 
     def sweep(self, target: np.ndarray, fresh: np.ndarray, discount: float, rounds: int, rng) -> Tables:
         """Seats as many customers as ``target`` says and seats ``rounds`` customers of every entry anew."""
-        many = (target > 1) | (self.customers() > 1)
-        own = np.flatnonzero(many)
-        place = np.cumsum(many) - 1
-        inside = many[self.owner]
-        part = Tables(place[self.owner[inside]], self.size[inside].copy(), len(own))
+        own = np.flatnonzero((target > 1) | (self.customers > 1))
         aim, new = target[own], fresh[own]
-        while len(who := np.flatnonzero(part.customers() > aim)):
-            part.leave(who, rng)
-        while len(who := np.flatnonzero(part.customers() < aim)):
-            part.sit(who, new[who], discount, rng)
+        part = self.part(own).fill(aim, new, discount, rng)
         who = np.flatnonzero(aim > 1)
         for _ in range(rounds if len(who) else 0):
             part.leave(who, rng)
             part.sit(who, new[who], discount, rng)
-        single = np.flatnonzero(~many)
-        owner = np.concatenate([single, own[part.owner]])
-        order = np.argsort(owner, kind="stable")
-        return Tables(owner[order], np.concatenate([np.ones(len(single), np.int64), part.size])[order], self.n)
+        return self.without(own, part)
 
 
 def first_tables(target: np.ndarray, fresh: np.ndarray, discount: float, rng) -> Tables:
@@ -300,20 +331,20 @@ def sweep_rows(batches, totals: Totals, sweep: int, rounds: int, keep: bool):
                 c0 = np.bincount(own.up1[own.up2], own.c2, len(own.words))
                 even = c0 / max(1, totals.tokens)
                 two = first_tables(own.c2, totals.open(2, own.ctx2) * even[own.up1[own.up2]], totals.discount[2], rng)
-                c1 = np.bincount(own.up2, two.count(), len(own.key1)).astype(np.int64)
+                c1 = np.bincount(own.up2, two.count, len(own.key1)).astype(np.int64)
                 one = first_tables(c1, totals.open(1, own.ctx1) * even[own.up1], totals.discount[1], rng)
-                c0 = np.bincount(own.up1, one.count(), len(own.words)).astype(np.int64)
+                c0 = np.bincount(own.up1, one.count, len(own.words)).astype(np.int64)
                 zero = first_tables(c0, np.full(len(c0), 1e-6), totals.discount[0], rng)
             else:
-                zero, one, two = (Tables(np.repeat(np.arange(n), np.frombuffer(_load(c), "<u4")), np.frombuffer(_load(s), "<u4").astype(np.int64), n) for n, c, s in zip(own.sizes(), row["tables"], row["seats"], strict=True))
-                p0, p1 = own.chances(totals, zero.customers(), zero.count(), one.customers(), one.count())
+                zero, one, two = (Tables(np.repeat(np.arange(n), load(c, "<u4")), load(s, "<u4").astype(np.int64), n) for n, c, s in zip(own.sizes(), row["tables"], row["seats"], strict=True))
+                p0, p1 = own.chances(totals, zero.customers, zero.count, one.customers, one.count)
                 two = two.sweep(own.c2, totals.open(2, own.ctx2) * p1[own.up2], totals.discount[2], rounds, rng)
-                c1 = np.bincount(own.up2, two.count(), len(own.key1)).astype(np.int64)
+                c1 = np.bincount(own.up2, two.count, len(own.key1)).astype(np.int64)
                 one = one.sweep(c1, totals.open(1, own.ctx1) * p0[own.up1], totals.discount[1], rounds, rng)
-                c0 = np.bincount(own.up1, one.count(), len(own.words)).astype(np.int64)
+                c0 = np.bincount(own.up1, one.count, len(own.words)).astype(np.int64)
                 zero = zero.sweep(c0, np.full(len(c0), float(totals.open(0, 0)) * totals.known()), totals.discount[0], rounds, rng)
-            row["tables"] = [_pack(x.count().astype("<u4").tobytes()) for x in (zero, one, two)]
-            row["seats"] = [_pack(x.size.astype("<u4").tobytes()) for x in (zero, one, two)]
+            row["tables"] = [pack(x.count, "<u4") for x in (zero, one, two)]
+            row["seats"] = [pack(x.size, "<u4") for x in (zero, one, two)]
             row["samples"] = row["samples"] + row["tables"] * keep
             yield pa.RecordBatch.from_pylist([row], b.schema)
 
@@ -324,7 +355,7 @@ def sum_rows(batches):
     for b in batches:
         for row in b.to_pylist():
             own = Bucket(row)
-            t = [np.frombuffer(_load(c), "<u4") for c in row["tables"]] if row["tables"] else [np.ones(n) for n in own.sizes()]
+            t = [load(c, "<u4") for c in row["tables"]] if row["tables"] else [np.ones(n) for n in own.sizes()]
             c = [np.bincount(own.up1, t[1], len(own.words)), np.bincount(own.up2, t[2], len(own.key1)), own.c2]
             for level, ctx in enumerate((np.zeros(len(own.words), np.int64), own.ctx1, own.ctx2)):
                 n = sums[level].shape[1]
@@ -358,7 +389,7 @@ def train(docs: DataFrame, *, text: str = "text", burn_in: int = 1, samples: int
     names = ", ".join(f"{n} binary" for n in STATE)
     counted = body.mapInArrow(lambda it: count_blocks(it, buckets), f"bucket int, {names}")
     merged = counted.groupBy("bucket").applyInArrow(merge_counts, f"bucket int, v long, tokens long, once array<bigint>, {names}")
-    state = stored(merged, "counts")
+    state = merged = stored(merged, "counts")
     sizes = state.select("bucket", "v", "tokens", "once").collect()  # a few numbers a bucket
     once = np.array([r.once for r in sizes], np.int64).reshape(-1, 6).sum(axis=0)
     discount = [float(np.clip(a / max(1, a + 2 * b), 0.05, 0.95)) for a, b in once.reshape(3, 2)]
@@ -377,7 +408,8 @@ def train(docs: DataFrame, *, text: str = "text", burn_in: int = 1, samples: int
     found, now = [], total(state)
     for k in range(1 + burn_in + samples):
         keep = k > burn_in
-        state = stored(state.mapInArrow(lambda it, now=now, k=k, keep=keep: sweep_rows(it, now, k, rounds, keep), SCHEMA), "seating")
+        before, state = state, stored(state.mapInArrow(lambda it, now=now, k=k, keep=keep: sweep_rows(it, now, k, rounds, keep), SCHEMA), "seating")
+        discard(before if k else merged)
         now = total(state)
         if keep:
             found.append(now)
@@ -407,14 +439,14 @@ def post(batches, buckets: int, split: dict[int, int]):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, docs.schema) as w:
             w.write_table(docs)
-        rows = [(-1, block % 1000003, block, sink.getvalue().to_pybytes(), n.astype("<u4").tobytes(), b"", b"")]
+        rows = [(-1, block % 1000003, block, pack(np.frombuffer(sink.getvalue(), "u1"), "u1"), pack(n, "<u4"), None, None)]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(token_bucket)) + 1, [len(order)]])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             x, e = int(token_bucket[a]), order[a:b]
             kinds, times = np.unique(at[e], return_counts=True)
-            rows.append((x, block % split.get(x, 1), block, own[kinds].astype("<u8").tobytes(), times.astype("<u4").tobytes(), doc[e].astype("<u4").tobytes(), ctx[e].astype("<u2").tobytes()))
+            rows.append((x, block % split.get(x, 1), block, pack(own[kinds], "<u8", True), pack(times, "<u4"), pack(doc[e], "<i4", True), pack(ctx[e], "<u2")))
         for x in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int32()), pa.array([x[1]], pa.int32()), pa.array([x[2]], pa.int64()), *[pa.array([_pack(y)], pa.binary()) for y in x[3:]], pa.array([None], pa.list_(pa.binary()))], POST)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int32()), pa.array([x[1]], pa.int32()), pa.array([x[2]], pa.int64()), *[pa.array([y], pa.binary()) for y in x[3:]], pa.array([None], pa.list_(pa.binary()))], POST)
 
     for rows, texts in _grouped(batches, 2, PIECE):
         token, ctx, doc = words(texts)
@@ -441,14 +473,14 @@ def score_bucket(t: pa.Table, totals: list[Totals], schema: pa.Schema) -> pa.Tab
     if own:
         c = np.bincount(own.up1[own.up2], own.c2, len(own.words)).astype(np.int64)
         for k, totals_k in enumerate(totals):
-            t0, t1, t2 = (np.frombuffer(_load(x), "<u4").astype(np.int64) for x in state["samples"][3 * k : 3 * k + 3])
+            t0, t1, t2 = (load(x, "<u4").astype(np.int64) for x in state["samples"][3 * k : 3 * k + 3])
             chances.append((*own.chances(totals_k, np.bincount(own.up1, t1, len(own.words)), t0, np.bincount(own.up2, t2, len(own.key1)), t1), t2))
     out = []
     for r in rows:
         if r["samples"] is not None:
             continue
-        kinds, times = np.frombuffer(_load(r["words"]), "<u8"), np.frombuffer(_load(r["n"]), "<u4")
-        doc, ctx2 = np.frombuffer(_load(r["ctx"]), "<u4"), np.frombuffer(_load(r["count"]), "<u2").astype(np.int64)
+        kinds, times = load(r["words"], "<u8", True), load(r["n"], "<u4")
+        doc, ctx2 = load(r["ctx"], "<i4", True), load(r["count"], "<u2").astype(np.int64)
         ctx1 = ctx2 >> BITS2
         if own:
             at = np.minimum(np.searchsorted(own.words, kinds), len(own.words) - 1)
@@ -476,21 +508,21 @@ def score_bucket(t: pa.Table, totals: list[Totals], schema: pa.Schema) -> pa.Tab
         docs, to = np.unique(doc, return_inverse=True)
         base = np.bincount(to, np.log10((count + 1) / (some.tokens + some.v + 1)))
         score = np.bincount(to, np.log10(p / len(totals)))
-        out.append([r["block"], _pack(docs.astype("<u4").tobytes()), None, _pack(np.bincount(to, known).astype("<u4").tobytes()), _pack(base.astype("<f8").tobytes()), _pack(score.astype("<f8").tobytes())])
+        out.append([r["block"], pack(docs, "<i4", True), None, pack(np.bincount(to, known), "<u4"), pack(base, "<f8"), pack(score, "<f4")])
     return pa.table([pa.array([x[i] for x in out], schema.field(i).type) for i in range(6)], schema=schema)
 
 
 def sum_block(t: pa.Table, schema: pa.Schema, tokens: int) -> pa.Table:
     rows = t.to_pylist()
     head = next(r for r in rows if r["n"] is not None)
-    docs = pa.ipc.open_stream(_load(head["docs"])).read_all()
-    n = np.frombuffer(_load(head["n"]), "<u4")
+    docs = pa.ipc.open_stream(load(head["docs"], "u1").tobytes()).read_all()
+    n = load(head["n"], "<u4")
     known, base, score = (np.zeros(len(n)) for _ in range(3))
     for r in rows:
         if r["n"] is None:
-            at = np.frombuffer(_load(r["docs"]), "<u4")
-            for to, x, kind in ((known, r["known"], "<u4"), (base, r["base"], "<f8"), (score, r["score"], "<f8")):
-                to[at] += np.frombuffer(_load(x), kind)
+            at = load(r["docs"], "<i4", True)
+            for to, x, kind in ((known, r["known"], "<u4"), (base, r["base"], "<f8"), (score, r["score"], "<f4")):
+                to[at] += load(x, kind)
     arrays = [docs["id"].combine_chunks(), docs["held"].combine_chunks(), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(score)]
     return pa.table(arrays, schema=schema)
 

@@ -70,7 +70,7 @@ def test_probabilities_sum_to_one(spark):
     for ctx2 in (int(buckets[0][0].ctx2[0]), 77):
         ctx1, whole = ctx2 >> H.BITS2, 0.0
         for own, samples in buckets:
-            t0, t1, t2 = (np.frombuffer(H._load(x), "<u4").astype(int) for x in samples[k : k + 3])
+            t0, t1, t2 = (H.load(x, "<u4").astype(int) for x in samples[k : k + 3])
             p0, p1 = own.chances(total, np.bincount(own.up1, t1, len(own.words)), t0, np.bincount(own.up2, t2, len(own.key1)), t1)
             one = total.chance(1, ctx1, 0, 0, p0)
             at = own.ctx1 == ctx1
@@ -88,10 +88,10 @@ def test_sweeps_keep_customers(spark):
     rng = np.random.default_rng(3)
     target = rng.integers(1, 40, 300)
     t = H.first_tables(target, np.full(300, 2.0), 0.7, rng)
-    assert (t.customers() == target).all()
+    assert (t.customers == target).all()
     other = np.maximum(1, target + rng.integers(-5, 6, 300))
     s = t.sweep(other, np.full(300, 2.0), 0.7, 3, rng)
-    assert (s.customers() == other).all() and (s.count() >= 1).all() and (s.count() <= other).all() and (np.diff(s.owner) >= 0).all()
+    assert (s.customers == other).all() and (s.count >= 1).all() and (s.count <= other).all() and (np.diff(s.owner) >= 0).all()
 
 
 def test_empty_tables(spark):
