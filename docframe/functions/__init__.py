@@ -1 +1 @@
-
+"""Paths, coercions and conditions as columns."""

@@ -1,4 +1,4 @@
-"""Queries of the library's own operators, and the SQL that gives the same rows."""
+"""Queries of the library's own operators over the test tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -20,3 +20,6 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+from . import queries  # noqa: E402, F401
