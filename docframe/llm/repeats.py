@@ -31,7 +31,7 @@ from ._common import text_of
 
 MINI = 12
 #: Text bytes that are cut at once, segment bytes that are sent at once, symbols of a block of segments, text bytes for each bucket.
-PIECE, FLUSH, BLOCK, BUCKET = 2_000_000, 48_000_000, 1_500_000, 8_000_000
+PIECE, FLUSH, BLOCK, BUCKET = 1_000_000, 32_000_000, 1_500_000, 8_000_000
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -97,24 +97,20 @@ def segments(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, width: int)
 def cut(batches, width: int, buckets: int):
     """Rows (bucket, docs, refs, starts, strings, offs, bytes): the segments of a task for each bucket, compressed."""
     most = 2 * width - MINI
-    held: list[tuple] = []
+    held: dict[int, list[tuple]] = {}
     size = 0
-    pack = zstandard.ZstdCompressor(level=1).compress
+    pack = zstandard.ZstdCompressor(level=3).compress
 
     def flush():
-        nonlocal held, size
-        if held:
-            ids, keys, start, strings, off, bucket, flat = (np.concatenate(x) for x in zip(*held, strict=True))
-            ends = np.cumsum(strings + width - 1)
-            begins = ends - (strings + width - 1)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            for own in np.split(order, cuts):
-                both, ref = np.unique(np.stack([ids[own], keys[own]]), axis=1, return_inverse=True)
-                body = b"".join([flat[a:b].tobytes() for a, b in _spans(begins[own], ends[own])])
-                row = [both.astype("<i8").tobytes(), ref.ravel().astype("<u4").tobytes(), start[own].astype("<i8").tobytes(), strings[own].astype("u1").tobytes(), off[own].astype("u1").tobytes(), body]
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[own[0]])], pa.int32()), *[pa.array([pack(x)], pa.binary()) for x in row]], ["bucket", *NAMES])
-        held, size = [], 0
+        nonlocal size
+        for bucket, parts in held.items():
+            ids, keys, start, strings, off, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+            both, ref = np.unique(np.stack([ids, keys]), axis=1, return_inverse=True)
+            row = [both.astype("<i8"), np.diff(ref.ravel(), prepend=0).astype("<i4"), np.diff(start, prepend=0).astype("<i8"), strings.astype("u1"), off.astype("u1"), flat]
+            cells = [x.view("u1").reshape(-1, x.itemsize).T.tobytes() for x in row[1:3]]  # bytes of one place together
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([pack(x)], pa.binary()) for x in (row[0].tobytes(), *cells, *[x.tobytes() for x in row[3:]])]], ["bucket", *NAMES])
+        held.clear()
+        size = 0
 
     def add(pieces: list[tuple[int, int, int, bytes]]):
         nonlocal size
@@ -124,14 +120,18 @@ def cut(batches, width: int, buckets: int):
         first, strings, off, h = segments(buf, starts, lens, width)
         if not len(first):
             return
+        bucket = (mix(h * _C2) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        first, strings, off, bucket = first[order], strings[order], off[order], bucket[order]
         piece = np.searchsorted(starts, first, side="right") - 1
-        doc = np.array([p[0] for p in pieces], np.int64)[piece]
-        key = np.array([p[1] for p in pieces], np.int64)[piece]
-        start = first - starts[piece] + np.array([p[2] for p in pieces], np.int64)[piece]
-        bucket = (mix(h * _C2) % np.uint64(buckets)).astype(np.int32)
+        doc, key, at = (np.array([p[i] for p in pieces], np.int64)[piece] for i in range(3))
+        start = first - starts[piece] + at
         wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(most, np.uint8)]), most)[first]
         flat = wide[np.arange(most)[None, :] < (strings + width - 1)[:, None]]
-        held.append((doc, key, start, strings, off, bucket, flat))
+        ends = np.concatenate([[0], np.cumsum(strings + width - 1)])
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            held.setdefault(int(bucket[x]), []).append((doc[x:y], key[x:y], start[x:y], strings[x:y], off[x:y], flat[ends[x] : ends[y]]))
         size += len(flat)
 
     pieces: list[tuple[int, int, int, bytes]] = []
@@ -139,8 +139,6 @@ def cut(batches, width: int, buckets: int):
     for b in batches:
         for i in range(b.num_rows):
             doc, key, body = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_buffer()
-            if len(body) < width:
-                continue
             for at in range(0, len(body) - width + 1, PIECE):  # neighbouring pieces share width - 1 bytes
                 own = bytes(body[at : at + PIECE + width - 1])
                 pieces.append((doc, key, at, own))
@@ -158,14 +156,6 @@ def cut(batches, width: int, buckets: int):
 NAMES = ["docs", "refs", "starts", "strings", "offs", "bytes"]
 
 
-def _spans(begins: np.ndarray, ends: np.ndarray):
-    """The same bytes in fewer slices: neighbours in one."""
-    if not len(begins):
-        return []
-    new = np.flatnonzero(np.concatenate([[True], begins[1:] != ends[:-1]]))
-    return zip(begins[new].tolist(), ends[np.concatenate([new[1:], [len(ends)]]) - 1].tolist(), strict=True)
-
-
 class RangeMin:
     """Least values of ranges of a byte array: windows of up to 64, and a sparse table over blocks of 64."""
 
@@ -306,108 +296,168 @@ def bucket_runs(docs: np.ndarray, strings: np.ndarray, offs: np.ndarray, flat: n
     none = np.zeros(0, np.int64)
     if not len(own):
         return none, none, none
-    rows = np.lib.stride_tricks.sliding_window_view(padded, most)[begins[own]].copy()
-    rows[np.arange(most)[None, :] >= lens[own][:, None]] = 0
-    mini = mini_hashes(flat)[begins[own] + offs[own]]
+    mini = rows_hash(np.lib.stride_tricks.sliding_window_view(padded, MINI)[begins[own] + offs[own]])
+    order = np.argsort(mini, kind="stable")
+    own, mini = own[order], mini[order]
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(mini) != 0, [True]]))  # equal minimizers stay together
+    view = np.lib.stride_tricks.sliding_window_view(padded, most)
+    out, at = [], 0
+    while at < len(heads) - 1:
+        to = int(np.searchsorted(heads, heads[at] + BLOCK // most, side="right")) - 1
+        to = max(at + 1, min(to, len(heads) - 1))
+        block = own[heads[at] : heads[to]]
+        rows = view[begins[block]]
+        rows[np.arange(most)[None, :] >= lens[block][:, None]] = 0
+        out.append(block_runs(block, rows, mini[heads[at] : heads[to]], docs[block], strings[block], width))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def block_runs(segment: np.ndarray, rows: np.ndarray, mini: np.ndarray, docs: np.ndarray, strings: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`bucket_runs` of a block, whose equal segments are one in the suffix order.
+
+    Where all segments of a minimizer are equal, so are their strings, and no order is needed.
+    """
     order = np.lexsort((rows_hash(rows), mini))
-    rows, mini, own = rows[order], mini[order], own[order]
-    same = np.zeros(len(own), bool)
-    same[1:] = (rows[1:] == rows[:-1]).all(axis=1) & (lens[own[1:]] == lens[own[:-1]])
+    segment, rows, mini, docs, strings = segment[order], rows[order], mini[order], docs[order], strings[order]
+    same = np.zeros(len(rows), bool)
+    same[1:] = (mini[1:] == mini[:-1]) & (rows[1:] == rows[:-1]).all(axis=1) & (strings[1:] == strings[:-1])
     heads = np.flatnonzero(~same)
-    to = np.cumsum(~same) - 1
-    one, one_lens, one_docs = rows[heads], lens[own[heads]], np.minimum.reduceat(docs[own], heads)
-    least = np.empty((len(heads), most - width + 1), np.int64)
-    groups = np.flatnonzero(np.concatenate([[True], np.diff(mini[heads]) != 0, [True]]))  # equal minimizers stay together
-    at, symbols = 0, np.concatenate([[0], np.cumsum(one_lens)])
-    while at < len(groups) - 1:
-        to_group = int(np.searchsorted(symbols[groups], symbols[groups[at]] + BLOCK, side="right")) - 1
-        to_group = max(at + 1, min(to_group, len(groups) - 1))
-        a, b = groups[at], groups[to_group]
-        least[a:b] = least_docs(one[a:b], one_lens[a:b], one_docs[a:b], width)
-        at = to_group
-    hit = (least[to] < docs[own][:, None]) & (np.arange(least.shape[1])[None, :] < strings[own][:, None])
-    edge = np.zeros((len(own), hit.shape[1] + 2), np.int8)
-    edge[:, 1:-1] = hit
+    first_docs = np.minimum.reduceat(docs, heads)
+    least = np.repeat(first_docs[:, None], rows.shape[1] - width + 1, axis=1)
+    own = mini[heads]
+    many = np.zeros(len(heads), bool)
+    many[1:] = own[1:] == own[:-1]
+    many[:-1] |= many[1:]
+    if many.any():
+        at = heads[many]
+        least[many] = least_docs(rows[at], strings[at] + width - 1, first_docs[many], width)
+    edge = np.zeros((len(rows), least.shape[1] + 2), np.int8)
+    edge[:, 1:-1] = (least[np.cumsum(~same) - 1] < docs[:, None]) & (np.arange(least.shape[1])[None, :] < strings[:, None])
     step = np.diff(edge, axis=1)
     seg, first = np.nonzero(step == 1)
     _, last = np.nonzero(step == -1)
-    return own[seg], first, last - 1
+    return segment[seg], first, last - 1
 
 
-def found_in(bucket: pa.Table, width: int) -> pa.Table:
-    """Rows (doc, key, first, size) of one bucket: the byte ranges to remove, as arrays for each document."""
+def found_in(bucket: pa.Table, width: int, parts: int) -> pa.Table:
+    """Rows (bucket, docs, spans): the byte ranges to remove that a bucket's segments show, for each bucket of documents."""
     load = zstandard.ZstdDecompressor().decompress
-    parts: list[list[np.ndarray]] = []
+    cells: list[list[np.ndarray]] = []
     for r in bucket.select(NAMES).to_pylist():
         both = np.frombuffer(load(r["docs"]), "<i8").reshape(2, -1)
-        ref = np.frombuffer(load(r["refs"]), "<u4")
-        parts.append([both[0][ref], both[1][ref], np.frombuffer(load(r["starts"]), "<i8"), np.frombuffer(load(r["strings"]), "u1").astype(np.int64), np.frombuffer(load(r["offs"]), "u1").astype(np.int64), np.frombuffer(load(r["bytes"]), np.uint8)])
-    docs, keys, starts, strings, offs, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ref, start = (np.cumsum(np.ascontiguousarray(np.frombuffer(load(r[n]), "u1").reshape(int(k[2]), -1).T).view(k).ravel()) for n, k in (("refs", "<i4"), ("starts", "<i8")))
+        cells.append([both[0][ref], both[1][ref], start, np.frombuffer(load(r["strings"]), "u1").astype(np.int64), np.frombuffer(load(r["offs"]), "u1").astype(np.int64), np.frombuffer(load(r["bytes"]), np.uint8)])
+    docs, keys, starts, strings, offs, flat = (np.concatenate(x) for x in zip(*cells, strict=True))
+    cells.clear()
     seg, first, last = bucket_runs(docs, strings, offs, flat, width)
-    begin, size = starts[seg] + first, last - first + width
-    order = np.lexsort((begin, keys[seg], docs[seg]))
-    d, k = docs[seg][order], keys[seg][order]
-    heads = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 0) | (np.diff(k) != 0)])) if len(d) else np.zeros(0, np.int64)
-    cuts = np.concatenate([heads, [len(d)]])
-    begin, size = begin[order].astype("<i8"), size[order].astype("<i8")
-    spans = [(begin[a:b].tobytes(), size[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table([pa.array(d[heads], pa.int64()), pa.array(k[heads], pa.int64()), pa.array([s[0] for s in spans], pa.binary()), pa.array([s[1] for s in spans], pa.binary())], names=["doc", "key", "first", "size"])
+    place = place_of(docs[seg], keys[seg], parts)
+    order = np.lexsort((starts[seg] + first, keys[seg], docs[seg], place))
+    seg, place, begin, size = seg[order], place[order], (starts[seg] + first)[order], (last - first + width)[order]
+    new = np.ones(len(seg), bool)
+    new[1:] = (np.diff(docs[seg]) != 0) | (np.diff(keys[seg]) != 0) | (np.diff(place) != 0)
+    cuts = np.concatenate([np.flatnonzero(np.diff(place, prepend=-1)), [len(place)]])
+    out: list[tuple] = []
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        heads = np.flatnonzero(new[a:b])
+        named = np.stack([docs[seg[a:b]][heads], keys[seg[a:b]][heads], np.diff(np.append(heads, b - a))])
+        out.append((int(place[a]), pack(named.astype("<i8").tobytes()), pack(np.stack([begin[a:b], size[a:b]]).astype("<i8").tobytes())))
+    return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "docs", "spans"])
+
 
+def place_of(docs: np.ndarray, keys: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket of a document by its id and the hash of its text."""
+    return (mix(docs.astype(np.int64).view(np.uint64) * _C1 + keys.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
-def cover(first: list[bytes], size: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+
+def cover(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs (start, end) of the ranges."""
-    a = np.frombuffer(b"".join(first), "<i8")
-    b = a + np.frombuffer(b"".join(size), "<i8")
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], np.maximum.accumulate(b[order])
+    order = np.argsort(begin, kind="stable")
+    a, b = begin[order], np.maximum.accumulate((begin + size)[order])
     heads = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
     return a[heads], b[np.concatenate([heads[1:], [len(a)]]) - 1]
 
 
-def ranges(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 50, bucket_bytes: int = BUCKET) -> DataFrame:
-    """(doc, key, first, size): byte ranges to remove by id and the text's hash, several rows a document."""
-    rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc"), F.xxhash64(text_of(text)).alias("key"), text_of(text).cast("binary").alias("body")).filter(F.col("doc").isNotNull())
-    total = docs.agg(F.sum(F.octet_length(text_of(text)).cast("long"))).first()[0] or 0
-    buckets = max(8, math.ceil(total / bucket_bytes))
-    sent = rows.mapInArrow(lambda it: cut(it, width, buckets), "bucket int, " + ", ".join(f"{n} binary" for n in NAMES))
-    return sent.groupBy("bucket").applyInArrow(lambda t: found_in(t, width), "doc long, key long, first binary, size binary")
-
-
-def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 50, keep_text: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 50, keep_text: bool = True, bucket_bytes: int = BUCKET) -> DataFrame:
     """``id``, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, removed (array of byte ranges) and kept (binary).
 
-    What is left of a text may end within a character, so it is bytes.
+    What is left of a text may end within a character, so it is bytes. Texts meet their ranges in buckets of documents.
     """
-    found = ranges(docs, id=id, text=text, width=width).groupBy("doc", "key").agg(F.collect_list("first").alias("first"), F.collect_list("size").alias("size"))
-    rows = docs.select(F.col(f"`{id}`").alias("id"), F.xxhash64(text_of(text)).alias("key"), text_of(text).cast("binary").alias("body"))
-    kind = rows.schema["id"].dataType.simpleString()
-    joined = rows.join(found, (F.col("id").cast("long") == found["doc"]) & (rows["key"] == found["key"]), "left").select("id", "body", "first", "size")
-
-    def cut_out(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                out: list[list] = [[] for _ in range(6)]
-                for body, first, size in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    own = body.as_buffer()
-                    digest, left, spans, gone, end = hashlib.sha256(), [], [], 0, 0
-                    if first:
-                        for x, y in zip(*(v.tolist() for v in cover(first, size)), strict=True):
-                            digest.update(own[end:x])
-                            left.append(bytes(own[end:x]) if keep_text else b"")
-                            spans.append({"start": x, "end": y})
-                            gone, end = gone + y - x, y
-                    digest.update(own[end:])
-                    left.append(bytes(own[end:]) if keep_text else b"")
-                    for to, v in zip(out, (len(own), gone, len(spans), digest.hexdigest(), spans, b"".join(left)), strict=True):
-                        to.append(v)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-                names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"]
-                n = 6 if keep_text else 4
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, t) for v, t in zip(out, types, strict=True)][:n]], ["id", *names[:n]])
-
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", removed array<struct<start:bigint,end:bigint>>, kept binary" * keep_text
-    return joined.mapInArrow(cut_out, schema).withColumnRenamed("id", id)
+    rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{id}`").cast("long").alias("doc"), F.xxhash64(text_of(text)).alias("key"), text_of(text).cast("binary").alias("body"))
+    total = docs.agg(F.sum(F.octet_length(text_of(text)).cast("long"))).first()[0] or 0
+    buckets = max(8, math.ceil(total / bucket_bytes))
+    parts = max(8, buckets // 4)
+    sent = rows.filter(F.col("doc").isNotNull()).select("doc", "key", "body").mapInArrow(lambda it: cut(it, width, buckets), "bucket int, " + ", ".join(f"{n} binary" for n in NAMES))
+    found = sent.groupBy("bucket").applyInArrow(lambda t: found_in(t, width, parts), "bucket int, docs binary, spans binary")
+    both = rows.mapInArrow(lambda it: text_blocks(it, parts), "bucket int, docs binary, spans binary").union(found)
+    fields = [f"id {rows.schema['id'].dataType.simpleString()}", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"]
+    fields += ["removed array<struct<start:bigint,end:bigint>>", "kept binary"] * keep_text
+    return both.groupBy("bucket").applyInArrow(lambda t: cut_out(t, keep_text), ", ".join(fields)).withColumnRenamed("id", id)
+
+
+def text_blocks(batches, parts: int):
+    """Rows (bucket, docs) without spans: a task's texts for each bucket of documents, as compressed Arrow tables."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush():
+        table = pa.Table.from_batches(held)
+        place = place_of(table["doc"].fill_null(0).to_numpy(), table["key"].to_numpy(), parts)
+        order = np.argsort(place, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+            sink = pa.BufferOutputStream()
+            part = table.take(pa.array(own))
+            with pa.ipc.new_stream(sink, part.schema) as w:
+                w.write_table(part)
+            cell = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([place[own[0]]], pa.int32()), pa.array([cell], pa.binary()), pa.nulls(1, pa.binary())], ["bucket", "docs", "spans"])
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            held.append(whole.slice(at, 500))
+            size += sum(len(x.as_buffer()) for x in held[-1].column(3))
+            if size >= FLUSH:
+                yield from flush()
+                held, size = [], 0
+    if held:
+        yield from flush()
+
+
+def cut_out(t: pa.Table, keep_text: bool) -> pa.Table:
+    load = zstandard.ZstdDecompressor().decompress
+    spans: dict[tuple, list[tuple]] = {}
+    for r in t.select(["docs", "spans"]).to_pylist():
+        if r["spans"] is not None:
+            docs, keys, n = np.frombuffer(load(r["docs"]), "<i8").reshape(3, -1).tolist()
+            begin, size = np.frombuffer(load(r["spans"]), "<i8").reshape(2, -1)
+            ends = np.cumsum(n).tolist()
+            for doc, key, x, y in zip(docs, keys, [0, *ends[:-1]], ends, strict=True):
+                spans.setdefault((doc, key), []).append((begin[x:y], size[x:y]))
+    tables = []
+    for cell, runs_cell in zip(t["docs"], t["spans"], strict=True):
+        if runs_cell.is_valid:
+            continue
+        block = pa.ipc.open_stream(load(cell.as_buffer())).read_all()
+        out: list[list] = [[] for _ in range(6)]
+        for body, doc, key in zip(block["body"], block["doc"].to_pylist(), block["key"].to_pylist(), strict=True):
+            own = body.as_buffer()
+            digest, left, runs, gone, end = hashlib.sha256(), [], [], 0, 0
+            if (doc, key) in spans:
+                for x, y in zip(*(v.tolist() for v in cover(*(np.concatenate(v) for v in zip(*spans[doc, key], strict=True)))), strict=True):
+                    digest.update(own[end:x])
+                    left.append(bytes(own[end:x]) if keep_text else b"")
+                    runs.append({"start": x, "end": y})
+                    gone, end = gone + y - x, y
+            digest.update(own[end:])
+            left.append(bytes(own[end:]) if keep_text else b"")
+            for to, v in zip(out, (len(own), gone, len(runs), digest.hexdigest(), runs, b"".join(left)), strict=True):
+                to.append(v)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"]
+        n = 6 if keep_text else 4
+        tables.append(pa.table([block["id"], *[pa.array(v, x) for v, x in zip(out, types, strict=True)][:n]], names=["id", *names[:n]]))
+    return pa.concat_tables(tables)
 
 
 def oracle() -> str:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 
 from docframe.llm import repeats as R
 
@@ -59,13 +60,15 @@ def test_pieces_of_long_texts_overlap(spark, monkeypatch):
     sent = pa.Table.from_batches(list(R.cut(iter([batch]), 50, 5)))
     spans = {}
     for b in set(sent["bucket"].to_pylist()):
-        for r in R.found_in(sent.filter(pa.compute.equal(sent["bucket"], b)), 50).to_pylist():
-            spans.setdefault(r["key"], []).append((r["first"], r["size"]))
+        for r in R.found_in(sent.filter(pa.compute.equal(sent["bucket"], b)), 50, 3).to_pylist():
+            _, keys, n = np.frombuffer(zstandard.decompress(r["docs"]), "<i8").reshape(3, -1)
+            for key, span in zip(np.repeat(keys, n), np.frombuffer(zstandard.decompress(r["spans"]), "<i8").reshape(2, -1).T, strict=True):
+                spans.setdefault(int(key), []).append(span)
     want = brute(rows, 50)
     got = []
     for i, (d, t) in enumerate(rows):
         body = (t or "").encode()
-        runs = list(zip(*(x.tolist() for x in R.cover([a for a, _ in spans[i]], [s for _, s in spans[i]])), strict=True)) if i in spans else []
+        runs = list(zip(*(x.tolist() for x in R.cover(*np.array(spans[i]).T)), strict=True)) if i in spans else []
         kept, end = b"", 0
         for a, e in runs:
             kept, end = kept + body[end:a], e
