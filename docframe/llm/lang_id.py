@@ -199,6 +199,8 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, lens: np.nd
 
 def label_batch(texts: list[str | None], words: _Words, spans: bool) -> tuple[list[str], list[float], list[list[dict]]]:
     m = words.m
+    if not m.langs:
+        return ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
     if len(words) > words.LIMIT:
         words.__init__(m)
         words.clear()
@@ -207,8 +209,6 @@ def label_batch(texts: list[str | None], words: _Words, spans: bool) -> tuple[li
     ids = np.fromiter((i for x in lists for i in map(words.__getitem__, x)), np.int64, int(lens.sum()))
     words.settle()
     starts = np.concatenate([[0], np.cumsum(lens)[:-1]]) if len(lens) else np.zeros(0, np.int64)
-    if not m.langs:
-        return ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
     labels = viterbi(words.scores, ids, starts, lens, m.penalty)
     doc = np.repeat(np.arange(len(texts)), lens)
     share = np.zeros((len(texts), len(m.langs)))
