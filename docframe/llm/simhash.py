@@ -7,6 +7,10 @@ same for all data, so their surviving pairs are dealt out as tasks: a subtree me
 budget. A subtree with very many leaves is dealt in blocks, every pair of blocks once. In a task the traversal goes on
 over sorted arrays. It returns a spanning forest of the links it finds, never all pairs.
 
+A :class:`Budget` of many bits would prune little. So it has the trie built several times, each with another part of the fingerprint at
+the top and a small budget there (any pair within the whole budget is within it in one part), and has pairs checked by further words
+of a longer fingerprint: ``SIMILAR`` finds texts with a similarity of 0.8 or more.
+
 Equal fingerprints are one leaf, so copies cost nothing beyond one aggregation. Null and empty texts have no word and
 fingerprint zero, linked like any other. Repeated rows get equal results; a null id is allowed and is nobody's least id
 unless its whole component has none. Extra columns are ignored, and an empty table gives an empty result.
@@ -14,10 +18,11 @@ unless its whole component has none. Extra columns are ignored, and an empty tab
 
 from __future__ import annotations
 
+import itertools
 import math
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -47,25 +52,38 @@ def hashes(text: str, width: int = 3, seed: int = 42) -> list[int]:
 
 def fingerprint(found: list[int]) -> int:
     """The fingerprint as a signed long."""
-    if not found:
+    if not len(found):
         return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(found), 65_536):  # blocks bound the memory of long texts
-        block = np.array(found[at : at + 65_536], dtype=">u8")
+        block = np.asarray(found[at : at + 65_536], dtype=np.uint64).astype(">u8")
         ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(found)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, *, text: str = "text", keep: list[str], width: int = 3) -> DataFrame:
+def mixed(found: list[int], word: int) -> list[int] | np.ndarray:
+    """Hashes for the fingerprint's further words, made of the first one's."""
+    if not word or not found:
+        return found
+    h = np.array(found, np.uint64) * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)[word % 3] + 2 * (word // 3))
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprints(docs: DataFrame, *, text: str = "text", keep: list[str], width: int = 3, words: int = 1) -> DataFrame:
+    """``keep``, fp and, for longer fingerprints, more: an array of ``words`` - 1 further words."""
     schema = docs.select(*[f"`{c}`" for c in keep]).schema.simpleString()[len("struct<") : -1]
 
     def make(batches):
         for b in batches:
-            own = pa.array([fingerprint(hashes(t, width)) for t in b.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], own], [*b.schema.names[1:], "fp"])
+            found = [hashes(t, width) for t in b.column(0).to_pylist()]
+            own = [pa.array([fingerprint(h) for h in found], pa.int64())]
+            if words > 1:
+                own.append(pa.array([[fingerprint(mixed(h, k)) for k in range(1, words)] for h in found], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *own], [*b.schema.names[1:], *["fp", "more"][: len(own)]])
 
     rows = docs.select(text_of(text).alias("__text"), *[F.col(f"`{c}`") for c in keep])
-    return rows.mapInArrow(make, f"{schema}, fp long")
+    return rows.mapInArrow(make, f"{schema}, fp long" + ", more array<bigint>" * (words > 1))
 
 
 class _Forest:
@@ -94,18 +112,28 @@ class _Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def trie_links(fp: np.ndarray, home: np.ndarray, budget: int, depth: int, tile: int = 256) -> np.ndarray:
+def trie_links(fp: np.ndarray, home: np.ndarray, budget: int, depth: int, tile: int = 256, *, early: tuple[int, int] | None = None, more: np.ndarray | None = None, whole: int = 0) -> np.ndarray:
     """For each leaf its set's first leaf, where leaves within the budget are linked if either is at home.
 
     The leaves share no more than their order: the traversal starts below ``depth`` bits and counts the bits above.
+    ``early`` is (levels, budget of these first levels); ``more`` has further words of each fingerprint, and ``whole`` is
+    the budget of all of it.
     """
     order = np.lexsort((fp, ~home))
     fp, n_home = fp[order], int(home.sum())
+    more = more[order] if more is not None else None
+    levels, first = early or (64, budget)
     forest = _Forest(len(fp))
 
     def leaves(a: slice, b: slice) -> None:
         x, y = fp[a], fp[b]
-        near = np.bitwise_count(x[:, None] ^ y[None, :]) <= budget
+        both = x[:, None] ^ y[None, :]
+        near = np.bitwise_count(both) <= budget
+        if levels < 64:
+            near &= np.bitwise_count(both >> np.uint64(64 - levels)) <= first
+        if more is not None:
+            i, j = np.nonzero(near)
+            near[i, j] = np.bitwise_count(both[i, j]) + np.bitwise_count(more[a][i] ^ more[b][j]).sum(axis=1, dtype=np.int64) <= whole
         if a == b:
             np.fill_diagonal(near, False)
         if not near.any():
@@ -144,7 +172,7 @@ def trie_links(fp: np.ndarray, home: np.ndarray, budget: int, depth: int, tile:
     while stack:
         a, b, bit, bits = stack.pop()
         n, m = a.stop - a.start, b.stop - b.start
-        if not n or not m or bits > budget:
+        if not n or not m or bits > (first if bit <= levels else budget):
             continue
         if n <= tile and m <= tile or bit == 64:
             for i in range(a.start, a.stop, tile):
@@ -163,50 +191,81 @@ def trie_links(fp: np.ndarray, home: np.ndarray, budget: int, depth: int, tile:
     return roots
 
 
-def links(fps: DataFrame, *, budget: int = 2, leaves: int = 8192) -> DataFrame:
-    """(a, b): links that connect what fingerprints (``fp``, distinct) within the budget connect.
+@dataclass(frozen=True)
+class Budget:
+    """How many bits linked fingerprints may differ in.
+
+    The trie is built ``turns`` times, each time with the next ``64 / turns`` bits at the top, where no more than ``first`` may
+    differ: of all bits within ``bits``, one part has as few. ``words`` is the fingerprint's length in words of 64 bits, and
+    ``whole`` its budget; the trie has the first word.
+    """
+
+    bits: int = 2
+    turns: int = 1
+    first: int = 2
+    words: int = 1
+    whole: int = 0
+
+
+#: For texts with a similarity (of their sets of shingles) of 0.8 or more: such differ in about 15 of 100 bits.
+SIMILAR = Budget(bits=11, turns=4, first=2, words=3, whole=31)
+
+
+def links(fps: DataFrame, *, budget: int | Budget = 2, leaves: int = 8192) -> DataFrame:
+    """(a, b): links that connect what fingerprints (``fp``, distinct; with ``node`` and ``more`` if longer) within the budget connect.
 
     ``leaves`` is the number of fingerprints that a task's subtree should have.
     """
-    n = fps.count()
-    depth = max(2, min(24, math.ceil(math.log2(max(1, n) / leaves)))) if n > leaves else 0
-    masks = sorted({0, *(1 << i for i in range(depth)), *((1 << i) | (1 << j) for i in range(depth) for j in range(i))}) if budget >= 2 else [0, *(1 << i for i in range(depth))] if budget else [0]
-    if budget > 2:
-        masks = [m for m in range(1 << min(depth, 16)) if m.bit_count() <= budget]
+    plan = budget if isinstance(budget, Budget) else Budget(budget, 1, budget)
+    levels, n = 64 // plan.turns, fps.count()
+    depth = max(2, min(24, levels, math.ceil(math.log2(max(1, n) / leaves)))) if n > leaves else 0
+    if plan.first > 2:
         depth = min(depth, 16)
-    own = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
-    rows = fps.select("fp", own.alias("node"))
-    size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    blocks = size.filter(F.col("n") > 4 * leaves).select("node", F.ceil(F.col("n") / (2 * leaves)).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "node", "left").withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), F.coalesce("blocks", F.lit(1))).cast("int"))
-    dealt = rows.select("fp", "node", "block", F.explode(F.lit(masks).cast("array<bigint>")).alias("mask")).withColumn("target", F.col("node").bitwiseXOR(F.col("mask"))).filter("target <= node")
-    dealt = dealt.join(blocks.select(F.col("node").alias("target"), "blocks"), "target", "left")
+    masks = [m for k in range(plan.first + 1) for m in (sum(1 << i for i in own) for own in itertools.combinations(range(depth), k))]
+    long = plan.words > 1
+    rest = ["id", *["more"] * long]
+    rows = fps.select("fp", F.col("node" if long else "fp").alias("id"), *["more"] * long)
+    if plan.turns > 1:
+        turned = F.array(*[F.struct(F.lit(t).alias("turn"), (F.col("fp") if t == 0 else F.shiftleft("fp", t * levels).bitwiseOR(F.shiftrightunsigned("fp", 64 - t * levels))).alias("fp")) for t in range(plan.turns)])
+        rows = rows.select(F.explode(turned).alias("t"), *rest).select("t.turn", "t.fp", *rest)
+    else:
+        rows = rows.withColumn("turn", F.lit(0))
+    rows = rows.withColumn("node", F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long"))
+    size = rows.groupBy("turn", "node").agg(F.count(F.lit(1)).alias("n"))
+    blocks = size.filter(F.col("n") > 4 * leaves).select("turn", "node", F.ceil(F.col("n") / (2 * leaves)).cast("int").alias("blocks"))
+    rows = rows.join(blocks, ["turn", "node"], "left").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    dealt = rows.withColumn("mask", F.explode(F.lit(masks).cast("array<bigint>"))).withColumn("target", F.col("node").bitwiseXOR(F.col("mask"))).filter("target <= node")
+    dealt = dealt.join(blocks.select("turn", F.col("node").alias("target"), "blocks"), ["turn", "target"], "left")
     first = F.when(F.col("mask") == 0, F.col("block")).otherwise(0)
-    dealt = dealt.select("target", "fp", "block", "mask", F.explode(F.sequence(first, F.coalesce("blocks", F.lit(1)) - 1)).alias("task"))
-    dealt = dealt.select("target", "task", "fp", ((F.col("mask") == 0) & (F.col("block") == F.col("task"))).alias("home"))
+    dealt = dealt.withColumn("task", F.explode(F.sequence(first, F.coalesce("blocks", F.lit(1)) - 1)))
+    dealt = dealt.select("turn", "target", "task", "fp", *rest, ((F.col("mask") == 0) & (F.col("block") == F.col("task"))).alias("home"))
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf.fp.to_numpy().astype(np.uint64)
-        to = trie_links(fp, pdf.home.to_numpy().astype(bool), budget, depth)
+    def join(t: pa.Table) -> pa.Table:
+        ids, fp = t["id"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
+        more = np.array(t["more"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).view(np.uint64).reshape(len(t), -1) if long else None
+        to = trie_links(fp, t["home"].to_numpy(), plan.bits, depth, early=(levels, plan.first), more=more, whole=plan.whole)
         at = np.flatnonzero(to != np.arange(len(to)))
-        return pd.DataFrame({"a": pdf.fp.to_numpy()[at], "b": pdf.fp.to_numpy()[to[at]]})
+        return pa.table([pa.array(ids[at]), pa.array(ids[to[at]])], names=["a", "b"])
 
-    return dealt.groupBy("target", "task").applyInPandas(join, "a long, b long")
+    return dealt.groupBy("turn", "target", "task").applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", budget: int = 2, width: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", budget: int | Budget = 2, width: int = 3) -> DataFrame:
     """One row per document: ``id``, fp (long) and component_id, the least id among all that can be reached."""
+    words = budget.words if isinstance(budget, Budget) else 1
     keyed = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = stored(fingerprints(keyed, keep=["id"], width=width), "fingerprints")
-    own = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "leaves")
-    roots = components(links(own.select("fp"), budget=budget))
-    placed = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = fingerprints(keyed, keep=["id"], width=width, words=words)
+    rows = stored(rows.withColumn("node", F.xxhash64("fp", "more")) if words > 1 else rows.withColumn("node", F.col("fp")), "fingerprints")
+    more = [F.first("fp").alias("fp"), F.first("more").alias("more")] if words > 1 else [F.first("fp").alias("fp")]
+    own = stored(rows.groupBy("node").agg(F.min("id").alias("least"), *more), "leaves")
+    roots = components(links(own.drop("least"), budget=budget))
+    placed = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = stored(placed.join(least, "root").select("fp", "component_id"), "components")
-    return rows.join(ids, "fp").select(F.col("id").alias(id), "fp", "component_id")
+    ids = stored(placed.join(least, "root").select("node", "component_id"), "components")
+    return rows.join(ids, "node").select(F.col("id").alias(id), "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", budget: int = 2, width: int = 3) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", budget: int | Budget = 2, width: int = 3) -> DataFrame:
     """The documents of which each is the one of its component with the least id; equal ids keep one row of the least text.
 
     All columns stay. Documents without an id are kept only if their component has no other; of those one stays.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as C
 from tests.llm.test_mixing import poisson, uniform
 from tests.llm.test_packing import PATH, ids_of
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash import brute_components, is_similar, similar_signature
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,7 +58,7 @@ def test_language_drops_what_has_none(ran):
 def test_one_document_of_each_group_stays(ran):
     docs, made = ran[0][1]
     own = rows_of(docs)
-    least = brute_components([(d, brute_fingerprint(t)) for d, t, _ in own])
+    least = brute_components([(d, similar_signature(t)) for d, t, _ in own], is_similar)
     assert sorted(r[0] for r in rows_of(made)) == sorted(set(least))
 
 

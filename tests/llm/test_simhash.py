@@ -15,8 +15,19 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
 
 
-def brute_components(pairs):
-    """{place: least id} of fingerprints at two or fewer bits."""
+def similar_signature(text):
+    h = S.hashes(text or "", 5)
+    return [S.fingerprint(S.mixed(h, k)) & (2**64 - 1) for k in range(3)]
+
+
+def is_similar(a, b):
+    """Every part of the first word as near as the trie needs it, without one."""
+    bits = a[0] ^ b[0]
+    return bits.bit_count() <= 11 and sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= 31
+
+
+def brute_components(pairs, near=lambda a, b: (a ^ b).bit_count() <= 2):
+    """The least id of what each fingerprint reaches."""
     n = len(pairs)
     up = list(range(n))
 
@@ -27,7 +38,7 @@ def brute_components(pairs):
 
     for i in range(n):
         for j in range(i):
-            if (pairs[i][1] ^ pairs[j][1]).bit_count() <= 2:
+            if near(pairs[i][1], pairs[j][1]):
                 up[find(i)] = find(j)
     return [min(pairs[j][0] for j in range(n) if find(j) == find(i)) for i in range(n)]
 
@@ -88,6 +99,40 @@ def test_the_trie_loses_no_link(spark, budget, leaves):
         assert reached == own
 
 
+@pytest.mark.parametrize("leaves", [8, 100_000])
+def test_similar_texts_match_brute_force_and_similarity(spark, leaves):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(900)]
+    texts, group = [], []
+    for g in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([60, 200, 500]))]
+        for _ in range(rng.choice([1, 6])):
+            own = list(base)
+            for _ in range(len(base) // 150):  # a similarity of about 0.9
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            texts.append(" ".join(own))
+            group.append(g)
+    sigs = [similar_signature(t) for t in texts]
+    want = brute_components(list(zip(range(len(texts)), sigs, strict=True)), is_similar)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    if leaves > 1000:
+        got = {r.doc_id: r.component_id for r in S.near_duplicates(df, budget=S.SIMILAR, width=5).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+        assert len(set(want)) <= 15 and all(group[i] == group[c] for i, c in enumerate(want))
+    signed = [[x - (1 << 64) if x >> 63 else x for x in s] for s in sigs]
+    fps = spark.createDataFrame([(i, s[0], s[1:]) for i, s in enumerate(signed)], "node long, fp long, more array<bigint>")
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in S.links(fps, budget=S.SIMILAR, leaves=leaves).collect():
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    assert [min(j for j in range(len(texts)) if find(j) == find(i)) for i in range(len(texts))] == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100)] + [(1000, 2000 + i) for i in range(50)] + [(5, 5), (2000, 1000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
