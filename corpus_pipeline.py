@@ -46,9 +46,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by their number of copies, in the order of the global shuffle within each file."""
+    """Documents by their number of copies, shuffled globally."""
     _begin(spark)
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.shuffled(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,12 +227,12 @@ def label_batch(texts: list[str | None], words: _Words, spans: bool) -> tuple[li
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, spans: bool = True) -> DataFrame:
-    """``keep`` (all columns by default) and ``lang_pred``, ``lang_score`` and, if asked, ``lang_spans``.
+    """``keep`` (all columns by default) and ``lang_pred``, ``lang_score`` and, if asked, ``lang_spans``, which replace columns of these names.
 
     A span is (lang, first, end): words from ``first`` to before ``end``, counted from 0.
     The score is the share of letters in words labelled with the predicted language.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "lang_score", "lang_spans")]
     schema = docs.select(*[f"`{c}`" for c in keep]).schema.simpleString()[len("struct<") : -1]
     rows = docs.select(text_of(text).alias("__text"), *[F.col(f"`{c}`") for c in keep])
     span = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))

@@ -43,10 +43,11 @@ def rates(docs: DataFrame, *, source: str = "source", text: str = "text", weight
         sized = sized.withColumn("w", given)
     else:
         sized = sized.withColumn("w", F.sqrt(F.col("size").cast("double")) if alpha == 0.5 else F.pow(F.col("size").cast("double"), F.lit(alpha)))
-    # partial sums per source are few; they meet in one row, which is joined by a constant key
-    whole = sized.agg(F.sum("size").alias("total"), F.sum("w").alias("ws")).withColumn("k", F.lit(1))
-    joined = sized.withColumn("k", F.lit(1)).join(F.broadcast(whole), "k")  # a single row
-    return joined.select("source", F.coalesce(F.lit(epochs) * F.col("w") / F.col("ws") * F.col("total") / F.col("size"), F.lit(0.0)).alias("rate"))
+    # two numbers reach the driver
+    sized = stored(sized, "sizes")
+    whole = sized.agg(F.sum("size").alias("total"), F.sum("w").alias("ws")).first()
+    rate = F.lit(epochs) * F.col("w") / F.lit(float(whole.ws or 1)) * F.lit(whole.total or 0) / F.col("size")
+    return sized.select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def poisson(rate: Column, draw: Column) -> Column:
@@ -63,31 +64,44 @@ def poisson(rate: Column, draw: Column) -> Column:
     return F.aggregate(terms, start, step, lambda acc: acc["k"])
 
 
-def mix(docs: DataFrame, *, id: str = "doc_id", source: str = "source", text: str = "text", weights: dict[str | None, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 17, buckets: int = 1024) -> DataFrame:
-    """The columns of ``docs``, and rate, copy (from 0) and position: a gapless place from 0 in the global shuffle.
-
-    ``buckets`` of the shuffle's hash are ordered each on its own; their counts give the offsets.
-    """
-    own = rates(docs, source=source, text=text, weights=weights, alpha=alpha, epochs=epochs).withColumnRenamed("source", "__source")
-    own = stored(own, "rates")
+def copies(docs: DataFrame, *, id: str = "doc_id", source: str = "source", text: str = "text", weights: dict[str | None, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 17, buckets: int = 1024) -> DataFrame:
+    """The columns of ``docs``, __rate, __copy (from 0), and the shuffle's __key in [0, 1) and __bucket."""
+    own = rates(docs, source=source, text=text, weights=weights, alpha=alpha, epochs=epochs).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
     if own.count() <= BROADCAST:
         own = F.broadcast(own)
     rows = docs.join(own, docs[f"`{source}`"].eqNullSafe(own["__source"]), "left").drop("__source")
     rows = rows.withColumn("__u", uniform(F.lit(seed), F.col(f"`{id}`"), F.lit(0)))
-    pieces = F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")
-    small = poisson(F.col("rate"), F.col("__u"))
-    large = F.aggregate(F.sequence(F.lit(0), pieces - 1), F.lit(0), lambda acc, j: acc + poisson(F.col("rate") / pieces, uniform(F.lit(seed), F.col(f"`{id}`"), j)))
-    rows = rows.withColumn("__n", F.when(F.col("rate") <= STEP, small).otherwise(large)).filter("__n > 0")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    rows = rows.withColumn("__key", uniform(F.lit(seed), F.lit("shuffle"), F.col(f"`{id}`"), F.col("copy")))
-    rows = rows.withColumn("__bucket", F.floor(F.col("__key") * buckets).cast("int"))
+    pieces = F.greatest(F.ceil(F.col("__rate") / STEP), F.lit(1)).cast("int")
+    small = poisson(F.col("__rate"), F.col("__u"))
+    large = F.aggregate(F.sequence(F.lit(0), pieces - 1), F.lit(0), lambda acc, j: acc + poisson(F.col("__rate") / pieces, uniform(F.lit(seed), F.col(f"`{id}`"), j)))
+    rows = rows.withColumn("__n", F.when(F.col("__rate") <= STEP, small).otherwise(large)).filter("__n > 0")
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    rows = rows.withColumn("__key", uniform(F.lit(seed), F.lit("shuffle"), F.col(f"`{id}`"), F.col("__copy")))
+    return rows.withColumn("__bucket", F.floor(F.col("__key") * buckets).cast("int")).drop("__u", "__n")
+
+
+def shuffled(docs: DataFrame, *, id: str = "doc_id", source: str = "source", buckets: int = 1024, **options) -> DataFrame:
+    """The columns of ``docs``: every copy, in a global shuffle. A task, and its file, has whole buckets of the order of :func:`mix`."""
+    rows = copies(docs, id=id, source=source, buckets=buckets, **options)
+    ties = [F.col(f"`{c}`") for c in (id, "__copy", source)]
+    return rows.repartition("__bucket").sortWithinPartitions("__bucket", "__key", *ties).select(*[f"`{c}`" for c in docs.columns])
+
+
+def mix(docs: DataFrame, *, id: str = "doc_id", source: str = "source", text: str = "text", buckets: int = 1024, **options) -> DataFrame:
+    """The columns of ``docs``, and rate, copy (from 0) and position: a gapless place from 0 in the global shuffle;
+    they replace columns of these names.
+
+    ``buckets`` of the shuffle's hash are ordered each on its own; their counts give the offsets. For ``options`` see :func:`copies`.
+    """
+    rows = copies(docs, id=id, source=source, text=text, buckets=buckets, **options)
     counts = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``buckets`` rows
     offsets = counts.select("__bucket", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__from"))
-    ties = [F.col(f"`{c}`") for c in (id, "copy", source)]
+    ties = [F.col(f"`{c}`") for c in (id, "__copy", source)]
     ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__bucket").orderBy("__key", *ties, F.xxhash64(text_of(text)))) - 1)
     out = ranked.join(F.broadcast(offsets), "__bucket")  # at most ``buckets`` rows
-    return out.select(*[f"`{c}`" for c in docs.columns], "rate", "copy", (F.col("__r") + F.col("__from")).cast("long").alias("position"))
+    own = [f"`{c}`" for c in docs.columns if c not in ("rate", "copy", "position")]
+    return out.select(*own, F.col("__rate").alias("rate"), F.col("__copy").alias("copy"), (F.col("__r") + F.col("__from")).cast("long").alias("position"))
 
 
 def oracle(seed: int = 17) -> str:

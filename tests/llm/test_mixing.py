@@ -35,6 +35,8 @@ def test_copies_and_places_match_brute_force(spark):
     assert sorted((r.doc_id, r.copy) for r in got) == sorted((i, k) for i, n in want.items() for k in range(n))
     order = sorted(got, key=lambda r: uniform(17, "shuffle", r.doc_id, r.copy))
     assert [r.position for r in order] == list(range(len(got)))
+    spread = M.shuffled(df, buckets=16)
+    assert Counter(r.doc_id for r in spread.collect()) == +want and spread.columns == df.columns and "Exchange hashpartitioning(__bucket" in spread._jdf.queryExecution().toString()
 
 
 def test_weights_and_high_rates(spark):
@@ -45,7 +47,8 @@ def test_weights_and_high_rates(spark):
 
 
 def test_repeats_extra_columns_and_empty(spark):
-    df = spark.createDataFrame([(1, "a", "s", 5), (1, "a", "s", 5), (2, None, "s", 6)], "doc_id long, text string, source string, size int")
+    df = spark.createDataFrame([(1, "a", "s", 5), (1, "a", "s", 5), (2, None, "s", 6)], "doc_id long, text string, source string, rate int")
+    assert M.shuffled(df).columns == df.columns and M.mix(df).columns == ["doc_id", "text", "source", "rate", "copy", "position"]
     got = M.mix(df, epochs=3.0).collect()
     assert sorted(r.position for r in got) == list(range(len(got))) and len({r.copy for r in got if r.doc_id == 1}) * 2 == sum(r.doc_id == 1 for r in got)
     assert M.mix(df.limit(0)).count() == 0
