@@ -204,9 +204,10 @@ def label_batch(texts: list[str | None], words: _Words, spans: bool) -> tuple[li
     if len(words) > words.LIMIT:
         words.__init__(m)
         words.clear()
-    lists = [t.split() if t else [] for t in texts]
-    lens = np.array([len(x) for x in lists], np.int64)
-    ids = np.fromiter((i for x in lists for i in map(words.__getitem__, x)), np.int64, int(lens.sum()))
+    own = [np.fromiter(map(words.__getitem__, t.split() if t else []), np.int32) for t in texts]  # the words of one text at a time
+    lens = np.array([len(x) for x in own], np.int64)
+    ids = np.concatenate(own) if own else np.zeros(0, np.int32)
+    del own
     words.settle()
     starts = np.concatenate([[0], np.cumsum(lens)[:-1]]) if len(lens) else np.zeros(0, np.int64)
     labels = viterbi(words.scores, ids, starts, lens, m.penalty)

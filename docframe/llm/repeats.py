@@ -7,6 +7,8 @@ inserts one symbol of every segment, at the place that the last round's transfor
 inserted suffixes and of their successors, in one sequential sweep over the piles. Runs of suffixes that
 share ``width`` bytes then name the least document of each string, and a document's strings with a lesser one are removed.
 
+A minimizer that very many segments have would be too much for one task. Its strings are dealt out one by one instead, with their hashes.
+
 Segments without a partner (no other document has the minimizer with 19 more bytes on either side, which every shared string needs)
 and repeated segments are left out before. That loses nothing. The piles are arrays of a bounded block of segments rather than
 files: a machine's own folder would be lost with its executor.
@@ -27,11 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_of
+from ._common import stored, text_of
 
 MINI = 12
 #: Text bytes that are cut at once, segment bytes that are sent at once, symbols of a block of segments, text bytes for each bucket.
 PIECE, FLUSH, BLOCK, BUCKET = 1_000_000, 32_000_000, 1_500_000, 8_000_000
+#: Segments that make a minimizer hot, and those in a part of a task from which on it is counted.
+HOT, OFTEN = 200_000, 8
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -94,7 +98,71 @@ def segments(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, width: int)
     return first, last - first + 1, at[first] - first, h[at[first]]
 
 
-def cut(batches, width: int, buckets: int):
+def pieces(batches, width: int):
+    """(doc, key, place, buffer, first, strings, offset, hash): segments of a task's texts, about ``PIECE`` bytes at a time."""
+
+    def cut_up(own: list[tuple[int, int, int, bytes]]):
+        buf = np.frombuffer(b"".join(p[3] for p in own), np.uint8)
+        lens = np.array([len(p[3]) for p in own], np.int64)
+        starts = np.cumsum(lens) - lens
+        first, strings, off, h = segments(buf, starts, lens, width)
+        piece = np.searchsorted(starts, first, side="right") - 1
+        doc, key, at = (np.array([p[i] for p in own], np.int64)[piece] for i in range(3))
+        return doc, key, first - starts[piece] + at, buf, first, strings, off, h
+
+    waiting, own = 0, []
+    for b in batches:
+        for i in range(b.num_rows):
+            doc, key, body = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_buffer()
+            for at in range(0, len(body) - width + 1, PIECE):  # neighbouring pieces share width - 1 bytes
+                own.append((doc, key, at, bytes(body[at : at + PIECE + width - 1])))
+                waiting += len(own[-1][3])
+                if waiting >= PIECE:
+                    yield cut_up(own)
+                    waiting, own = 0, []
+    if own:
+        yield cut_up(own)
+
+
+def among(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which hashes are among the sorted ``hot`` ones."""
+    return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+
+
+def frequent(batches, width: int):
+    """Rows (hash, n): minimizers that ``OFTEN`` or more segments of a part of a task have."""
+
+    def count(held):
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], ["hash", "n"])
+
+    held, size = [], 0
+    for *_, h in pieces(batches, width):
+        held.append(h)
+        size += len(h)
+        if size >= 4_000_000:
+            yield count(held)
+            held, size = [], 0
+    if held:
+        yield count(held)
+
+
+def strings_of(batches, width: int, hot: np.ndarray):
+    """Rows (doc, key, at, h0, h1): the strings whose minimizer is a hot one, each with two hashes."""
+    names = ["doc", "key", "at", "h0", "h1"]
+    for doc, key, start, buf, first, strings, _, h in pieces(batches, width):
+        own = np.flatnonzero(among(h, hot))
+        for some in np.array_split(own, max(1, len(own) // 10_000)):
+            if len(some):
+                n = strings[some]
+                seg = np.repeat(some, n)
+                nth = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
+                rows = np.lib.stride_tricks.sliding_window_view(buf, width)[first[seg] + nth]
+                both = [rows_hash(rows).view(np.int64), rows_hash(rows[:, ::-1]).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[seg], key[seg], start[seg] + nth, *both)], names)
+
+
+def cut(batches, width: int, buckets: int, hot: np.ndarray):
     """Rows (bucket, docs, refs, starts, strings, offs, bytes): the segments of a task for each bucket, compressed."""
     most = 2 * width - MINI
     held: dict[int, list[tuple]] = {}
@@ -112,20 +180,13 @@ def cut(batches, width: int, buckets: int):
         held.clear()
         size = 0
 
-    def add(pieces: list[tuple[int, int, int, bytes]]):
-        nonlocal size
-        buf = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
-        lens = np.array([len(p[3]) for p in pieces], np.int64)
-        starts = np.cumsum(lens) - lens
-        first, strings, off, h = segments(buf, starts, lens, width)
-        if not len(first):
-            return
+    for doc, key, start, buf, first, strings, off, h in pieces(batches, width):
         bucket = (mix(h * _C2) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        first, strings, off, bucket = first[order], strings[order], off[order], bucket[order]
-        piece = np.searchsorted(starts, first, side="right") - 1
-        doc, key, at = (np.array([p[i] for p in pieces], np.int64)[piece] for i in range(3))
-        start = first - starts[piece] + at
+        order = order[~among(h[order], hot)]
+        if not len(order):
+            continue
+        doc, key, start, first, strings, off, bucket = (x[order] for x in (doc, key, start, first, strings, off, bucket))
         wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(most, np.uint8)]), most)[first]
         flat = wide[np.arange(most)[None, :] < (strings + width - 1)[:, None]]
         ends = np.concatenate([[0], np.cumsum(strings + width - 1)])
@@ -133,23 +194,8 @@ def cut(batches, width: int, buckets: int):
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             held.setdefault(int(bucket[x]), []).append((doc[x:y], key[x:y], start[x:y], strings[x:y], off[x:y], flat[ends[x] : ends[y]]))
         size += len(flat)
-
-    pieces: list[tuple[int, int, int, bytes]] = []
-    waiting = 0
-    for b in batches:
-        for i in range(b.num_rows):
-            doc, key, body = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_buffer()
-            for at in range(0, len(body) - width + 1, PIECE):  # neighbouring pieces share width - 1 bytes
-                own = bytes(body[at : at + PIECE + width - 1])
-                pieces.append((doc, key, at, own))
-                waiting += len(own)
-                if waiting >= PIECE:
-                    add(pieces)
-                    pieces, waiting = [], 0
-                    if size >= FLUSH:
-                        yield from flush()
-    if pieces:
-        add(pieces)
+        if size >= FLUSH:
+            yield from flush()
     yield from flush()
 
 
@@ -351,21 +397,39 @@ def found_in(bucket: pa.Table, width: int, parts: int) -> pa.Table:
     docs, keys, starts, strings, offs, flat = (np.concatenate(x) for x in zip(*cells, strict=True))
     cells.clear()
     seg, first, last = bucket_runs(docs, strings, offs, flat, width)
-    place = place_of(docs[seg], keys[seg], parts)
-    order = np.lexsort((starts[seg] + first, keys[seg], docs[seg], place))
-    seg, place, begin, size = seg[order], place[order], (starts[seg] + first)[order], (last - first + width)[order]
-    new = np.ones(len(seg), bool)
-    new[1:] = (np.diff(docs[seg]) != 0) | (np.diff(keys[seg]) != 0) | (np.diff(place) != 0)
+    return answers(docs[seg], keys[seg], starts[seg] + first, last - first + width, parts)
+
+
+def answers(docs: np.ndarray, keys: np.ndarray, begin: np.ndarray, size: np.ndarray, parts: int) -> pa.Table:
+    """Rows (bucket, docs, spans) of byte ranges to remove, for each bucket of documents."""
+    place = place_of(docs, keys, parts)
+    order = np.lexsort((begin, keys, docs, place))
+    docs, keys, begin, size, place = (x[order] for x in (docs, keys, begin, size, place))
+    new = np.ones(len(docs), bool)
+    new[1:] = (np.diff(docs) != 0) | (np.diff(keys) != 0) | (np.diff(place) != 0)
     cuts = np.concatenate([np.flatnonzero(np.diff(place, prepend=-1)), [len(place)]])
     out: list[tuple] = []
     pack = zstandard.ZstdCompressor(level=1).compress
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         heads = np.flatnonzero(new[a:b])
-        named = np.stack([docs[seg[a:b]][heads], keys[seg[a:b]][heads], np.diff(np.append(heads, b - a))])
+        named = np.stack([docs[a:b][heads], keys[a:b][heads], np.diff(np.append(heads, b - a))])
         out.append((int(place[a]), pack(named.astype("<i8").tobytes()), pack(np.stack([begin[a:b], size[a:b]]).astype("<i8").tobytes())))
     return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "docs", "spans"])
 
 
+def hot_answers(batches, width: int, parts: int):
+    """The same of single strings (doc, key, at); neighbours are one range."""
+    for b in batches:
+        docs, keys, at = (b.column(i).to_numpy() for i in range(3))
+        order = np.lexsort((at, keys, docs))
+        docs, keys, at = docs[order], keys[order], at[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(docs) != 0) | (np.diff(keys) != 0) | (np.diff(at) != 1)
+        heads = np.flatnonzero(new)
+        runs = np.diff(np.append(heads, len(at)))
+        yield from answers(docs[heads], keys[heads], at[heads], runs + width - 1, parts).to_batches()
+
+
 def place_of(docs: np.ndarray, keys: np.ndarray, parts: int) -> np.ndarray:
     """The bucket of a document by its id and the hash of its text."""
     return (mix(docs.astype(np.int64).view(np.uint64) * _C1 + keys.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
@@ -379,18 +443,28 @@ def cover(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[heads], b[np.concatenate([heads[1:], [len(a)]]) - 1]
 
 
-def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 50, keep_text: bool = True, bucket_bytes: int = BUCKET) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 50, keep_text: bool = True, bucket_bytes: int = BUCKET, hot_segments: int = HOT) -> DataFrame:
     """``id``, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, removed (array of byte ranges) and kept (binary).
 
     What is left of a text may end within a character, so it is bytes. Texts meet their ranges in buckets of documents.
+    Strings whose minimizer ``hot_segments`` segments have, or a millionth of all, are compared one by one, by two hashes,
+    with partial aggregates before they are sent.
     """
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{id}`").cast("long").alias("doc"), F.xxhash64(text_of(text)).alias("key"), text_of(text).cast("binary").alias("body"))
     total = docs.agg(F.sum(F.octet_length(text_of(text)).cast("long"))).first()[0] or 0
     buckets = max(8, math.ceil(total / bucket_bytes))
     parts = max(8, buckets // 4)
-    sent = rows.filter(F.col("doc").isNotNull()).select("doc", "key", "body").mapInArrow(lambda it: cut(it, width, buckets), "bucket int, " + ", ".join(f"{n} binary" for n in NAMES))
+    named = rows.filter(F.col("doc").isNotNull()).select("doc", "key", "body")
+    often = named.mapInArrow(lambda it: frequent(it, width), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(hot_segments, total // 20_000_000))
+    hot = np.sort(np.array([r.hash for r in often.select("hash").collect()], np.int64).view(np.uint64))  # at most a million
+    sent = named.mapInArrow(lambda it: cut(it, width, buckets, hot), "bucket int, " + ", ".join(f"{n} binary" for n in NAMES))
     found = sent.groupBy("bucket").applyInArrow(lambda t: found_in(t, width, parts), "bucket int, docs binary, spans binary")
     both = rows.mapInArrow(lambda it: text_blocks(it, parts), "bucket int, docs binary, spans binary").union(found)
+    if len(hot):
+        one = stored(named.mapInArrow(lambda it: strings_of(it, width, hot), "doc long, key long, at long, h0 long, h1 long"), "strings")
+        least = one.groupBy("h0", "h1").agg(F.min("doc").alias("least"))
+        hits = one.join(least, ["h0", "h1"]).filter("least < doc").select("doc", "key", "at")
+        both = both.union(hits.mapInArrow(lambda it: hot_answers(it, width, parts), "bucket int, docs binary, spans binary"))
     fields = [f"id {rows.schema['id'].dataType.simpleString()}", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"]
     fields += ["removed array<struct<start:bigint,end:bigint>>", "kept binary"] * keep_text
     return both.groupBy("bucket").applyInArrow(lambda t: cut_out(t, keep_text), ", ".join(fields)).withColumnRenamed("id", id)

@@ -49,6 +49,15 @@ def test_matches_brute_force(spark, seed):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and r.n_removed == sum(x["end"] - x["start"] for x in r.removed) for r in found)
 
 
+def test_hot_minimizers_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(R, "OFTEN", 1)
+    rows = made(5)
+    df = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string").repartition(3)
+    for hot in (1, 12):  # all minimizers, and those of copies
+        found = R.deduplicate(df, hot_segments=hot).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found), key=repr) == brute(rows, 50)
+
+
 def test_pieces_of_long_texts_overlap(spark, monkeypatch):
     monkeypatch.setattr(R, "PIECE", 97)
     monkeypatch.setattr(R, "FLUSH", 2000)
@@ -57,7 +66,7 @@ def test_pieces_of_long_texts_overlap(spark, monkeypatch):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array([(t or "").encode() for _, t in rows], pa.binary())], ["doc", "key", "body"])
-    sent = pa.Table.from_batches(list(R.cut(iter([batch]), 50, 5)))
+    sent = pa.Table.from_batches(list(R.cut(iter([batch]), 50, 5, np.zeros(0, np.uint64))))
     spans = {}
     for b in set(sent["bucket"].to_pylist()):
         for r in R.found_in(sent.filter(pa.compute.equal(sent["bucket"], b)), 50, 3).to_pylist():
