@@ -41,7 +41,8 @@ def labelled(spark: SparkSession, docs: DataFrame | None = None, *, text: str =
     """(token, random): labelled samples to train from.
 
     Random ones are digests written in hexadecimal, base 64 and upper case; ordinary ones are identifiers joined from common
-    words and, if ``docs`` are given, the token runs of at most ``rows`` of them, those with the least hashes, where no rule matches.
+    words and, if ``docs`` are given, token runs of about ``rows`` of their texts where no rule matches: those whose hash is
+    below the bound that leaves so many.
     """
     n = spark.range(generated)
     digest = F.sha2(F.concat(F.lit("random "), F.col("id").cast("string")), 256)
@@ -54,7 +55,10 @@ def labelled(spark: SparkSession, docs: DataFrame | None = None, *, text: str =
     ordinary = n.select(F.when(F.col("id") % 4 == 0, F.concat_ws("_", pick(1), pick(2), pick(3))).when(F.col("id") % 4 == 1, camel).when(F.col("id") % 4 == 2, F.upper(F.concat_ws("_", pick(1), pick(2), pick(3)))).otherwise(F.concat_ws("-", pick(1), pick(2), pick(3))).alias("token"), F.lit(False).alias("random"))
     found = random.unionByName(ordinary)
     if docs is not None:
-        texts = docs.select(text_of(text).alias("t")).orderBy(F.xxhash64("t"), "t").limit(rows)
+        texts = docs.select(text_of(text).alias("t"), F.xxhash64(text_of(text)).alias("h"))
+        share = min(1.0, rows / max(1, docs.count()))
+        # copies of a text are one before they are sent anywhere
+        texts = texts.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("h").agg(F.first("t").alias("t")).select("t")
         for pattern, _, _ in RULES.values():
             texts = texts.withColumn("t", F.regexp_replace("t", pattern, " "))
         runs = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_=-]{6,}"), 0)).alias("token"))
