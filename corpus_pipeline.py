@@ -34,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts with a similarity of 0.8 or more stays, that with the least id."""
     _begin(spark)
-    return simhash.deduplicate(docs, budget=simhash.SIMILAR, width=5)
+    return simhash.deduplicate(docs, share=simhash.SHARE, width=5)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

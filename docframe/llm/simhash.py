@@ -9,7 +9,8 @@ over sorted arrays. It returns a spanning forest of the links it finds, never al
 
 A :class:`Budget` of many bits would prune little. So it has the trie built several times, each with another part of the fingerprint at
 the top and a small budget there (any pair within the whole budget is within it in one part), and has pairs checked by further words
-of a longer fingerprint: ``SIMILAR`` finds texts with a similarity of 0.8 or more.
+of a longer fingerprint: ``SIMILAR`` finds most texts with a similarity of 0.8 or more. :func:`similar_documents` verifies what it finds by the
+exact similarity of the sets of shingles, and finds the rest by shingles in common.
 
 Equal fingerprints are one leaf, so copies cost nothing beyond one aggregation. Null and empty texts have no word and
 fingerprint zero, linked like any other. Repeated rows get equal results; a null id is allowed and is nobody's least id
@@ -63,7 +64,7 @@ def fingerprint(found: list[int]) -> int:
 
 def mixed(found: list[int], word: int) -> list[int] | np.ndarray:
     """Hashes for the fingerprint's further words, made of the first one's."""
-    if not word or not found:
+    if not word or not len(found):
         return found
     h = np.array(found, np.uint64) * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)[word % 3] + 2 * (word // 3))
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -265,12 +266,141 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     return rows.join(ids, "node").select(F.col("id").alias(id), "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", budget: int | Budget = 2, width: int = 3) -> DataFrame:
+# similarity of sets of shingles
+
+#: Least similarity, as a fraction, of texts that are linked.
+SHARE = (4, 5)
+
+
+def _sets(docs: DataFrame, keep: list[str], width: int, words: int) -> DataFrame:
+    """``keep``, node (a hash of the set), fp, more, n and set: the text's distinct shingles, sorted, as one binary."""
+    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1]
+
+    def make(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                own = [np.unique(np.array(hashes(t, width), np.uint64)) for t in b.column(0).to_pylist()]
+                sets = [x.tobytes() for x in own]
+                node = np.array([xxhash.xxh64_intdigest(x, 7) for x in sets], np.uint64).view(np.int64)
+                fps = [pa.array([fingerprint(x) for x in own], pa.int64()), pa.array([[fingerprint(mixed(x, k)) for k in range(1, words)] for x in own], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(node), *fps, pa.array([len(x) for x in own], pa.int32()), pa.array(sets, pa.binary())], [*b.schema.names[1:], "node", "fp", "more", "n", "set"])
+
+    return docs.select("text", *keep).mapInArrow(make, f"{schema}, node long, fp long, more array<bigint>, n int, set binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity, counted exactly."""
+    low, high = share
+    pairs = stored(pairs.filter("a <> b").distinct(), "pairs")
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    own = stored(sets.join(named, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "sets")
+
+    def check(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(high * both >= low * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "similar")
+
+
+def _postings(sets: DataFrame, share: tuple[int, int], sampled: int = 20_000, most: int = 200_000) -> DataFrame:
+    """(key, node): of each set so many shingles, rare ones first, that any two sets with the similarity have one of them in common.
+
+    Which shingles are frequent is learned from a sample. It only decides their order, and any order that is the same for all sets finds all pairs.
+    """
+    low, high = share
+    every = max(1, sets.count() // sampled)
+
+    def count(batches):
+        for b in batches:
+            got = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(0)]
+            key, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    some = sets.filter(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(every)) == 0).select("set").mapInArrow(count, "key long, n long")
+    often = some.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").limit(most).collect()
+    known = np.array([r.key for r in often], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    known, times = known[order], np.array([r.n for r in often], np.int64)[order]
+
+    def make(batches):
+        seen: set[int] = set()
+        for b in batches:
+            keys, nodes = [], []
+            for node, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if node in seen:  # copies in this task; those that are left do no harm
+                    continue
+                if len(seen) >= 1_000_000:
+                    seen.clear()
+                seen.add(node)
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                first = len(x) - -(-low * len(x) // high) + 1 if len(x) else 0
+                n = np.zeros(len(x), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    n = np.where(known[at] == x, times[at], 0)
+                keys.append(x[np.lexsort((x, n))[:first]])
+                nodes.append(np.full(first, node, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+
+    return sets.select("node", "set").mapInArrow(make, "key long, node long")
+
+
+def _similar(keyed: DataFrame, keep: list[str], share: tuple[int, int], width: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, placed): ``keep`` and node of every row, and the root of every node.
+
+    Nodes are distinct sets of shingles. The trie finds most links, and each is verified. What it may have missed is among
+    the sets that have a posting in common and not yet a root; all such pairs are verified, in two rounds: of each root's least set alone, which
+    leaves fewer, then of all.
+    """
+    rows = stored(_sets(keyed, keep, width, SIMILAR.words), "fingerprints")
+    own = stored(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("n").alias("n")), "leaves")
+    sets = rows.select("node", "set")
+    found = _verified(links(own.drop("n"), budget=SIMILAR), sets, share)
+
+    def rooted() -> DataFrame:
+        return stored(own.select("node", "n").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "components")
+
+    posts = stored(_postings(sets, share), "postings")
+    shared = posts.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("key")
+    live = stored(posts.join(shared, "key", "left_semi").distinct(), "shared")
+    near = F.lit(share[1]) * F.least("n", "m") >= F.lit(share[0]) * F.greatest("n", "m")  # others are not similar whatever they hold
+    for whole in (False, True):
+        here = stored(live.join(rooted(), "node"), "rooted")
+        heads = here.groupBy("key", "root").agg(F.min(F.struct("node", "n")).alias("head"))
+        if whole:
+            meet = heads.select("key", "root").join(heads.select("key", F.col("root").alias("other")), "key").filter("root < other")
+            pairs = here.join(meet, ["key", "root"]).select("key", "other", F.col("node").alias("a"), "n")
+            pairs = pairs.join(here.select("key", F.col("root").alias("other"), F.col("node").alias("b"), F.col("n").alias("m")), ["key", "other"])
+        else:
+            first = heads.groupBy("key").agg(F.min("head").alias("first"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+            pairs = heads.join(first, "key").select(F.col("head.node").alias("a"), F.col("head.n").alias("n"), F.col("first.node").alias("b"), F.col("first.n").alias("m"))
+        found = found.union(_verified(pairs.filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets, share))
+    return rows.select(*keep, "node"), rooted().select("node", "root")
+
+
+def similar_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE, width: int = 5) -> DataFrame:
+    """One row per document: ``id`` and component_id, the least id that links of the similarity ``share`` or more reach, none missed and none made up."""
+    keyed = docs.select(F.col(f"`{id}`").alias("id"), text_of(text).alias("text"))
+    rows, placed = _similar(keyed, ["id"], share, width)
+    mine = rows.join(placed, "node")
+    return mine.join(mine.groupBy("root").agg(F.min("id").alias("component_id")), "root").select(F.col("id").alias(id), "component_id")
+
+
+def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", budget: int | Budget = 2, width: int = 3, share: tuple[int, int] | None = None) -> DataFrame:
     """The documents of which each is the one of its component with the least id; equal ids keep one row of the least text.
 
+    With ``share`` components are those of :func:`similar_documents`, otherwise of fingerprints within ``budget``.
     All columns stay. Documents without an id are kept only if their component has no other; of those one stays.
     """
-    found = near_duplicates(docs, id=id, text=text, budget=budget, width=width)
+    found = similar_documents(docs, id=id, text=text, share=share, width=width) if share else near_duplicates(docs, id=id, text=text, budget=budget, width=width)
     keys = {"__none": F.col(f"`{id}`").isNull(), "__id": F.coalesce(F.col(f"`{id}`"), F.lit(0))}
     keep = found.select(F.col("component_id").alias(id)).distinct().select(*[c.alias(k) for k, c in keys.items()])
     mine = docs.withColumns(keys).join(keep, list(keys), "left_semi")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
+from docframe.llm.simhash import hashes
 from tests.llm.test_mixing import poisson, uniform
 from tests.llm.test_packing import PATH, ids_of
 from tests.llm.test_simhash import brute_components, is_similar, similar_signature
@@ -107,3 +108,11 @@ def test_sequences_hold_every_token_once(ran):
             end += length
         assert end <= 1024
     assert PATH
+
+
+def test_one_document_of_each_component_of_similar_texts_stays(ran):
+    docs, made = ran[0][1]
+    own = rows_of(docs)
+    sets = [set(hashes(t or "", 5)) for _, t, _ in own]
+    least = brute_components([(d, s) for (d, *_), s in zip(own, sets, strict=True)], lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    assert sorted(r[0] for r in rows_of(made)) == sorted(set(least))

@@ -144,3 +144,31 @@ def test_nulls_repeats_and_empty(spark):
     assert sorted((r.doc_id or -1, r.component_id) for r in S.near_duplicates(df).filter("component_id is not null").collect()) == [(-1, 4), (4, 4), (4, 4)]
     assert S.deduplicate(df).count() == 2
     assert S.deduplicate(df.limit(0)).count() == 0
+
+
+def edited_pairs(rng, changes):
+    """Isolated pairs of 200 words, the second with so many words replaced."""
+    for k in changes:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        own = list(base)
+        for at in rng.sample(range(2, 39), k):
+            own[at * 5] = f"w{rng.randrange(10**6)}"
+        yield " ".join(base), " ".join(own)
+
+
+def test_links_are_those_of_the_exact_similarity(spark):
+    rng = random.Random(21)
+    texts = [t for pair in edited_pairs(rng, [2, 3, 4, 4, 4, 4, 4, 4, 4, 4, 5, 5, 5, 6, 8]) for t in pair]
+    # sets of few shingles, repeats of one line, chains, no words
+    base = [f"v{i}" for i in range(60)]
+    texts += ["a b c", "a b c", "a b d", "", None, " ".join(["same line of five words"] * 40), " ".join(["same line of five words"] * 9)]
+    texts += [" ".join(base[i : i + 50]) for i in range(0, 10, 2)]
+    sets = [set(S.hashes(t or "", 5)) for t in texts]
+    similar = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    want = brute_components(list(enumerate(sets)), similar)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in S.similar_documents(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    # the fingerprints alone miss some of these
+    sigs = [similar_signature(t) for t in texts]
+    assert any(want[i] == want[i - 1] and not is_similar(sigs[i], sigs[i - 1]) for i in range(1, 30, 2))
