@@ -251,19 +251,28 @@ def links(fps: DataFrame, *, budget: int | Budget = 2, leaves: int = 8192) -> Da
     return dealt.groupBy("turn", "target", "task").applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", budget: int | Budget = 2, width: int = 3) -> DataFrame:
-    """One row per document: ``id``, fp (long) and component_id, the least id among all that can be reached."""
+def _near(keyed: DataFrame, keep: list[str], budget: int | Budget, width: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, placed): ``keep``, fp and node of every row, and the root of every node."""
     words = budget.words if isinstance(budget, Budget) else 1
-    keyed = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = fingerprints(keyed, keep=["id"], width=width, words=words)
+    rows = fingerprints(keyed, keep=keep, width=width, words=words)
     rows = stored(rows.withColumn("node", F.xxhash64("fp", "more")) if words > 1 else rows.withColumn("node", F.col("fp")), "fingerprints")
     more = [F.first("fp").alias("fp"), F.first("more").alias("more")] if words > 1 else [F.first("fp").alias("fp")]
-    own = stored(rows.groupBy("node").agg(F.min("id").alias("least"), *more), "leaves")
-    roots = components(links(own.drop("least"), budget=budget))
-    placed = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = stored(placed.join(least, "root").select("node", "component_id"), "components")
-    return rows.join(ids, "node").select(F.col("id").alias(id), "fp", "component_id")
+    own = stored(rows.groupBy("node").agg(*more), "leaves")
+    roots = components(links(own, budget=budget))
+    return rows.select(*keep, "fp", "node"), stored(own.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "components")
+
+
+def _least(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """(node, component_id): a node's least id is found first, so copies are aggregated where they are."""
+    own = placed.join(rows.groupBy("node").agg(F.min("id").alias("least")), "node")
+    return stored(own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id"), "least")
+
+
+def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", budget: int | Budget = 2, width: int = 3) -> DataFrame:
+    """One row per document: ``id``, fp (long) and component_id, the least id among all that can be reached."""
+    keyed = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows, placed = _near(keyed, ["id"], budget, width)
+    return rows.join(_least(rows, placed).drop("root"), "node").select(F.col("id").alias(id), "fp", "component_id")
 
 
 # similarity of sets of shingles
@@ -390,21 +399,24 @@ def similar_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text"
     """One row per document: ``id`` and component_id, the least id that links of the similarity ``share`` or more reach, none missed and none made up."""
     keyed = docs.select(F.col(f"`{id}`").alias("id"), text_of(text).alias("text"))
     rows, placed = _similar(keyed, ["id"], share, width)
-    mine = rows.join(placed, "node")
-    return mine.join(mine.groupBy("root").agg(F.min("id").alias("component_id")), "root").select(F.col("id").alias(id), "component_id")
+    return rows.join(_least(rows, placed).drop("root"), "node").select(F.col("id").alias(id), "component_id")
 
 
 def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", budget: int | Budget = 2, width: int = 3, share: tuple[int, int] | None = None) -> DataFrame:
     """The documents of which each is the one of its component with the least id; equal ids keep one row of the least text.
 
-    With ``share`` components are those of :func:`similar_documents`, otherwise of fingerprints within ``budget``.
-    All columns stay. Documents without an id are kept only if their component has no other; of those one stays.
+    With ``share`` components are those of :func:`similar_documents`, otherwise of fingerprints within ``budget``. All columns stay.
+    Documents without an id are kept only if their component has no other; of those, one of each component stays, that of the least text.
     """
-    found = similar_documents(docs, id=id, text=text, share=share, width=width) if share else near_duplicates(docs, id=id, text=text, budget=budget, width=width)
-    keys = {"__none": F.col(f"`{id}`").isNull(), "__id": F.coalesce(F.col(f"`{id}`"), F.lit(0))}
-    keep = found.select(F.col("component_id").alias(id)).distinct().select(*[c.alias(k) for k, c in keys.items()])
-    mine = docs.withColumns(keys).join(keep, list(keys), "left_semi")
+    # a text has one component, so a hash of the text leads from a row back to it
+    digest = F.xxhash64(text_of(text))
+    keyed = docs.select(F.col(f"`{id}`").alias("id"), text_of(text).alias("text"), digest.alias("digest"))
+    rows, placed = _similar(keyed, ["id", "digest"], share, width) if share else _near(keyed, ["id", "digest"], budget, width)
+    keep = rows.join(_least(rows, placed), "node").filter(F.col("id").eqNullSafe(F.col("component_id")))
+    none, key = F.col(f"`{id}`").isNull(), F.coalesce(F.col(f"`{id}`"), F.lit(0))
+    keep = keep.select(F.col("id").isNull().alias("__none"), F.coalesce("id", F.lit(0)).alias("__id"), F.col("digest").alias("__digest"), F.col("root").alias("__root")).distinct()
+    mine = docs.withColumns({"__none": none, "__id": key, "__digest": digest}).join(keep, ["__none", "__id", "__digest"])
     others = [c for c in docs.columns if c not in (id, text)]
-    # rows that share an id would all stay: one of them is chosen, where the join has brought them together
-    best = mine.groupBy(*keys).agg(F.min(F.struct(F.col(f"`{text}`").alias("t"), F.col(f"`{id}`").alias("i"), *[F.col(f"`{c}`") for c in others])).alias("__r"))
+    # an id stays once, and without one every component stays
+    best = mine.groupBy("__none", "__id", F.when(F.col("__none"), F.col("__root"))).agg(F.min(F.struct(F.col(f"`{text}`").alias("t"), F.col(f"`{id}`").alias("i"), *[F.col(f"`{c}`") for c in others])).alias("__r"))
     return best.select(*[F.col("__r.i").alias(c) if c == id else F.col("__r.t").alias(c) if c == text else F.col(f"__r.`{c}`") for c in docs.columns])

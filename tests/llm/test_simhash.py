@@ -172,3 +172,12 @@ def test_links_are_those_of_the_exact_similarity(spark):
     # the fingerprints alone miss some of these
     sigs = [similar_signature(t) for t in texts]
     assert any(want[i] == want[i - 1] and not is_similar(sigs[i], sigs[i - 1]) for i in range(1, 30, 2))
+
+
+@pytest.mark.parametrize("share", [None, S.SHARE])
+def test_rows_without_an_id_stay_by_component(spark, share):
+    rows = [(None, "a b c"), (4, "a b c"), (None, "zz"), (None, "zz"), (None, "yy xx"), (2, "copied text"), (6, "copied text"), (6, "own words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = S.deduplicate(df, share=share).collect()
+    # 6 is a copy with one of its texts and stays with the other
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "yy xx"), (0, "zz"), (2, "copied text"), (4, "a b c"), (6, "own words")]
