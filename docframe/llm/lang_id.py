@@ -5,7 +5,10 @@ found by ranges of code points, admits only languages in which that script was s
 language is the log-likelihood of its trigrams. Viterbi with a switching penalty then labels every word of the
 whole text, and the language with the most letters is the document's.
 
-Null, empty and letterless texts are ``und`` with score 0 and no spans. Ties go to the language with more training
+A word speaks for no language if no language has its script, or if its trigrams are in none more likely than they would be if all that
+were seen in it were equally frequent. Its letters count for the whole text but for no language, so texts in no learned language score low.
+
+Null, empty and letterless texts, and those wholly in scripts of no language, are ``und`` with score 0 and no spans. Ties go to the language with more training
 documents, then to the lesser name. Repeated rows are labelled alike, extra columns are ignored, an empty table gives
 an empty result, and if nothing was learned every text is ``und``.
 """
@@ -128,6 +131,8 @@ class _Words(dict):
     def __init__(self, model: Model) -> None:
         self.m, self.new = model, []
         self.scores, self.letters = np.zeros((0, len(model.langs)), np.float32), np.zeros(0, np.int32)
+        self.written, self.spoken = np.zeros(0, np.int32), np.zeros(0, np.int32)  # letters in a known script, and those that speak for a language
+        self.even = np.log(np.maximum(1, (model.logp > model.logp[-1:]).sum(axis=0)))
 
     def __missing__(self, word: str) -> int:
         self[word] = i = len(self)
@@ -138,7 +143,7 @@ class _Words(dict):
         m, n = self.m, len(self.m.langs)
         if not self.new:
             return
-        rows, ends, masks, lens = [], [], [], []
+        rows, ends, masks, lens, spoken = [], [], [], [], []
         unseen = len(m.grams)
         for w in self.new:
             own = letters(w)
@@ -152,7 +157,10 @@ class _Words(dict):
         ends = np.array(ends)
         total = np.concatenate([np.zeros((1, n)), np.cumsum(m.logp[np.array(rows, np.int64)], axis=0, dtype=np.float64)]) if rows else np.zeros((1, n))
         got = (total[ends] - total[np.concatenate([[0], ends[:-1]])]).astype(np.float32)
+        kinds = np.diff(ends, prepend=0)
+        likely = got + kinds[:, None] * self.even[None, :] > 0
         for i, mask in enumerate(masks):
+            spoken.append(lens[i] if mask is not None and likely[i, mask].any() else 0)
             if mask is None:  # no letter, or a script that no language has: it speaks for none
                 got[i] = 0
             elif len(mask) < n:
@@ -160,6 +168,8 @@ class _Words(dict):
                 low[mask] = got[i, mask]
                 got[i] = low
         self.scores, self.letters = np.concatenate([self.scores, got]), np.concatenate([self.letters, np.array(lens, np.int32)])
+        self.spoken = np.concatenate([self.spoken, np.array(spoken, np.int32)])
+        self.written = np.concatenate([self.written, np.array([x if mask is not None else 0 for x, mask in zip(lens, masks, strict=True)], np.int32)])
         self.new = []
 
 
@@ -213,11 +223,13 @@ def label_batch(texts: list[str | None], words: _Words, spans: bool) -> tuple[li
     labels = viterbi(words.scores, ids, starts, lens, m.penalty)
     doc = np.repeat(np.arange(len(texts)), lens)
     share = np.zeros((len(texts), len(m.langs)))
-    np.add.at(share, (doc, labels), words.letters[ids])
-    total = share.sum(axis=1)
+    np.add.at(share, (doc, labels), words.written[ids])
+    spoken = np.zeros_like(share)
+    np.add.at(spoken, (doc, labels), words.spoken[ids])
+    total = np.where(share.any(axis=1), np.bincount(doc, words.letters[ids], len(texts)), 0)
     top = share.argmax(axis=1)
     pred = [m.langs[i] if n else "und" for i, n in zip(top, total, strict=True)]
-    score = [float(share[i, j] / n) if n else 0.0 for i, (j, n) in enumerate(zip(top, total, strict=True))]
+    score = [float(spoken[i, j] / n) if n else 0.0 for i, (j, n) in enumerate(zip(top, total, strict=True))]
     out: list[list[dict]] = []
     if spans:
         for i, (s, n) in enumerate(zip(starts, lens, strict=True)):
@@ -231,7 +243,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
     """``keep`` (all columns by default) and ``lang_pred``, ``lang_score`` and, if asked, ``lang_spans``, which replace columns of these names.
 
     A span is (lang, first, end): words from ``first`` to before ``end``, counted from 0.
-    The score is the share of letters in words labelled with the predicted language.
+    The score is the share of all letters in words labelled with the predicted language that speak for one.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "lang_score", "lang_spans")]
     schema = docs.select(*[f"`{c}`" for c in keep]).schema.simpleString()[len("struct<") : -1]

@@ -58,3 +58,17 @@ def test_nothing_learned_and_empty(spark):
     model = L.train(none)
     assert L.identify(none, model).count() == 0
     assert [r.lang_pred for r in L.identify(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).collect()] == ["und"]
+
+
+def test_texts_in_no_learned_language_score_low(spark, model):
+    import random
+
+    rng = random.Random(5)
+    plain = [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").filter("n_chars between 500 and 900 and lang is not null").orderBy("doc_id").limit(20).collect()]
+    gibberish = " ".join("".join(rng.choice("bcdfghjkqvwxz") for _ in range(rng.randint(4, 9))) for _ in range(60))
+    thai = "ภาษาไทย เป็น ภาษา ที่ มี ระดับ เสียง"
+    rows = [(1, "漢字 かな"), (2, thai), (3, gibberish), (4, f"{thai * 9} {plain[0][:30]}")] + list(enumerate(plain, 100))
+    got = {r.doc_id: r for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [(got[i].lang_pred, got[i].lang_score, got[i].lang_spans) for i in (1, 2)] == [("und", 0.0, [])] * 2
+    assert got[3].lang_score < 0.5 and got[4].lang_score < 0.5
+    assert all(got[i].lang_score > 0.5 for i in got if i >= 100)
