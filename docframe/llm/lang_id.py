@@ -73,11 +73,11 @@ def sample(docs: DataFrame, id: str, lang: str, per_lang: int, parts: int = 64)
     return rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= max(1, per_lang // parts)).select(id).distinct()
 
 
-def train(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", where: Column | None = None, per_lang: int = 3200, max_grams: int = 300_000, penalty: float = 18.0) -> Model:
+def train(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", where: Column | None = None, per_lang: int = 3200, penalty: float = 18.0) -> Model:
     """Learn from rows with a language and a text that satisfy ``where``.
 
-    ``per_lang`` bounds the sample of labelled documents and ``max_grams`` the rows of the model; both, with the number of
-    languages, bound what reaches the driver.
+    ``per_lang`` bounds the sample of labelled documents and with it, and the number of languages, what reaches the driver: all their
+    trigrams, none are dropped.
     """
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if where is not None:
@@ -102,7 +102,7 @@ def train(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.string()), pa.array([x[2] for x in flat], pa.int64())], ["lang", "gram", "n"])
 
     counted = chosen.select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counted.orderBy(F.desc(F.length("gram") < 2), F.desc(F.col("gram").startswith(" ")), F.desc("n"), "lang", "gram").limit(max_grams).collect()
+    found = sorted(counted.collect(), key=lambda r: (r.lang, r.gram))
     size = {r.lang: r.n for r in found if r.gram == ""}
     langs = sorted(size, key=lambda x: (-size[x], x))
     at = {x: i for i, x in enumerate(langs)}

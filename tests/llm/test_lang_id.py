@@ -72,3 +72,14 @@ def test_texts_in_no_learned_language_score_low(spark, model):
     assert [(got[i].lang_pred, got[i].lang_score, got[i].lang_spans) for i in (1, 2)] == [("und", 0.0, [])] * 2
     assert got[3].lang_score < 0.5 and got[4].lang_score < 0.5
     assert all(got[i].lang_score > 0.5 for i in got if i >= 100)
+
+
+def test_a_small_language_keeps_all_its_trigrams(spark):
+    """Beside languages with over 300,000 trigrams, all more frequent."""
+    import itertools
+
+    big = " ".join("".join(chr(0xAC00 + 70 * x + i) for x in w) for w in itertools.permutations(range(60), 3) for i in [0, 1])
+    rows = [(i, big, "big") for i in range(2)] + [(9, "uno dos tres", "small")]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {"^un", "uno", "no$", "^do", "dos", "os$", "^tr", "tre", "res", "es$"} <= set(model.grams) and len(model.grams) > 300_000
+    assert L.identify(spark.createDataFrame([(1, "dos")], "doc_id long, text string"), model).first().lang_pred == "small"
