@@ -289,16 +289,23 @@ class Tables:
             return out.without(own, out.part(own).fill(target[own], fresh[own], discount, rng, 2 * steps))
         return out
 
+    def reseat(self, times: np.ndarray, fresh: np.ndarray, discount: float, rng) -> Tables:
+        """``times`` customers of each entry, one after the other, are drawn evenly and sit down anew; entries that have done leave the arrays."""
+        times = times.copy()
+        while len(who := np.flatnonzero(times > 0)):
+            if 2 * len(who) < self.n:
+                return self.without(who, self.part(who).reseat(times[who], fresh[who], discount, rng))
+            self.leave(who, rng)
+            self.sit(who, fresh[who], discount, rng)
+            times[who] -= 1
+        return self
+
     def sweep(self, target: np.ndarray, fresh: np.ndarray, discount: float, rounds: int, rng) -> Tables:
-        """Seats as many customers as ``target`` says and seats ``rounds`` customers of every entry anew."""
+        """Seats as many customers as ``target`` says; of every entry seats as many anew as it has, ``rounds`` at least."""
         own = np.flatnonzero((target > 1) | (self.customers > 1))
         aim, new = target[own], fresh[own]
         part = self.part(own).fill(aim, new, discount, rng)
-        who = np.flatnonzero(aim > 1)
-        for _ in range(rounds if len(who) else 0):
-            part.leave(who, rng)
-            part.sit(who, new[who], discount, rng)
-        return self.without(own, part)
+        return self.without(own, part.reseat(np.where(aim > 1, np.maximum(aim, rounds), 0), new, discount, rng))
 
 
 def first_tables(target: np.ndarray, fresh: np.ndarray, discount: float, rng) -> Tables:

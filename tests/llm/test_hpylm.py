@@ -100,3 +100,13 @@ def test_empty_tables(spark):
     assert H.score(none, model).count() == 0
     r = H.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
+
+
+def test_a_sweep_reseats_in_proportion_to_the_customers():
+    """From one table, tables of large entries come as near to their expected number in a sweep as those of small ones."""
+    rng = np.random.default_rng(8)
+    target = np.array([2, 10, 3000, 3000])
+    start = H.Tables(np.arange(4), target.copy(), 4)
+    got = start.sweep(target, np.full(4, 200.0), 0.5, 3, rng)
+    assert (got.customers == target).all() and (np.diff(got.owner) >= 0).all()
+    assert (got.count[2:] > 50).all()  # three reseatings leave at most 4
