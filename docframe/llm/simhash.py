@@ -281,62 +281,62 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 SHARE = (4, 5)
 
 
-def _sets(docs: DataFrame, keep: list[str], width: int, words: int) -> DataFrame:
-    """``keep``, node (a hash of the set), fp, more, n and set: the text's distinct shingles, sorted, as one binary."""
-    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1]
+def _frequent(docs: DataFrame, width: int, sampled: int = 2000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, that are in several of about ``sampled`` texts, and in how many.
 
-    def make(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                own = [np.unique(np.array(hashes(t, width), np.uint64)) for t in b.column(0).to_pylist()]
-                sets = [x.tobytes() for x in own]
-                node = np.array([xxhash.xxh64_intdigest(x, 7) for x in sets], np.uint64).view(np.int64)
-                fps = [pa.array([fingerprint(x) for x in own], pa.int64()), pa.array([[fingerprint(mixed(x, k)) for k in range(1, words)] for x in own], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(node), *fps, pa.array([len(x) for x in own], pa.int32()), pa.array(sets, pa.binary())], [*b.schema.names[1:], "node", "fp", "more", "n", "set"])
+    It only decides the order of shingles in :func:`_rare`, and any order that is the same for all sets finds all pairs.
+    """
+    every = max(1, docs.count() // sampled)
 
-    return docs.select("text", *keep).mapInArrow(make, f"{schema}, node long, fp long, more array<bigint>, n int, set binary")
+    def count(batches):
+        for b in batches:
+            got = [np.unique(np.array(hashes(t, width), np.uint64)) for t in b.column(0).to_pylist()]
+            key, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    some = docs.filter(F.pmod("digest", F.lit(every)) == 0).select("text").mapInArrow(count, "key long, n long")
+    often = some.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").limit(most).collect()
+    known = np.array([r.key for r in often], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], np.array([r.n for r in often], np.int64)[order]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity, counted exactly."""
+def _rare(own: np.ndarray, known: np.ndarray, times: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """So many shingles of a set, rare ones first, that any two sets with the similarity have one of them in common."""
     low, high = share
-    pairs = stored(pairs.filter("a <> b").distinct(), "pairs")
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    own = stored(sets.join(named, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "sets")
+    n = np.zeros(len(own), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        n = np.where(known[at] == own, times[at], 0)
+    return own[np.lexsort((own, n))[: len(own) - -(-low * len(own) // high) + 1 if len(own) else 0]]
 
-    def check(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(high * both >= low * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "similar")
+def _node(own: np.ndarray) -> int:
+    """A set's number: a hash, as a signed long."""
+    return int(np.array([xxhash.xxh64_intdigest(own.tobytes(), 7)], np.uint64).view(np.int64)[0])
 
 
-def _postings(sets: DataFrame, share: tuple[int, int], sampled: int = 20_000, most: int = 200_000) -> DataFrame:
-    """(key, node): of each set so many shingles, rare ones first, that any two sets with the similarity have one of them in common.
+def _signed(docs: DataFrame, keep: list[str], share: tuple[int, int], width: int, words: int) -> DataFrame:
+    """``keep``, node, fp and more of the text's set of shingles, n, and keys: its rare shingles as one binary."""
+    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1]
+    known, times = _frequent(docs, width)
 
-    Which shingles are frequent is learned from a sample. It only decides their order, and any order that is the same for all sets finds all pairs.
-    """
-    low, high = share
-    every = max(1, sets.count() // sampled)
+    def make(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                out = []
+                for t in b.column(0).to_pylist():
+                    x = np.unique(np.array(hashes(t, width), np.uint64))
+                    out.append((_node(x), fingerprint(x), [fingerprint(mixed(x, k)) for k in range(1, words)], len(x), _rare(x, known, times, share).tobytes()))
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], *[pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]], [*b.schema.names[1:], "node", "fp", "more", "n", "keys"])
 
-    def count(batches):
-        for b in batches:
-            got = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(0)]
-            key, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+    return docs.select("text", *keep).mapInArrow(make, f"{schema}, node long, fp long, more array<bigint>, n int, keys binary")
 
-    some = sets.filter(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(every)) == 0).select("set").mapInArrow(count, "key long, n long")
-    often = some.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").limit(most).collect()
-    known = np.array([r.key for r in often], np.int64).view(np.uint64)
-    order = np.argsort(known)
-    known, times = known[order], np.array([r.n for r in often], np.int64)[order]
+
+def _postings(rows: DataFrame) -> DataFrame:
+    """(key, node) for each of the keys of ``rows``."""
 
     def make(batches):
         seen: set[int] = set()
@@ -348,38 +348,71 @@ def _postings(sets: DataFrame, share: tuple[int, int], sampled: int = 20_000, mo
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(node)
-                x = np.frombuffer(x.as_buffer(), np.uint64)
-                first = len(x) - -(-low * len(x) // high) + 1 if len(x) else 0
-                n = np.zeros(len(x), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    n = np.where(known[at] == x, times[at], 0)
-                keys.append(x[np.lexsort((x, n))[:first]])
-                nodes.append(np.full(first, node, np.int64))
+                x = np.frombuffer(x.as_buffer(), np.int64)
+                keys.append(x)
+                nodes.append(np.full(len(x), node, np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
 
-    return sets.select("node", "set").mapInArrow(make, "key long, node long")
+    return rows.select("node", "keys").mapInArrow(make, "key long, node long")
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """(node, set): the distinct shingles, sorted, as one binary; one row a node."""
+
+    def make(batches):
+        seen: set[int] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                out = []
+                for digest, t in zip(*(c.to_pylist() for c in whole.slice(at, 500).columns), strict=True):
+                    if digest not in seen:
+                        seen.add(digest)
+                        x = np.unique(np.array(hashes(t, width), np.uint64))
+                        out.append((_node(x), x.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["node", "set"])
+
+    return docs.select("digest", "text").mapInArrow(make, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity, counted exactly."""
+    low, high = share
+
+    def check(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(high * both >= low * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "similar")
 
 
 def _similar(keyed: DataFrame, keep: list[str], share: tuple[int, int], width: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, placed): ``keep`` and node of every row, and the root of every node.
+    """(rows, placed): ``keep``, with digest (a hash of the text), and node of every row, and the root of every node.
 
     Nodes are distinct sets of shingles. The trie finds most links, and each is verified. What it may have missed is among
     the sets that have a posting in common and not yet a root; all such pairs are verified, in two rounds: of each root's least set alone, which
     leaves fewer, then of all.
     """
-    rows = stored(_sets(keyed, keep, width, SIMILAR.words), "fingerprints")
+    rows = stored(_signed(keyed, keep, share, width, SIMILAR.words), "fingerprints")
     own = stored(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("n").alias("n")), "leaves")
-    sets = rows.select("node", "set")
-    found = _verified(links(own.drop("n"), budget=SIMILAR), sets, share)
+    proposed = stored(links(own.drop("n"), budget=SIMILAR).filter("a <> b").distinct(), "proposed")
+    posts = _postings(rows).repartition("key")  # once for both
+    shared = posts.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("key")
+    live = stored(posts.join(shared, "key", "left_semi"), "shared")
+    named = proposed.select(F.col("a").alias("node")).union(proposed.select("b")).union(live.select("node")).distinct()
+    chosen = rows.join(named, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest")).select("digest")
+    sets = stored(_sets(keyed.join(chosen, "digest", "left_semi"), width), "sets")
+    found = _verified(proposed, sets, share)
 
     def rooted() -> DataFrame:
         return stored(own.select("node", "n").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "components")
 
-    posts = stored(_postings(sets, share), "postings")
-    shared = posts.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("key")
-    live = stored(posts.join(shared, "key", "left_semi").distinct(), "shared")
     near = F.lit(share[1]) * F.least("n", "m") >= F.lit(share[0]) * F.greatest("n", "m")  # others are not similar whatever they hold
     for whole in (False, True):
         here = stored(live.join(rooted(), "node"), "rooted")
@@ -397,8 +430,8 @@ def _similar(keyed: DataFrame, keep: list[str], share: tuple[int, int], width: i
 
 def similar_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE, width: int = 5) -> DataFrame:
     """One row per document: ``id`` and component_id, the least id that links of the similarity ``share`` or more reach, none missed and none made up."""
-    keyed = docs.select(F.col(f"`{id}`").alias("id"), text_of(text).alias("text"))
-    rows, placed = _similar(keyed, ["id"], share, width)
+    keyed = docs.select(F.col(f"`{id}`").alias("id"), text_of(text).alias("text"), F.xxhash64(text_of(text)).alias("digest"))
+    rows, placed = _similar(keyed, ["id", "digest"], share, width)
     return rows.join(_least(rows, placed).drop("root"), "node").select(F.col("id").alias(id), "component_id")
 
 
