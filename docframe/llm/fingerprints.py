@@ -2,7 +2,8 @@
 
 A text is cut, without loss, into sections (up to 16 lines, or up to a blank line), these into paragraphs (lines), and these into
 leaves (sentences, of at most 160 code points). A leaf is a digest and its length; a paragraph's digest is that of its
-leaves, a section's that of its paragraphs, and the root that of the sections. Equal roots mean equal texts; where
+leaves, a section's that of its paragraphs, and the root that of the sections. Equal texts have equal roots; different ones
+have them if all their 32-bit digests agree, 1 in 2^32 where they differ in one leaf of equal length. Where
 two trees differ, only differing sections, and in them only differing paragraphs, need a look. All of it is DataFrame functions.
 
 The tree is written as one string: ``root|section(paragraph[leaf leaf]paragraph[leaf])|section(...)``.
