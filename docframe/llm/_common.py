@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,9 +89,42 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, whatever is in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_of(name: str = "text") -> Column:
     """The column as a text, null as the empty one."""
-    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+    return F.coalesce(col(name).cast("string"), F.lit(""))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int = 0, rows: int = 1000, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with at most ``rows`` rows, and ``size`` bytes of text unless it is one text."""
+    for whole in batches:
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(whole.column(column)).cast(pa.int64()), 0)).to_numpy()
+        at = before = 0
+        while at < whole.num_rows:
+            n = max(1, min(rows, int(ends.searchsorted(before + size, side="right")) - at))
+            yield whole.slice(at, n)
+            at, before = at + n, int(ends[at + n - 1])
+
+
+def tidy(run: Callable) -> Callable:
+    """The function over batches; when a task of it ends, its worker, which Spark keeps for other tasks, gives free memory back."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return tidied
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

@@ -8,9 +8,9 @@ budget. A subtree with very many leaves is dealt in blocks, every pair of blocks
 over sorted arrays. It returns a spanning forest of the links it finds, never all pairs.
 
 A :class:`Budget` of many bits would prune little. So it has the trie built several times, each with another part of the fingerprint at
-the top and a small budget there (any pair within the whole budget is within it in one part), and has pairs checked by further words
-of a longer fingerprint: ``SIMILAR`` finds most texts with a similarity of 0.8 or more. :func:`similar_documents` verifies what it finds by the
-exact similarity of the sets of shingles, and finds the rest by shingles in common.
+the top and a small budget there, and has pairs checked by further words of a longer fingerprint: ``SIMILAR`` links most texts with a similarity
+of 0.8 or more by bits alone; ``WIDE`` proposes nearly all such pairs, and within the components of what it proposes
+:func:`similar_documents` compares sets of shingles exactly.
 
 Equal fingerprints are one leaf, so copies cost nothing beyond one aggregation. Null and empty texts have no word and
 fingerprint zero, linked like any other. Repeated rows get equal results; a null id is allowed and is nobody's least id
@@ -26,11 +26,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import BYTES_LOWER, stored, text_of
+from ._common import BYTES_LOWER, col, sliced, stored, text_of, tidy
 from .components import components
+from .hpylm import Words
+from .repeats import mix
 
 
 def hashes(text: str, width: int = 3, seed: int = 42) -> list[int]:
@@ -73,32 +76,34 @@ def mixed(found: list[int], word: int) -> list[int] | np.ndarray:
 
 def fingerprints(docs: DataFrame, *, text: str = "text", keep: list[str], width: int = 3, words: int = 1) -> DataFrame:
     """``keep``, fp and, for longer fingerprints, more: an array of ``words`` - 1 further words."""
-    schema = docs.select(*[f"`{c}`" for c in keep]).schema.simpleString()[len("struct<") : -1]
 
+    @tidy
     def make(batches):
-        for b in batches:
-            found = [hashes(t, width) for t in b.column(0).to_pylist()]
-            own = [pa.array([fingerprint(h) for h in found], pa.int64())]
-            if words > 1:
-                own.append(pa.array([[fingerprint(mixed(h, k)) for k in range(1, words)] for h in found], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *own], [*b.schema.names[1:], *["fp", "more"][: len(own)]])
+        for b in sliced(batches):
+            own = []
+            for t in b.column(0).to_pylist():
+                h = np.array(hashes(t, width), np.uint64)  # of one text at a time
+                own.append([fingerprint(mixed(h, k)) for k in range(words)])
+            more = [pa.array([x[0] for x in own], pa.int64())] + [pa.array([x[1:] for x in own], pa.list_(pa.int64()))] * (words > 1)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *more], [*b.schema.names[1:], *["fp", "more"][: len(more)]])
 
-    rows = docs.select(text_of(text).alias("__text"), *[F.col(f"`{c}`") for c in keep])
-    return rows.mapInArrow(make, f"{schema}, fp long" + ", more array<bigint>" * (words > 1))
+    rows = docs.select(text_of(text).alias("__text"), *[col(c) for c in keep])
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("fp", T.LongType()), *[T.StructField("more", T.ArrayType(T.LongType()))] * (words > 1)])
+    return rows.mapInArrow(make, schema)
 
 
 class _Forest:
-    """Disjoint sets over positions; ``seen`` are the links that joined two of them."""
+    """Disjoint sets over positions; ``edges`` are the links that joined two of them."""
 
     def __init__(self, n: int) -> None:
-        self.up = np.arange(n)
+        self.up, self.edges = np.arange(n), []
 
-    def flat(self) -> np.ndarray:
-        while True:
-            higher = self.up[self.up]
-            if (higher == self.up).all():
-                return self.up
-            self.up = higher
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        found = self.up[at]
+        while not ((higher := self.up[found]) == found).all():
+            found = higher
+        self.up[at] = found
+        return found
 
     def find(self, i: int) -> int:
         up = self.up
@@ -107,14 +112,23 @@ class _Forest:
             i = up[i]
         return i
 
-    def join(self, i: int, j: int) -> None:
-        a, b = self.find(i), self.find(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+    def connect(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Joins the sets of all pairs (x, y), ordered by x."""
+        while True:
+            apart = self.roots(x) != self.roots(y)
+            x, y = x[apart], y[apart]
+            if not len(x):
+                return
+            heads = np.concatenate([[True], np.diff(x) != 0])
+            for i, j in zip(x[heads].tolist(), y[heads].tolist(), strict=True):
+                a, b = self.find(i), self.find(j)
+                if a != b:
+                    self.up[max(a, b)] = min(a, b)
+                    self.edges.append((i, j))
 
 
-def trie_links(fp: np.ndarray, home: np.ndarray, budget: int, depth: int, tile: int = 256, *, early: tuple[int, int] | None = None, more: np.ndarray | None = None, whole: int = 0) -> np.ndarray:
-    """For each leaf its set's first leaf, where leaves within the budget are linked if either is at home.
+def trie_links(fp: np.ndarray, home: np.ndarray, budget: int, depth: int, tile: int = 256, *, early: tuple[int, int] | None = None, more: np.ndarray | None = None, whole: int = 64) -> np.ndarray:
+    """Links (i, j), two rows: a forest that connects all leaves within the budget of which either is at home, each a pair within it.
 
     The leaves share no more than their order: the traversal starts below ``depth`` bits and counts the bits above.
     ``early`` is (levels, budget of these first levels); ``more`` has further words of each fingerprint, and ``whole`` is
@@ -127,32 +141,20 @@ def trie_links(fp: np.ndarray, home: np.ndarray, budget: int, depth: int, tile:
     forest = _Forest(len(fp))
 
     def leaves(a: slice, b: slice) -> None:
-        x, y = fp[a], fp[b]
-        both = x[:, None] ^ y[None, :]
+        tree, other = forest.roots(np.arange(a.start, a.stop)), forest.roots(np.arange(b.start, b.stop))
+        if (tree == other[0]).all() and (other == other[0]).all():
+            return
+        both = fp[a][:, None] ^ fp[b][None, :]
         near = np.bitwise_count(both) <= budget
         if levels < 64:
             near &= np.bitwise_count(both >> np.uint64(64 - levels)) <= first
-        if more is not None:
-            i, j = np.nonzero(near)
-            near[i, j] = np.bitwise_count(both[i, j]) + np.bitwise_count(more[a][i] ^ more[b][j]).sum(axis=1, dtype=np.int64) <= whole
         if a == b:
-            np.fill_diagonal(near, False)
-        if not near.any():
-            return
-        la, lb = np.arange(a.start, a.stop), np.arange(b.start, b.stop)
-        big = len(fp)
-        if not (near & (forest.flat()[la][:, None] != forest.up[lb][None, :])).any():
-            return
-        rows, cols = la.copy(), lb.copy()
-        while True:  # the least position that each leaf reaches within the tile
-            new_rows = np.minimum(rows, np.where(near, cols[None, :], big).min(axis=1))
-            new_cols = np.minimum(cols, np.where(near, new_rows[:, None], big).min(axis=0))
-            if (new_rows == rows).all() and (new_cols == cols).all():
-                break
-            rows, cols = new_rows, new_cols
-        for own, to in ((la, rows), (lb, cols)):
-            for i in np.flatnonzero(to != own):
-                forest.join(int(own[i]), int(to[i]))
+            near = np.triu(near, 1)
+        i, j = np.nonzero(near & (tree[:, None] != other[None, :]))
+        if more is not None and len(i):
+            own = np.bitwise_count(both[i, j]) + np.bitwise_count(more[a][i] ^ more[b][j]).sum(axis=1, dtype=np.int64) <= whole
+            i, j = i[own], j[own]
+        forest.connect(i + a.start, j + b.start)
 
     def split(s: slice, bit: int) -> tuple[slice, slice]:
         part = fp[s]
@@ -175,7 +177,7 @@ def trie_links(fp: np.ndarray, home: np.ndarray, budget: int, depth: int, tile:
         n, m = a.stop - a.start, b.stop - b.start
         if not n or not m or bits > (first if bit <= levels else budget):
             continue
-        if n <= tile and m <= tile or bit == 64:
+        if n <= tile and m <= tile or bit == (levels if budget >= 64 else 64):
             for i in range(a.start, a.stop, tile):
                 for j in range(b.start, b.stop, tile):
                     if a != b or i <= j:
@@ -187,28 +189,26 @@ def trie_links(fp: np.ndarray, home: np.ndarray, budget: int, depth: int, tile:
         else:
             b0, b1 = split(b, bit)
             stack += [(a0, b0, bit + 1, bits), (a1, b1, bit + 1, bits), (a0, b1, bit + 1, bits + 1), (a1, b0, bit + 1, bits + 1)]
-    roots = np.empty(len(fp), np.int64)
-    roots[order] = order[forest.flat()]
-    return roots
+    return order[np.array(forest.edges, np.int64).reshape(-1, 2).T]
 
 
 @dataclass(frozen=True)
 class Budget:
     """How many bits linked fingerprints may differ in.
 
-    The trie is built ``turns`` times, each time with the next ``64 / turns`` bits at the top, where no more than ``first`` may
-    differ: of all bits within ``bits``, one part has as few. ``words`` is the fingerprint's length in words of 64 bits, and
-    ``whole`` its budget; the trie has the first word.
+    The trie is built ``turns`` times, each time with the next ``levels`` bits (by default ``64 / turns``) at the top, where no more than
+    ``first`` may differ. ``bits`` is the budget of the word that has them, and of all words, ``words`` of 64 bits, it is ``whole``.
     """
 
     bits: int = 2
     turns: int = 1
     first: int = 2
     words: int = 1
-    whole: int = 0
+    whole: int = 64
+    levels: int = 0
 
 
-#: For texts with a similarity (of their sets of shingles) of 0.8 or more: such differ in about 15 of 100 bits.
+#: For texts with a similarity (of their sets of shingles) of 0.8 or more by bits alone: such differ in about 15 of 100 bits.
 SIMILAR = Budget(bits=11, turns=4, first=2, words=3, whole=31)
 
 
@@ -218,7 +218,7 @@ def links(fps: DataFrame, *, budget: int | Budget = 2, leaves: int = 8192) -> Da
     ``leaves`` is the number of fingerprints that a task's subtree should have.
     """
     plan = budget if isinstance(budget, Budget) else Budget(budget, 1, budget)
-    levels, n = 64 // plan.turns, fps.count()
+    levels, n = plan.levels or 64 // plan.turns, fps.count()
     depth = max(2, min(24, levels, math.ceil(math.log2(max(1, n) / leaves)))) if n > leaves else 0
     if plan.first > 2:
         depth = min(depth, 16)
@@ -227,8 +227,15 @@ def links(fps: DataFrame, *, budget: int | Budget = 2, leaves: int = 8192) -> Da
     rest = ["id", *["more"] * long]
     rows = fps.select("fp", F.col("node" if long else "fp").alias("id"), *["more"] * long)
     if plan.turns > 1:
-        turned = F.array(*[F.struct(F.lit(t).alias("turn"), (F.col("fp") if t == 0 else F.shiftleft("fp", t * levels).bitwiseOR(F.shiftrightunsigned("fp", 64 - t * levels))).alias("fp")) for t in range(plan.turns)])
-        rows = rows.select(F.explode(turned).alias("t"), *rest).select("t.turn", "t.fp", *rest)
+        words = [F.col("fp"), *[F.get("more", F.lit(k)) for k in range(plan.words - 1)]]
+
+        def turn(t: int) -> Column:
+            """The part at the top of its word, and the other words."""
+            word, by = t * levels // 64, t * levels % 64
+            top = words[word] if by == 0 else F.shiftleft(words[word], by).bitwiseOR(F.shiftrightunsigned(words[word], 64 - by))
+            return F.struct(F.lit(t).alias("turn"), top.alias("fp"), F.array(*[w for k, w in enumerate(words) if k != word]).cast("array<bigint>").alias("more"))
+
+        rows = rows.select(F.explode(F.array(*[turn(t) for t in range(plan.turns)])).alias("t"), "id").select("t.turn", "t.fp", "id", *["t.more"] * long)
     else:
         rows = rows.withColumn("turn", F.lit(0))
     rows = rows.withColumn("node", F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long"))
@@ -244,9 +251,8 @@ def links(fps: DataFrame, *, budget: int | Budget = 2, leaves: int = 8192) -> Da
     def join(t: pa.Table) -> pa.Table:
         ids, fp = t["id"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
         more = np.array(t["more"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).view(np.uint64).reshape(len(t), -1) if long else None
-        to = trie_links(fp, t["home"].to_numpy(), plan.bits, depth, early=(levels, plan.first), more=more, whole=plan.whole)
-        at = np.flatnonzero(to != np.arange(len(to)))
-        return pa.table([pa.array(ids[at]), pa.array(ids[to[at]])], names=["a", "b"])
+        a, b = trie_links(fp, t["home"].to_numpy(), plan.bits, depth, early=(levels, plan.first), more=more, whole=plan.whole)
+        return pa.table([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
     return dealt.groupBy("turn", "target", "task").applyInArrow(join, "a long, b long")
 
@@ -270,7 +276,7 @@ def _least(rows: DataFrame, placed: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", budget: int | Budget = 2, width: int = 3) -> DataFrame:
     """One row per document: ``id``, fp (long) and component_id, the least id among all that can be reached."""
-    keyed = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    keyed = docs.select(col(id).alias("id"), col(text).alias("text"))
     rows, placed = _near(keyed, ["id"], budget, width)
     return rows.join(_least(rows, placed).drop("root"), "node").select(F.col("id").alias(id), "fp", "component_id")
 
@@ -279,177 +285,198 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
 #: Least similarity, as a fraction, of texts that are linked.
 SHARE = (4, 5)
-
-
-def _frequent(docs: DataFrame, width: int, sampled: int = 2000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, sorted, that are in several of about ``sampled`` texts, and in how many.
-
-    It only decides the order of shingles in :func:`_rare`, and any order that is the same for all sets finds all pairs.
-    """
-    every = max(1, docs.count() // sampled)
-
-    def count(batches):
-        for b in batches:
-            got = [np.unique(np.array(hashes(t, width), np.uint64)) for t in b.column(0).to_pylist()]
-            key, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    some = docs.filter(F.pmod("digest", F.lit(every)) == 0).select("text").mapInArrow(count, "key long, n long")
-    often = some.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").limit(most).collect()
-    known = np.array([r.key for r in often], np.int64).view(np.uint64)
-    order = np.argsort(known)
-    return known[order], np.array([r.n for r in often], np.int64)[order]
-
-
-def _rare(own: np.ndarray, known: np.ndarray, times: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    """So many shingles of a set, rare ones first, that any two sets with the similarity have one of them in common."""
-    low, high = share
-    n = np.zeros(len(own), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        n = np.where(known[at] == own, times[at], 0)
-    return own[np.lexsort((own, n))[: len(own) - -(-low * len(own) // high) + 1 if len(own) else 0]]
+#: What may have a similarity of 0.8 or more: such sets differ in about 39 of 256 bits, with a standard deviation of 6, and in 2 bits or fewer
+#: of one of 8 parts of 16 bits but for 1 pair in 600.
+WIDE = Budget(bits=64, turns=8, first=2, words=4, whole=72, levels=16)
+#: Shingles that a task holds of a component it compares within, and of those that it has as columns at once.
+BLOCK, COLUMNS = 2_000_000, 8192
+
+
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, sorted; fewer words than ``width`` are one shingle."""
+    token, _, doc = Words()(texts)
+    n = np.bincount(doc, minlength=len(texts)) - 1  # without the end token
+    first = np.cumsum(n + 1) - n - 1
+    size = np.minimum(n, width)
+    h = mix(np.repeat(size, n + 1).astype(np.uint64) + np.uint64(11))
+    for k in range(width):
+        h[: len(h) - k] = np.where((k < size)[doc[: len(h) - k]], mix(h[: len(h) - k] * np.uint64(0x9E3779B97F4A7C15) + token[k:]), h[: len(h) - k])
+    return [np.unique(h[a : a + m - k + 1]) if m else h[:0] for a, m, k in zip(first.tolist(), n.tolist(), size.tolist(), strict=True)]
+
+
+def sketch(own: np.ndarray, words: int) -> np.ndarray:
+    """``words`` signed longs: a bit is 1 if over half of the set's hashes have it; zeros for an empty set."""
+    if not len(own):
+        return np.zeros(words, np.int64)
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(own), 32_768):  # blocks bound the memory of long texts
+        part = own[at : at + 32_768]
+        wide = np.stack([mixed(part, k) for k in range(words)], axis=1).astype(">u8")
+        ones += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.uint16)
+    return np.packbits(ones * 2 > len(own)).view(">i8").astype(np.int64)
 
 
 def _node(own: np.ndarray) -> int:
     """A set's number: a hash, as a signed long."""
-    return int(np.array([xxhash.xxh64_intdigest(own.tobytes(), 7)], np.uint64).view(np.int64)[0])
+    return xxhash.xxh64_intdigest(own.tobytes(), 7) - (1 << 63)
 
 
-def _signed(docs: DataFrame, keep: list[str], share: tuple[int, int], width: int, words: int) -> DataFrame:
-    """``keep``, node, fp and more of the text's set of shingles, n, and keys: its rare shingles as one binary."""
-    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1]
-    known, times = _frequent(docs, width)
-
-    def make(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                out = []
-                for t in b.column(0).to_pylist():
-                    x = np.unique(np.array(hashes(t, width), np.uint64))
-                    out.append((_node(x), fingerprint(x), [fingerprint(mixed(x, k)) for k in range(1, words)], len(x), _rare(x, known, times, share).tobytes()))
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], *[pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]], [*b.schema.names[1:], "node", "fp", "more", "n", "keys"])
+def _sets(batch: pa.RecordBatch, column: int, width: int) -> list[np.ndarray]:
+    return shingle_sets([bytes(x.as_buffer()) for x in batch.column(column).cast(pa.binary())], width)
 
-    return docs.select("text", *keep).mapInArrow(make, f"{schema}, node long, fp long, more array<bigint>, n int, keys binary")
 
+def _signed(keyed: DataFrame, keep: list[str], width: int, words: int) -> DataFrame:
+    """``keep``, node, fp and more of the text's set of shingles, and n, its size."""
 
-def _postings(rows: DataFrame) -> DataFrame:
-    """(key, node) for each of the keys of ``rows``."""
-
-    def make(batches):
-        seen: set[int] = set()
-        for b in batches:
-            keys, nodes = [], []
-            for node, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if node in seen:  # copies in this task; those that are left do no harm
-                    continue
-                if len(seen) >= 1_000_000:
-                    seen.clear()
-                seen.add(node)
-                x = np.frombuffer(x.as_buffer(), np.int64)
-                keys.append(x)
-                nodes.append(np.full(len(x), node, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
-
-    return rows.select("node", "keys").mapInArrow(make, "key long, node long")
-
-
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, set): the distinct shingles, sorted, as one binary; one row a node."""
-
+    @tidy
     def make(batches):
-        seen: set[int] = set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                out = []
-                for digest, t in zip(*(c.to_pylist() for c in whole.slice(at, 500).columns), strict=True):
-                    if digest not in seen:
-                        seen.add(digest)
-                        x = np.unique(np.array(hashes(t, width), np.uint64))
-                        out.append((_node(x), x.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["node", "set"])
-
-    return docs.select("digest", "text").mapInArrow(make, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity, counted exactly."""
+        for b in sliced(batches, rows=500, size=1_000_000):
+            sets = _sets(b, 0, width)
+            bits = np.stack([sketch(x, words) for x in sets])
+            more = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (words - 1), pa.int32()), pa.array(bits[:, 1:].ravel()))
+            own = [pa.array([_node(x) for x in sets], pa.int64()), pa.array(bits[:, 0]), more, pa.array([len(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *own], [*b.schema.names[1:], "node", "fp", "more", "n"])
+
+    fields = [T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("more", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())]
+    return keyed.select("text", *keep).mapInArrow(make, T.StructType([*[keyed.schema[c] for c in keep], *fields]))
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``a`` has in common with each of ``b``, as a product of matrices, some elements at a time."""
+    flat, other = np.concatenate(a), np.concatenate(b)
+    columns = np.intersect1d(flat, other)
+    out = np.zeros((len(a), len(b)), np.float32)
+
+    def cells(x: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(columns, x)
+        own = (at < len(columns)) & (columns[np.minimum(at, len(columns) - 1)] == x) if len(columns) else np.zeros(len(x), bool)
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[own], at[own]
+
+    (row_a, at_a), (row_b, at_b) = cells(flat, a), cells(other, b)
+    for start in range(0, len(columns), COLUMNS):
+        wide = []
+        for row, at, n in ((row_a, at_a, len(a)), (row_b, at_b, len(b))):
+            own = (at >= start) & (at < start + COLUMNS)
+            wide.append(np.zeros((n, min(COLUMNS, len(columns) - start)), np.float32))
+            wide[-1][row[own], at[own] - start] = 1
+        out += wide[0] @ wide[1].T
+    return out
+
+
+def exact_links(sets: list[np.ndarray], left: np.ndarray, share: tuple[int, int], tile: int = 128) -> list[tuple[int, int]]:
+    """A forest of the pairs of sets with the similarity, of which one is ``left`` and the other not, or any two where all are left."""
     low, high = share
-
-    def check(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(high * both >= low * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "similar")
-
-
-def _similar(keyed: DataFrame, keep: list[str], share: tuple[int, int], width: int) -> tuple[DataFrame, DataFrame]:
+    size = np.array([len(x) for x in sets])
+    forest = _Forest(len(sets))
+    rows = np.flatnonzero(left)
+    cols = rows if left.all() else np.flatnonzero(~left)
+    rows, cols = (x[np.argsort(size[x], kind="stable")] for x in (rows, cols))  # so that few tiles meet
+    for i in range(0, len(rows), tile):
+        a = rows[i : i + tile]
+        for j in range(i if left.all() else 0, len(cols), tile):
+            b = cols[j : j + tile]
+            if high * size[a[-1]] < low * size[b[0]] or high * size[b[-1]] < low * size[a[0]]:
+                continue
+            open = (forest.roots(a)[:, None] != forest.roots(b)[None, :]) & (high * np.minimum(size[a][:, None], size[b][None, :]) >= low * np.maximum(size[a][:, None], size[b][None, :]))
+            if not open.any():
+                continue
+            if len(a) * len(b) <= 16:
+                both = np.array([[len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in b] for x in a])
+            else:
+                both = common([sets[x] for x in a], [sets[y] for y in b])
+            x, y = np.nonzero(open & (high * both >= low * (size[a][:, None] + size[b][None, :] - both)))
+            forest.connect(a[x], b[y])
+    return forest.edges
+
+
+def _compared(texts: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
+    """(a, b): verified links between nodes of a component, for rows (bucket, cc, left, text) of which a bucket is a task."""
+
+    @tidy
+    def run(t: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        t = t.sort_by("cc").combine_chunks()
+        cc = t["cc"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(cc)) + 1).tolist(), len(cc)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = t.slice(a, b - a)
+            own, left = {}, {}
+            for batch in sliced(part.select(["text", "left"]).to_batches(), rows=500, size=1_000_000):
+                for x, side in zip(_sets(batch, 0, width), batch.column(1).to_pylist(), strict=True):
+                    node = _node(x)
+                    own[node] = x
+                    left[node] = side
+            nodes = list(own)
+            found += [(nodes[i], nodes[j]) for i, j in exact_links(list(own.values()), np.array(list(left.values())), share)]
+        yield pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return texts.groupBy("bucket").applyInArrow(lambda t: next(run(t)), "a long, b long")
+
+
+def _similar(keyed: DataFrame, keep: list[str], share: tuple[int, int], width: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, placed): ``keep``, with digest (a hash of the text), and node of every row, and the root of every node.
 
-    Nodes are distinct sets of shingles. The trie finds most links, and each is verified. What it may have missed is among
-    the sets that have a posting in common and not yet a root; all such pairs are verified, in two rounds: of each root's least set alone, which
-    leaves fewer, then of all.
+    Nodes are distinct sets of shingles. The trie proposes links; a component of proposals is compared in one task if it has at most
+    ``block`` shingles, together with other small ones, and otherwise in blocks: every block with the first, and, if that does not
+    connect the component, every block with every other.
     """
-    rows = stored(_signed(keyed, keep, share, width, SIMILAR.words), "fingerprints")
-    own = stored(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("n").alias("n")), "leaves")
-    proposed = stored(links(own.drop("n"), budget=SIMILAR).filter("a <> b").distinct(), "proposed")
-    posts = _postings(rows).repartition("key")  # once for both
-    shared = posts.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("key")
-    live = stored(posts.join(shared, "key", "left_semi"), "shared")
-    named = proposed.select(F.col("a").alias("node")).union(proposed.select("b")).union(live.select("node")).distinct()
-    chosen = rows.join(named, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest")).select("digest")
-    sets = stored(_sets(keyed.join(chosen, "digest", "left_semi"), width), "sets")
-    found = _verified(proposed, sets, share)
-
-    def rooted() -> DataFrame:
-        return stored(own.select("node", "n").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "components")
-
-    near = F.lit(share[1]) * F.least("n", "m") >= F.lit(share[0]) * F.greatest("n", "m")  # others are not similar whatever they hold
-    for whole in (False, True):
-        here = stored(live.join(rooted(), "node"), "rooted")
-        heads = here.groupBy("key", "root").agg(F.min(F.struct("node", "n")).alias("head"))
-        if whole:
-            meet = heads.select("key", "root").join(heads.select("key", F.col("root").alias("other")), "key").filter("root < other")
-            pairs = here.join(meet, ["key", "root"]).select("key", "other", F.col("node").alias("a"), "n")
-            pairs = pairs.join(here.select("key", F.col("root").alias("other"), F.col("node").alias("b"), F.col("n").alias("m")), ["key", "other"])
-        else:
-            first = heads.groupBy("key").agg(F.min("head").alias("first"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-            pairs = heads.join(first, "key").select(F.col("head.node").alias("a"), F.col("head.n").alias("n"), F.col("first.node").alias("b"), F.col("first.n").alias("m"))
-        found = found.union(_verified(pairs.filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets, share))
-    return rows.select(*keep, "node"), rooted().select("node", "root")
+    rows = stored(_signed(keyed, keep, width, WIDE.words), "fingerprints")
+    own = stored(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "more", "n")], F.min("digest").alias("digest")), "leaves")
+    proposed = components(links(own.select("node", "fp", "more"), budget=WIDE, leaves=16_384)).withColumnRenamed("root", "cc")
+    members = stored(own.select("node", "n", "digest").join(proposed, "node"), "members")
+    sized = members.groupBy("cc").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("nodes"))
+    total = sized.agg(F.sum("all")).first()[0] or 0
+    buckets = max(1, math.ceil(2 * total / block))
+    blocks = F.ceil(2 * F.col("all") / block).cast("int")
+    members = stored(members.join(sized, "cc").withColumn("blocks", F.when(F.col("all") <= block, 1).otherwise(blocks)).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")), "members")
+    texts = keyed.select("digest", "text").join(members.select("digest", "cc", "blocks", "block"), "digest")  # of copies in one task, one
+    texts = stored(texts.groupBy("digest").agg(F.first("text").alias("text"), F.first(F.struct("cc", "blocks", "block")).alias("m")).select("digest", "text", "m.*"), "texts")
+    small = texts.filter("blocks = 1").select(F.pmod(F.xxhash64("cc"), F.lit(buckets)).alias("bucket"), "cc", F.lit(True).alias("left"), "text")
+
+    def met(rows: DataFrame, first: bool) -> DataFrame:
+        """Rows for pairs of blocks: with the first one alone, or all others."""
+        others = F.array(F.lit(0)) if first else F.sequence(F.lit(1), F.col("blocks") - 1)
+        pairs = F.transform(F.when((F.col("block") == 0) & F.lit(first), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(others), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+        dealt = rows.withColumn("p", F.explode(pairs)).withColumn("left", (F.col("p.i") == F.col("p.j")) | (F.col("block") == F.col("p.i")))
+        return dealt.select(F.xxhash64("cc", "p.i", "p.j").alias("bucket"), "cc", "left", "text")
+
+    found = stored(_compared(small, share, width), "similar")
+    large = texts.filter("blocks > 1")
+    if not large.isEmpty():
+        found = found.union(stored(_compared(met(large, True), share, width), "similar"))
+        roots = members.filter("blocks > 1").select("node", "cc").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        left = roots.groupBy("cc").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("cc")
+        found = found.union(stored(_compared(met(large.join(left, "cc", "left_semi"), False), share, width), "similar"))
+    placed = own.select("node").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.select(*keep, "node"), stored(placed, "components")
 
 
 def similar_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE, width: int = 5) -> DataFrame:
-    """One row per document: ``id`` and component_id, the least id that links of the similarity ``share`` or more reach, none missed and none made up."""
-    keyed = docs.select(F.col(f"`{id}`").alias("id"), text_of(text).alias("text"), F.xxhash64(text_of(text)).alias("digest"))
+    """One row per document: ``id`` and component_id, the least id that links of the similarity ``share`` or more reach.
+
+    No link is made up: each is verified. The fingerprints may miss one, see ``WIDE``.
+    """
+    keyed = docs.select(col(id).alias("id"), text_of(text).alias("text"), F.xxhash64(text_of(text)).alias("digest"))
     rows, placed = _similar(keyed, ["id", "digest"], share, width)
     return rows.join(_least(rows, placed).drop("root"), "node").select(F.col("id").alias(id), "component_id")
 
 
 def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", budget: int | Budget = 2, width: int = 3, share: tuple[int, int] | None = None) -> DataFrame:
-    """The documents of which each is the one of its component with the least id; equal ids keep one row of the least text.
+    """One document of each component: that with the least id, and of those the one with the least hash of its text.
 
-    With ``share`` components are those of :func:`similar_documents`, otherwise of fingerprints within ``budget``. All columns stay.
-    Documents without an id are kept only if their component has no other; of those, one of each component stays, that of the least text.
+    With ``share`` components are those of :func:`similar_documents`, otherwise of fingerprints within ``budget``. All columns stay, of
+    any name and type. A document without an id stays only where its component has none with an id. Rows that share an id are
+    documents of their own: each component they lead keeps one. Of rows with equal id and text any one stays.
     """
-    # a text has one component, so a hash of the text leads from a row back to it
-    digest = F.xxhash64(text_of(text))
-    keyed = docs.select(F.col(f"`{id}`").alias("id"), text_of(text).alias("text"), digest.alias("digest"))
+    digest = F.xxhash64(text_of(text))  # a text has one component, so its hash leads back to it
+    keyed = docs.select(col(id).alias("id"), text_of(text).alias("text"), digest.alias("digest"))
     rows, placed = _similar(keyed, ["id", "digest"], share, width) if share else _near(keyed, ["id", "digest"], budget, width)
-    keep = rows.join(_least(rows, placed), "node").filter(F.col("id").eqNullSafe(F.col("component_id")))
-    none, key = F.col(f"`{id}`").isNull(), F.coalesce(F.col(f"`{id}`"), F.lit(0))
-    keep = keep.select(F.col("id").isNull().alias("__none"), F.coalesce("id", F.lit(0)).alias("__id"), F.col("digest").alias("__digest"), F.col("root").alias("__root")).distinct()
-    mine = docs.withColumns({"__none": none, "__id": key, "__digest": digest}).join(keep, ["__none", "__id", "__digest"])
-    others = [c for c in docs.columns if c not in (id, text)]
-    # an id stays once, and without one every component stays
-    best = mine.groupBy("__none", "__id", F.when(F.col("__none"), F.col("__root"))).agg(F.min(F.struct(F.col(f"`{text}`").alias("t"), F.col(f"`{id}`").alias("i"), *[F.col(f"`{c}`") for c in others])).alias("__r"))
-    return best.select(*[F.col("__r.i").alias(c) if c == id else F.col("__r.t").alias(c) if c == text else F.col(f"__r.`{c}`") for c in docs.columns])
+    # the least row of a node first, so copies are aggregated where they are
+    key = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("digest"))
+    least = placed.join(rows.groupBy("node").agg(F.min(key).alias("k")), "node").groupBy("root").agg(F.min("k").alias("k"))
+    plain = lambda x: F.coalesce(x.cast("string"), F.lit(""))  # noqa: E731  a null id as a value to join by
+    kept = stored(least.select(F.col("k.none").alias("none"), plain(F.col("k.id")).alias("key"), F.col("k.digest").alias("digest")), "kept")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    mine = docs.select(col(id).isNull().alias("none"), plain(col(id)).alias("key"), digest.alias("digest"), F.struct(*[col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("row"))
+    one = mine.groupBy("none", "key", "digest").agg(F.first("row").alias("row"))
+    return one.join(kept, ["none", "key", "digest"], "left_semi").select(*[F.col(f"row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])

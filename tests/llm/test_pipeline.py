@@ -11,7 +11,7 @@ import corpus_pipeline as C
 from docframe.llm.simhash import hashes
 from tests.llm.test_mixing import poisson, uniform
 from tests.llm.test_packing import PATH, ids_of
-from tests.llm.test_simhash import brute_components, is_similar, similar_signature
+from tests.llm.test_simhash import brute_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -56,13 +56,6 @@ def test_language_drops_what_has_none(ran):
     assert {20_000, 20_001, 20_002} <= left and len(left) < 0.05 * docs.count()
 
 
-def test_one_document_of_each_group_stays(ran):
-    docs, made = ran[0][1]
-    own = rows_of(docs)
-    least = brute_components([(d, similar_signature(t)) for d, t, _ in own], is_similar)
-    assert sorted(r[0] for r in rows_of(made)) == sorted(set(least))
-
-
 def test_secrets_are_replaced_and_texts_without_any_stay(ran):
     docs, made = ran[0][2]
     before, after = {d: t for d, t, _ in rows_of(docs)}, {d: t for d, t, _ in rows_of(made)}

@@ -63,7 +63,12 @@ def test_matches_brute_force(spark):
     got = sorted((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in S.near_duplicates(df).collect())
     assert got == sorted((d, f, c) for (d, _), f, c in zip(rows, want_fp, want, strict=True))
     kept = S.deduplicate(df)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+    # components by row: an id may be in several, and each keeps a document
+    roots = brute_components([(i, f) for i, f in enumerate(want_fp)])
+    least = {}
+    for (d, _), r in zip(rows, roots, strict=True):
+        least[r] = min(least.get(r, (True, 0)), (d is None, d or 0))
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(d for _, d in least.values())
 
 
 @pytest.mark.parametrize(("budget", "leaves"), [(2, 16), (2, 100_000), (1, 16), (0, 16), (3, 16)])
@@ -181,3 +186,66 @@ def test_rows_without_an_id_stay_by_component(spark, share):
     kept = S.deduplicate(df, share=share).collect()
     # 6 is a copy with one of its texts and stays with the other
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "yy xx"), (0, "zz"), (2, "copied text"), (4, "a b c"), (6, "own words")]
+
+
+def test_an_id_of_two_unlike_texts_keeps_both(spark):
+    a, b = "one text about rivers and lakes of the north", "quite another text on stones of the old walls"
+    for rows, want in (([(3, b), (5, a), (5, b)], [(3, b), (5, a)]), ([(5, a), (5, b)], [(5, a), (5, b)])):
+        for share in (None, S.SHARE):
+            kept = S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), share=share).collect()
+            assert sorted((r.doc_id, r.text) for r in kept) == sorted(want)
+
+
+@pytest.mark.parametrize("share", [None, S.SHARE])
+def test_columns_of_any_name_and_type(spark, share):
+    rows = [(1, "a text of six words here", 1, 2, {"k": 1}, 3, 4, 5), (2, "a text of six words here", 1, 2, None, 3, 4, 5), (3, None, 1, 2, {}, 3, 4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t int, i int, m map<string,int>, `with space` int, `a.b` int, node int")
+    kept = S.deduplicate(df, share=share)
+    assert kept.schema.names == df.schema.names and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert kept.filter("doc_id = 1").first().asDict()["m"] == {"k": 1}
+    assert S.deduplicate(df.limit(0), share=share).count() == 0
+
+
+def test_isolated_pairs_at_the_limit_are_found(spark):
+    """Pairs without a third text: 4 changes of 200 words are a similarity of 0.815."""
+    rng = random.Random(5)
+    pairs = list(edited_pairs(rng, [4] * 150 + [5] * 50))
+    df = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in S.similar_documents(df).collect()}
+    linked = [got[2 * i] == got[2 * i + 1] for i in range(len(pairs))]
+    assert sum(linked[:150]) >= 148 and not any(linked[150:])
+
+
+def test_large_components_are_compared_in_blocks(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for _ in range(60):  # near copies, some of which are similar to few others
+        own = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
+            own[at] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    sets = [set(S.hashes(t, 5)) for t in texts]
+    want = brute_components(list(enumerate(sets)), lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    assert 1 < len(set(want)) < 50
+    keyed = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "text", "xxhash64(text) as digest").repartition(3)
+    for block in (600, 2000, 10**6):
+        rows, placed = S._similar(keyed, ["id", "digest"], S.SHARE, 5, block=block)
+        root = {r.id: r.root for r in rows.join(placed, "node").collect()}
+        least = {}
+        for i in sorted(root):
+            least.setdefault(root[i], i)
+        assert [least[root[i]] for i in range(len(texts))] == want
+
+
+def test_sets_and_their_overlaps():
+    rng = random.Random(2)
+    texts = ["", " ", "a", "A b", "b a", "a b c d e", "a b c d e f", "a\tb\x0bc d e f g", "x " * 30] + [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(40))) for _ in range(40)]
+    found = S.shingle_sets([t.encode() for t in texts], 5)
+    brute = [set(S.hashes(t, 5)) for t in texts]
+    assert [len(x) for x in found] == [len(x) for x in brute]
+    for i, a in enumerate(brute):
+        for j, b in enumerate(brute):
+            assert len(np.intersect1d(found[i], found[j])) == len(a & b)
+    filled = [x for x in found if len(x)]
+    assert (S.common(filled, filled) == [[len(set(x.tolist()) & set(y.tolist())) for y in filled] for x in filled]).all()
