@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._common import text_of
+from ._common import col, sliced, text_of, tidy
 
 #: First and last code point of the ranges that decide a letter's script; other letters are ``other``.
 SCRIPTS = [
@@ -79,12 +80,13 @@ def train(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str
     ``per_lang`` bounds the sample of labelled documents and with it, and the number of languages, what reaches the driver: all their
     trigrams, none are dropped.
     """
-    rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.select(col(id).alias("id"), col(text).alias("text"), col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if where is not None:
         rows = rows.filter(where)
     ids = sample(rows, "id", "lang", per_lang)
     chosen = rows.join(F.broadcast(ids), "id", "left_semi")  # at most per_lang ids of each language
 
+    @tidy
     def count(batches):
         from collections import Counter
 
@@ -124,12 +126,16 @@ def train(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str
 
 
 class _Words(dict):
-    """Numbers for words; their scores and letters are computed once per batch of new words."""
+    """Numbers for words; their scores and letters are computed once per batch of new words.
 
-    LIMIT = 250_000
+    Between batches it is emptied if it has over ``LIMIT`` words, or scores for that many in ``SCORES`` numbers.
+    """
+
+    LIMIT, SCORES = 100_000, 4_000_000
 
     def __init__(self, model: Model) -> None:
         self.m, self.new = model, []
+        self.limit = max(1000, min(self.LIMIT, self.SCORES // max(1, len(model.langs))))
         self.scores, self.letters = np.zeros((0, len(model.langs)), np.float32), np.zeros(0, np.int32)
         self.written, self.spoken = np.zeros(0, np.int32), np.zeros(0, np.int32)  # letters in a known script, and those that speak for a language
         self.even = np.log(np.maximum(1, (model.logp > model.logp[-1:]).sum(axis=0)))
@@ -140,12 +146,15 @@ class _Words(dict):
         return i
 
     def settle(self) -> None:
+        new, self.new = self.new, []
+        for at in range(0, len(new), 10_000):
+            self._score(new[at : at + 10_000])
+
+    def _score(self, new: list[str]) -> None:
         m, n = self.m, len(self.m.langs)
-        if not self.new:
-            return
         rows, ends, masks, lens, spoken = [], [], [], [], []
         unseen = len(m.grams)
-        for w in self.new:
+        for w in new:
             own = letters(w)
             lens.append(len(own))
             if own:
@@ -154,10 +163,12 @@ class _Words(dict):
             else:
                 masks.append(None)
             ends.append(len(rows))
-        ends = np.array(ends)
-        total = np.concatenate([np.zeros((1, n)), np.cumsum(m.logp[np.array(rows, np.int64)], axis=0, dtype=np.float64)]) if rows else np.zeros((1, n))
-        got = (total[ends] - total[np.concatenate([[0], ends[:-1]])]).astype(np.float32)
         kinds = np.diff(ends, prepend=0)
+        got = np.zeros((len(new), n), np.float64)
+        at, word = np.array(rows, np.int64), np.repeat(np.arange(len(new)), kinds)
+        for k in range(n):  # a language at a time, whatever their number
+            got[:, k] = np.bincount(word, m.logp[at, k], len(new))
+        got = got.astype(np.float32)
         likely = got + kinds[:, None] * self.even[None, :] > 0
         for i, mask in enumerate(masks):
             spoken.append(lens[i] if mask is not None and likely[i, mask].any() else 0)
@@ -170,7 +181,6 @@ class _Words(dict):
         self.scores, self.letters = np.concatenate([self.scores, got]), np.concatenate([self.letters, np.array(lens, np.int32)])
         self.spoken = np.concatenate([self.spoken, np.array(spoken, np.int32)])
         self.written = np.concatenate([self.written, np.array([x if mask is not None else 0 for x, mask in zip(lens, masks, strict=True)], np.int32)])
-        self.new = []
 
 
 def viterbi(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, lens: np.ndarray, penalty: float) -> np.ndarray:
@@ -211,7 +221,7 @@ def label_batch(texts: list[str | None], words: _Words, spans: bool) -> tuple[li
     m = words.m
     if not m.langs:
         return ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-    if len(words) > words.LIMIT:
+    if len(words) > words.limit:
         words.__init__(m)
         words.clear()
     own = [np.fromiter(map(words.__getitem__, t.split() if t else []), np.int32) for t in texts]  # the words of one text at a time
@@ -246,18 +256,19 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
     The score is the share of all letters in words labelled with the predicted language that speak for one.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "lang_score", "lang_spans")]
-    schema = docs.select(*[f"`{c}`" for c in keep]).schema.simpleString()[len("struct<") : -1]
-    rows = docs.select(text_of(text).alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    rows = docs.select(text_of(text).alias("text"), *[col(c).alias(f"c{i}") for i, c in enumerate(keep)])
     span = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))
-    out = ", ".join([x for x in [schema] if x] + ["lang_pred string", "lang_score double"] + ["lang_spans array<struct<lang:string,first:int,end:int>>"] * spans)
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
+    if spans:
+        fields.append(T.StructField("lang_spans", T._parse_datatype_string("array<struct<lang:string,first:int,end:int>>")))
 
+    @tidy
     def label(batches):
         words = _Words(model)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                pred, score, own = label_batch(b.column(0).to_pylist(), words, spans)
-                more = [pa.array(pred, pa.string()), pa.array(score, pa.float64())] + [pa.array(own, span)] * spans
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], *more], [*b.schema.names[1:], "lang_pred", "lang_score", *["lang_spans"] * spans])
-
-    return rows.mapInArrow(label, out)
+        for b in sliced(batches, rows=2000):
+            pred, score, own = label_batch(b.column(0).to_pylist(), words, spans)
+            more = [pa.array(pred, pa.string()), pa.array(score, pa.float64())] + [pa.array(own, span)] * spans
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *more], [*b.schema.names[1:], "lang_pred", "lang_score", *["lang_spans"] * spans])
+
+    made = rows.mapInArrow(label, T.StructType([*rows.schema.fields[1:], *fields]))
+    return made.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[f.name for f in fields])
