@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import dense_rank_in, stored, text_of
+from ._common import col, dense_rank_in, sliced, stored, text_of, tidy
 
 #: The pattern by which byte-level vocabularies of this family split a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,27 +38,38 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 class Tokens(dict):
     """Ids, as little-endian unsigned 32-bit numbers, of chunks that the splitting pattern never crosses.
 
+    The merges are the vocabulary's, applied by another library that is faster for one text at a time; added tokens of
+    the vocabulary's file stand for themselves wherever a text holds them, as they do in the library the file is made for.
     A chunk is a line feed or what follows a space, the space included. Where white space meets white space the
-    pattern looks ahead, so such texts are encoded whole.
+    pattern looks ahead, so such texts are encoded whole. Short chunks are kept, up to ``LIMIT`` of them.
     """
 
-    LIMIT = 200_000
+    LIMIT, SHORT = 200_000, 40
     AHEAD = re.compile(r"\s\s|\x00")
 
     def __init__(self, path: str) -> None:
         import tiktoken
 
-        vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+        file = json.load(open(path, encoding="utf-8"))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if all(c in byte for c in token) and token != "<|endoftext|>"}
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in file.get("added_tokens", [])}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if all(c in byte for c in token) and token not in self.added}
         self.encode = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = found = np.array(self.encode(chunk), "<u4").tobytes()
+        found = np.array(self.encode(chunk), "<u4").tobytes()
+        if len(chunk) <= self.SHORT:
+            self[chunk] = found
         return found
 
     def ids(self, text: str) -> bytes:
+        if self.cut and any(t in text for t in self.added):
+            return b"".join(self.added.get(part) or self._ids(part) for part in self.cut.split(text) if part)
+        return self._ids(text)
+
+    def _ids(self, text: str) -> bytes:
         if self.AHEAD.search(text):
             return np.array(self.encode(text), "<u4").tobytes()
         if len(self) > self.LIMIT:
@@ -70,32 +81,31 @@ def pieces(docs: DataFrame, tokenizer: str, *, id: str, text: str = "text", capa
     """(``id``, piece, start, length, ids_crc32 and, if asked, ids): one row per piece; ``tokenizer`` is a path on every executor."""
     kind = docs.select(F.col(f"`{id}`")).schema[0]
 
+    @tidy
     def cut(batches):
         tokens = Tokens(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                take, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, t in enumerate(b.column(1).to_pylist()):
-                    own = tokens.ids(t.encode("utf-8", "replace").decode() if not t.isascii() else t) + end
-                    n = len(own) // 4
-                    first = n % capacity or min(n, capacity)
-                    for k, a in enumerate([0, *range(first, n, capacity)]):
-                        part = own[4 * a : 4 * (a + (capacity if k else first))]
-                        take.append(i)
-                        piece.append(k)
-                        start.append(a)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        if keep_ids:
-                            ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-                more = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = [id, "piece", "start", "length", "ids_crc32"]
-                if keep_ids:
-                    more.append(pa.array(ids, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int32())), *more], names)
+        for b in sliced(batches, 1):
+            take, piece, start, length, crc, ids = [], [], [], [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                own = tokens.ids(t.encode("utf-8", "replace").decode() if not t.isascii() else t) + end
+                n = len(own) // 4
+                first = n % capacity or min(n, capacity)
+                for k, a in enumerate([0, *range(first, n, capacity)]):
+                    part = own[4 * a : 4 * (a + (capacity if k else first))]
+                    take.append(i)
+                    piece.append(k)
+                    start.append(a)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    if keep_ids:
+                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+            more = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            names = [id, "piece", "start", "length", "ids_crc32"]
+            if keep_ids:
+                more.append(pa.array(ids, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int32())), *more], names)
 
     schema = f"`{id}` {kind.dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return docs.select(F.col(f"`{id}`"), text_of(text).alias("__text")).mapInArrow(cut, schema)
