@@ -131,7 +131,7 @@ class _Words(dict):
     Between batches it is emptied if it has over ``LIMIT`` words, or scores for that many in ``SCORES`` numbers.
     """
 
-    LIMIT, SCORES = 100_000, 4_000_000
+    LIMIT, SCORES = 200_000, 4_000_000
 
     def __init__(self, model: Model) -> None:
         self.m, self.new = model, []
@@ -152,14 +152,14 @@ class _Words(dict):
 
     def _score(self, new: list[str]) -> None:
         m, n = self.m, len(self.m.langs)
-        rows, ends, masks, lens, spoken = [], [], [], [], []
+        rows, ends, masks, lens = [], [], [], []
         unseen = len(m.grams)
         for w in new:
             own = letters(w)
             lens.append(len(own))
             if own:
                 rows += [m.grams.get(g, unseen) for g in trigrams(own)]
-                masks.append(m.scripts.get(script(own[0])))
+                masks.append(script(own[0]))
             else:
                 masks.append(None)
             ends.append(len(rows))
@@ -170,17 +170,23 @@ class _Words(dict):
             got[:, k] = np.bincount(word, m.logp[at, k], len(new))
         got = got.astype(np.float32)
         likely = got + kinds[:, None] * self.even[None, :] > 0
-        for i, mask in enumerate(masks):
-            spoken.append(lens[i] if mask is not None and likely[i, mask].any() else 0)
-            if mask is None:  # no letter, or a script that no language has: it speaks for none
-                got[i] = 0
-            elif len(mask) < n:
-                low = np.full(n, got[i, mask].min() - 50, np.float32)
-                low[mask] = got[i, mask]
-                got[i] = low
-        self.scores, self.letters = np.concatenate([self.scores, got]), np.concatenate([self.letters, np.array(lens, np.int32)])
-        self.spoken = np.concatenate([self.spoken, np.array(spoken, np.int32)])
-        self.written = np.concatenate([self.written, np.array([x if mask is not None else 0 for x, mask in zip(lens, masks, strict=True)], np.int32)])
+        lens, written, spoken = np.array(lens, np.int32), np.zeros(len(new), np.int32), np.zeros(len(new), np.int32)
+        by_script: dict[str | None, list[int]] = {}
+        for i, s in enumerate(masks):
+            by_script.setdefault(s if s in m.scripts else None, []).append(i)
+        for s, own in by_script.items():
+            if s is None:  # no letter, or a script that no language has: it speaks for none
+                got[own] = 0
+                continue
+            mask = m.scripts[s]
+            written[own] = lens[own]
+            spoken[own] = np.where(likely[np.ix_(own, mask)].any(axis=1), lens[own], 0)
+            if len(mask) < n:
+                low = np.repeat(got[np.ix_(own, mask)].min(axis=1, keepdims=True) - 50, n, axis=1)
+                low[:, mask] = got[np.ix_(own, mask)]
+                got[own] = low
+        for name, x in (("scores", got), ("letters", lens), ("spoken", spoken), ("written", written)):
+            setattr(self, name, np.concatenate([getattr(self, name), x]))
 
 
 def viterbi(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, lens: np.ndarray, penalty: float) -> np.ndarray:
