@@ -2,11 +2,12 @@
 
 A text is cut, without loss, into sections (up to 16 lines, or up to a blank line), these into paragraphs (lines), and these into
 leaves (sentences, of at most 160 code points). A leaf is a digest and its length; a paragraph's digest is that of its
-leaves, a section's that of its paragraphs, and the root that of the sections. Equal texts have equal roots; different ones
-have them if all their 32-bit digests agree, 1 in 2^32 where they differ in one leaf of equal length. Where
-two trees differ, only differing sections, and in them only differing paragraphs, need a look. All of it is DataFrame functions.
+leaves, a section's that of its paragraphs, and the root that of the sections, each made from digests of 128 bits: equal texts have equal
+roots, and different ones have not, short of a collision of MD5. Where two trees differ, only differing sections, and in
+them only differing paragraphs, need a look. All of it is DataFrame functions.
 
-The tree is written as one string: ``root|section(paragraph[leaf leaf]paragraph[leaf])|section(...)``.
+The tree is written as one string: ``root|section(paragraph[leaf leaf]paragraph[leaf])|section(...)``. It shows 128 bits of the root and the first
+64 of any other digest; what is above was made from the whole ones.
 
 Null and empty texts have a root and no section. Each row is treated on its own; repeated rows get equal fingerprints; extra columns
 pass through, whatever their names; an empty table gives an empty one.
@@ -15,6 +16,7 @@ pass through, whatever their names; an empty table gives an empty one.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +27,9 @@ from ._common import text_of
 SECTION = r"(?:[^\n]+\n){0,15}[^\n]*\n*"
 PARAGRAPH = r"[^\n]*\n+|[^\n]+"
 LEAF = r"[^\n.!?]{1,160}[.!?\n]*\x20*|[.!?\n]+\x20*"
-LEAF_TOKEN = r"[0-9a-f]{8}:[0-9]+"
-#: Hexadecimal digits of a leaf's, a paragraph's and a section's digest.
-SHORT = 8
+#: Hexadecimal digits that the string shows of a leaf's, a paragraph's and a section's digest, of 32.
+SHORT = 16
+LEAF_TOKEN = rf"[0-9a-f]{{{SHORT}}}:[0-9]+"
 
 
 def _cut(text: Column, pattern: str) -> Column:
@@ -35,24 +37,33 @@ def _cut(text: Column, pattern: str) -> Column:
 
 
 def _digest(joined: Column) -> Column:
-    return F.substring(F.md5(joined.cast("binary")), 1, SHORT)
+    return F.md5(joined.cast("binary"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _node(parts: Column, left: str, right: str) -> Column:
+    """(full, shown) of the node above ``parts``, which have both."""
+    whole = _digest(F.array_join(F.transform(parts, lambda x: x["full"]), ""))
+    shown = F.array_join(F.transform(parts, lambda x: x["shown"]), " " if left == "[" else "")
+    return _let(whole, lambda d: F.struct(d.alias("full"), F.concat(F.substring(d, 1, SHORT), F.lit(left), shown, F.lit(right)).alias("shown")))
 
 
 def fingerprint(text: Column) -> Column:
     """The tree of a text as a string; of null as of the empty text."""
 
-    def paragraph(p: Column) -> Column:
-        leaves = F.array_join(F.transform(_cut(p, LEAF), lambda x: F.concat(_digest(x), F.lit(":"), F.length(x).cast("string"))), " ")
-        return F.concat(_digest(leaves), F.lit("["), leaves, F.lit("]"))
-
-    def section(s: Column) -> Column:
-        inner = F.array_join(F.transform(_cut(s, PARAGRAPH), paragraph), "")
-        return F.concat(_digest(inner), F.lit("("), inner, F.lit(")"))
+    def leaf(x: Column) -> Column:
+        size = F.concat(F.lit(":"), F.length(x).cast("string"))
+        return _let(_digest(x), lambda d: F.struct(F.concat(d, size).alias("full"), F.concat(F.substring(d, 1, SHORT), size).alias("shown")))
 
+    paragraph = lambda p: _let(F.transform(_cut(p, LEAF), leaf), lambda own: _node(own, "[", "]"))
+    section = lambda s: _let(F.transform(_cut(s, PARAGRAPH), paragraph), lambda own: _node(own, "(", ")"))
     sections = F.transform(F.filter(_cut(F.coalesce(text, F.lit("")), SECTION), lambda s: s != ""), section)
-    body = F.array_join(sections, "|")
-    # sections' digests stand for all below them
-    return F.concat(F.substring(F.sha2(body.cast("binary"), 256), 1, 32), F.lit("|"), body)
+    root = lambda own: F.substring(F.sha2(F.array_join(F.transform(own, lambda x: x["full"]), "").cast("binary"), 256), 1, 32)
+    return _let(sections, lambda own: F.concat(root(own), F.lit("|"), F.array_join(F.transform(own, lambda x: x["shown"]), "|")))
 
 
 def leaves(fp: Column) -> Column:
@@ -75,7 +86,7 @@ def differing(a: Column, b: Column) -> Column:
     Nothing is looked at if the roots agree.
     """
     sections = lambda fp: F.filter(F.split(F.substring(fp, 34, F.length(fp) - 33), r"\|"), lambda s: s != "")
-    paragraphs = lambda s: F.regexp_extract_all(s, F.lit(r"([0-9a-f]{8})\["), 1)
+    paragraphs = lambda s: F.regexp_extract_all(s, F.lit(rf"([0-9a-f]{{{SHORT}}})\["), 1)
     theirs = F.transform(sections(b), lambda s: F.substring(s, 1, SHORT))
     others = F.flatten(F.transform(sections(b), paragraphs))
     marked = F.transform(
@@ -139,9 +150,13 @@ def edited(text: Column, other: Column) -> Column:
 def oracle() -> str:
     """DuckDB SQL for the query over distinct ids."""
     tree = lambda t: f"""list_filter(regexp_extract_all({t}, '{SECTION}'), lambda s: s <> '')"""
-    leaf = f"array_to_string(list_transform(regexp_extract_all(p, '{LEAF}'), lambda x: substr(md5(x), 1, 8) || ':' || length(x)), ' ')"
-    para = f"array_to_string(list_transform(list_transform(regexp_extract_all(s, '{PARAGRAPH}'), lambda p: {leaf}), lambda l: substr(md5(l), 1, 8) || '[' || l || ']'), '')"
-    body = lambda t: f"array_to_string(list_transform(list_transform({tree(t)}, lambda s: {para}), lambda q: substr(md5(q), 1, 8) || '(' || q || ')'), '|')"
+    each = lambda x, f: f"list_transform({x}, lambda v: v.{f})"
+    node = lambda parts, left, right, sep: f"list_transform({parts}, lambda own: {{'d': md5(array_to_string({each('own', 'd')}, '')), 's': '{left}' || array_to_string({each('own', 's')}, '{sep}') || '{right}'}})"
+    shown = lambda nodes: f"list_transform({nodes}, lambda q: {{'d': q.d, 's': substr(q.d, 1, {SHORT}) || q.s}})"
+    leaf = f"list_transform(regexp_extract_all(p, '{LEAF}'), lambda x: {{'d': md5(x) || ':' || length(x), 's': substr(md5(x), 1, {SHORT}) || ':' || length(x)}})"
+    para = shown(node(f"list_transform(regexp_extract_all(s, '{PARAGRAPH}'), lambda p: {leaf})", "[", "]", " "))
+    nodes = lambda t: shown(node(f"list_transform({tree(t)}, lambda s: {para})", "(", ")", ""))
+    whole = lambda n: f"substr(sha256(array_to_string({each(n, 'd')}, '')), 1, 32) || '|' || array_to_string({each(n, 's')}, '|')"
     leaf_set = lambda f: f"list_distinct(regexp_extract_all({f}, '{LEAF_TOKEN}'))"
     weight = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: split_part(y, ':', 2)::BIGINT)), 0)"
     like = lambda a, b: f"CASE WHEN {weight(a)} + {weight(b)} = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * {weight(f'list_intersect({a}, {b})')} / ({weight(a)} + {weight(b)}) END"
@@ -149,7 +164,7 @@ def oracle() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents),
 n AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM d WINDOW w AS (ORDER BY doc_id DESC)),
 e AS (SELECT *, substr(text, 1, n_chars - n_chars // 3) || substr(next_text, 1, n_chars // 3) AS edited FROM n),
-b AS (SELECT *, {body("text")} AS body, {body("edited")} AS edited_body, {body("next_text")} AS next_body FROM e),
-f AS (SELECT *, substr(sha256(body), 1, 32) || '|' || body AS fingerprint, substr(sha256(edited_body), 1, 32) || '|' || edited_body AS edited_fingerprint FROM b),
-l AS (SELECT *, {leaf_set("body")} AS la, {leaf_set("edited_body")} AS le, {leaf_set("next_body")} AS ln FROM f)
+b AS (SELECT *, {nodes("text")} AS own, {nodes("edited")} AS other, {nodes("next_text")} AS next FROM e),
+f AS (SELECT *, {whole("own")} AS fingerprint, {whole("other")} AS edited_fingerprint, {whole("next")} AS next_fingerprint FROM b),
+l AS (SELECT *, {leaf_set("substr(fingerprint, 34)")} AS la, {leaf_set("substr(edited_fingerprint, 34)")} AS le, {leaf_set("substr(next_fingerprint, 34)")} AS ln FROM f)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, {like("la", "le")} AS near_edited, {like("la", "ln")} AS near_next FROM l"""

@@ -11,20 +11,22 @@ def cut(pattern, text):
     return [m for m in re.findall(pattern, text) if m]
 
 
-def short(s):
-    return hashlib.md5(s.encode()).hexdigest()[:8]
+def md5(s):
+    return hashlib.md5(s.encode()).hexdigest()
 
 
 def brute(text):
-    sections = []
+    roots, sections = "", []
     for s in cut(P.SECTION, text or ""):
-        inner = ""
+        paragraphs, shown = "", ""
         for p in cut(P.PARAGRAPH, s):
-            leaves = " ".join(f"{short(x)}:{len(x)}" for x in cut(P.LEAF, p))
-            inner += f"{short(leaves)}[{leaves}]"
-        sections.append(f"{short(inner)}({inner})")
-    body = "|".join(sections)
-    return hashlib.sha256(body.encode()).hexdigest()[:32] + "|" + body
+            leaves = [(md5(x), len(x)) for x in cut(P.LEAF, p)]
+            own = md5("".join(f"{d}:{n}" for d, n in leaves))
+            paragraphs += own
+            shown += f"{own[:16]}[{' '.join(f'{d[:16]}:{n}' for d, n in leaves)}]"
+        roots += md5(paragraphs)
+        sections.append(f"{md5(paragraphs)[:16]}({shown})")
+    return hashlib.sha256(roots.encode()).hexdigest()[:32] + "|" + "|".join(sections)
 
 
 def alike(a, b):
@@ -73,3 +75,16 @@ def test_next_rows_follow_in_descending_order_across_ranges(spark):
 def test_edited_text(spark):
     df = spark.createDataFrame([("abcdefg", "XYZ"), ("abcdef", "Ü"), ("ab", "Z"), ("", "Z"), ("漢字漢字漢字", "😀😁")], "a string, b string")
     assert [r[0] for r in df.select(P.edited(F.col("a"), F.col("b"))).collect()] == ["abcdeXY", "abcdÜ", "ab", "", "漢字漢字😀😁"]
+
+
+def test_texts_that_agree_in_32_bits_of_a_leaf_have_other_roots(spark):
+    a, b = "sentence number 000017546 here.", "sentence number 000024984 here."
+    assert md5(a)[:8] == md5(b)[:8]
+    x, y = (r[0] for r in spark.createDataFrame([(a,), (b,)], "text string").select(P.fingerprint(F.col("text"))).collect())
+    assert x[:32] != y[:32] and x != y
+
+
+def test_very_long_text(spark):
+    text = "A sentence of some words. " * 40_000
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    assert {r.fingerprint for r in P.fingerprinted(df).collect()} == {brute(text)}
