@@ -289,7 +289,7 @@ SHARE = (4, 5)
 #: of one of 8 parts of 16 bits but for 1 pair in 600.
 WIDE = Budget(bits=64, turns=8, first=2, words=4, whole=72, levels=16)
 #: Shingles that a task holds of a component it compares within, and of those that it has as columns at once.
-BLOCK, COLUMNS = 2_000_000, 8192
+BLOCK, COLUMNS = 600_000, 8192
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -363,29 +363,51 @@ def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def exact_links(sets: list[np.ndarray], left: np.ndarray, share: tuple[int, int], tile: int = 128) -> list[tuple[int, int]]:
-    """A forest of the pairs of sets with the similarity, of which one is ``left`` and the other not, or any two where all are left."""
+def exact_links(sets: list[np.ndarray], left: np.ndarray, share: tuple[int, int], tile: int = 512) -> list[tuple[int, int]]:
+    """A forest of the pairs of sets with the similarity, of which one is ``left`` and the other not, or any two where all are left.
+
+    A tile's worth of sets meets all others first: what these connect need not meet again.
+    """
     low, high = share
     size = np.array([len(x) for x in sets])
     forest = _Forest(len(sets))
-    rows = np.flatnonzero(left)
-    cols = rows if left.all() else np.flatnonzero(~left)
-    rows, cols = (x[np.argsort(size[x], kind="stable")] for x in (rows, cols))  # so that few tiles meet
-    for i in range(0, len(rows), tile):
-        a = rows[i : i + tile]
-        for j in range(i if left.all() else 0, len(cols), tile):
-            b = cols[j : j + tile]
-            if high * size[a[-1]] < low * size[b[0]] or high * size[b[-1]] < low * size[a[0]]:
-                continue
-            open = (forest.roots(a)[:, None] != forest.roots(b)[None, :]) & (high * np.minimum(size[a][:, None], size[b][None, :]) >= low * np.maximum(size[a][:, None], size[b][None, :]))
-            if not open.any():
-                continue
-            if len(a) * len(b) <= 16:
-                both = np.array([[len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in b] for x in a])
-            else:
-                both = common([sets[x] for x in a], [sets[y] for y in b])
-            x, y = np.nonzero(open & (high * both >= low * (size[a][:, None] + size[b][None, :] - both)))
-            forest.connect(a[x], b[y])
+
+    def meet(rows: np.ndarray, cols: np.ndarray) -> None:
+        rows, cols = (x[np.argsort(size[x], kind="stable")] for x in (rows, cols))  # so that few tiles meet
+        for i in range(0, len(rows), tile):
+            for j in range(0, len(cols), tile):
+                a, b = rows[i : i + tile], cols[j : j + tile]
+                if high * size[a[-1]] < low * size[b[0]] or high * size[b[-1]] < low * size[a[0]]:
+                    continue
+                x, y = size[a][:, None], size[b][None, :]
+                open = (forest.roots(a)[:, None] != forest.roots(b)[None, :]) & (high * np.minimum(x, y) >= low * np.maximum(x, y))
+                some, others = open.any(axis=1), open.any(axis=0)
+                if not some.any():
+                    continue
+                a, b, open = a[some], b[others], open[np.ix_(some, others)]
+                if len(a) * len(b) <= 16:
+                    both = np.array([[len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in b] for x in a])
+                else:
+                    both = common([sets[x] for x in a], [sets[y] for y in b])
+                x, y = np.nonzero(open & (high * both >= low * (size[a][:, None] + size[b][None, :] - both)))
+                forest.connect(a[x], b[y])
+
+    def apart(own: np.ndarray) -> np.ndarray:
+        """Those not in the largest set of all."""
+        return own[forest.roots(own) != np.bincount(forest.roots(np.arange(len(sets)))).argmax()]
+
+    spread = lambda x: x[:: max(1, len(x) // tile)][:tile]
+    every = np.arange(len(sets))
+    rows, cols = (every, every) if left.all() else (np.flatnonzero(left), np.flatnonzero(~left))
+    if not len(rows) or not len(cols):
+        return []
+    meet(spread(rows), cols)
+    if left.all():
+        meet(apart(every), every)
+    else:
+        meet(rows, spread(cols))
+        meet(apart(rows), cols)
+        meet(rows, apart(cols))
     return forest.edges
 
 
