@@ -21,6 +21,8 @@ HIDDEN = "__df_"
 POS, GROUP, GROUP_POS, ITEM_POS, DOC = (HIDDEN + x for x in ("pos", "group", "group_pos", "item_pos", "doc"))
 #: Rows of a range that one task numbers.
 RANGE_ROWS = 1_000_000
+#: Places up to which the first rows are brought together to find the one there.
+FEW = 10_000
 
 
 class Camel:
@@ -156,8 +158,12 @@ class Rows(Camel):
 
     def nth(self, index: int) -> object:
         """The row at a place from 0."""
-        rows = self._rows()
-        found = rows.orderBy(*self._order().columns()).offset(index).limit(1).collect() if index >= 0 else []
+        rows, order = self._rows(), self._order()
+        if index > FEW:
+            place = HIDDEN + "place"
+            found = numbered(rows, order, place).filter(quoted(place) == index).drop(place).collect()
+        else:
+            found = rows.orderBy(*order.columns()).offset(index).limit(1).collect() if index >= 0 else []
         if not found:
             raise QueryError(self.NTH.format(index=index, n=rows.count()))
         return self._value(found[0])

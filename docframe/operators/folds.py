@@ -4,19 +4,24 @@ A fold's function gets the state and the item (or columns at paths). First it is
 to the state, multiplies it, or takes the greater or lesser of it and something of the item, the fold is an aggregate, and a
 scan a window over ranges of rows whose totals are carried over, both distributed. Any other function has to see the rows
 one after the other: it is called with plain values, in order, as the rows arrive at the driver; a scan does so in one task.
+A function that asks whether a value is None can't tell by columns: ``plain=True``, for a scan a ``schema``, says that it wants plain values.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from docframe.errors import QueryError
+
 from .base import HIDDEN, RANGE_ROWS, Order, no_stream, numbered, quoted
 
 if TYPE_CHECKING:
@@ -75,7 +80,9 @@ def _step(query: Items, fn: Callable, paths: list[str] | None) -> State | None:
         return None
     try:
         found = fn(State(), *([query.column(p)[0] for p in paths] if paths else [Item(query)]))
-    except Exception:  # it isn't made of columns
+    except QueryError:  # no such path
+        raise
+    except (TypeError, ValueError, AttributeError):  # what plain Python does to columns; any other error is the function's own
         return None
     return found if isinstance(found, State) and found.op else None
 
@@ -109,8 +116,8 @@ def _arguments(query: Items, paths: list[str] | None):
     return ordered, lambda r: [PlainItem(v) if isinstance(v := value(r), dict) else v]
 
 
-def fold(query: Items, fn: Callable, init: object, paths: list[str] | None = None) -> object:
-    step = _step(query, fn, paths)
+def fold(query: Items, fn: Callable, init: object, paths: list[str] | None = None, plain: bool = False) -> object:
+    step = None if plain else _step(query, fn, paths)
     if step:
         found = query._rows().agg(step.aggregate(step.operand).alias("x")).first().x
         return step.join_values(init, found)
@@ -124,7 +131,7 @@ def fold(query: Items, fn: Callable, init: object, paths: list[str] | None = Non
 def scan(query: Items, fn: Callable, init: object, schema: str | None = None) -> Items:
     at = HIDDEN + "place"
     spark = query.df.sparkSession
-    step = _step(query, fn, None)
+    step = None if schema else _step(query, fn, None)
     if step is None:
         return _scan_rows(query, fn, init, schema)
     rows = numbered(query._rows().withColumn(HIDDEN + "x", step.operand), query._order(), at).select(at, HIDDEN + "x")
@@ -149,27 +156,23 @@ def _scan_rows(query: Items, fn: Callable, init: object, schema: str | None) ->
     kind = schema or {bool: "boolean", int: "bigint", float: "double", str: "string"}[type(init)]
     shown, scalar = [c for c in query.df.columns if not c.startswith(HIDDEN)], query.scalar
 
-    def run(batches):
-        import pandas as pd
+    value_type = to_arrow_type(T._parse_datatype_string(kind))
 
+    def run(batches):
         state, n = init, 0
-        yield pd.DataFrame({at: [0], "value": [init]})
-        for pdf in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([init], value_type)], [at, "value"])
+        for b in batches:
             out = []
-            for r in pdf.to_dict("records"):
-                state = fn(state, r["value"] if scalar else PlainItem({c: r[c] for c in shown}))
-                n += 1
-                out.append((n, state))
-            yield pd.DataFrame(out, columns=[at, "value"])
+            for r in b.to_pylist(maps_as_pydicts="lossy"):
+                state = fn(state, r["value"] if scalar else PlainItem(r))
+                out.append(state)
+            yield pa.RecordBatch.from_arrays([pa.array(range(n + 1, n + 1 + len(out)), pa.int64()), pa.array(out, value_type)], [at, "value"])
+            n += len(out)
 
     # the state passes from row to row, so one task reads the sorted rows, a batch at a time
     one = rows.select(*[quoted(c) for c in shown]).coalesce(1) if not rows.isEmpty() else None
     if one is None:
         out = spark.createDataFrame([(0, init)], f"{at} bigint, value {kind}")
     else:
-        out = one.mapInPandas(run, f"{at} bigint, value {kind}")
+        out = one.mapInArrow(run, f"{at} bigint, value {kind}")
     return query._fresh(out, Order(((at, True),)), scalar=True)
-
-
-def ranges_for(rows: int) -> int:
-    return math.ceil(rows / RANGE_ROWS)

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docframe.errors import PathError, QueryError
 from docframe.functions import coerce
@@ -21,7 +23,7 @@ from docframe.plans import expression, mongo
 
 from . import folds
 from .aggregate import Aggregate
-from .base import GROUP, HIDDEN, ITEM_POS, POS, Indices, Order, Paths, Rows, Values, no_stream, numbered, quoted, visible
+from .base import FEW, GROUP, HIDDEN, ITEM_POS, POS, Indices, Order, Paths, Rows, Values, no_stream, numbered, quoted, visible
 from .groups import Groups
 from .where import Where
 
@@ -225,11 +227,13 @@ class Items(Rows):
         return self._kept(self._rows().orderBy(*self._order().columns()).limit(max(0, n)))
 
     def drop(self, n: int) -> Items:
-        """All but the first n: what isn't before the row at place n, so nothing is brought together."""
+        """All but the first n: what isn't before the row at place n; beyond ``FEW`` rows, by ranges that are numbered each on its own."""
         if n <= 0:
             return self._kept(self._rows())
         rows, order = self._rows(), self._order()
         no_stream(rows, "drop")
+        if n > FEW:
+            return self._kept(numbered(rows, order, HIDDEN + "place").filter(quoted(HIDDEN + "place") >= n).drop(HIDDEN + "place"))
         at = rows.select(*self._hidden()).orderBy(*order.columns()).offset(n).limit(1).collect()
         return self._kept(rows.filter(order.beyond(at[0], including=True) if at else F.lit(False)))
 
@@ -384,27 +388,30 @@ class Items(Rows):
 
     def _applied(self, fn: Callable[[dict | object], object], schema: str, many: bool) -> Items:
         """A Python function over rows, in Arrow batches; ``schema`` declares what it returns."""
-        rows, order, value = self._rows(), self._order(), self._value
-        keys = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k, _ in order.keys]
+        rows, order = self._rows(), self._order()
         kind = T._parse_datatype_string(schema)
-        fields = [(f.name, f.dataType.simpleString()) for f in kind.fields] if isinstance(kind, T.StructType) else [("value", kind.simpleString())]
-        struct, names = isinstance(kind, T.StructType), [f[0] for f in fields]
-        declared = ", ".join([*keys, *[f"`{n}` {t}" for n, t in fields], *[f"`{HIDDEN}sub` int"] * many])
+        struct = isinstance(kind, T.StructType)
+        fields = list(kind.fields) if struct else [T.StructField("value", kind)]
+        declared = T.StructType([*[rows.schema[k] for k, _ in order.keys], *fields, *[T.StructField(HIDDEN + "sub", T.IntegerType())] * many])
         shown, hidden, sub, scalar = visible(self.df), [k for k, _ in order.keys], HIDDEN + "sub", self.scalar
+        names, arrow = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
 
         def run(batches):
-            import pandas as pd
-
-            for pdf in batches:
-                out = []
-                for r in pdf.to_dict("records"):
+            for b in batches:
+                take, subs, out = [], [], [[] for _ in names]
+                # plain values: a null is None, whatever the column's type
+                for k, r in enumerate(b.to_pylist(maps_as_pydicts="lossy")):
                     result = fn(r["value"] if scalar else {c: r[c] for c in shown})
                     for i, x in enumerate(result if many else [result]):
-                        out.append({k: r[k] for k in hidden} | ({n: x[n] for n in names} if struct else {"value": x}) | {sub: i})
-                yield pd.DataFrame(out, columns=[*hidden, *names, *[sub] * many])
-
-        del value
-        df = rows.mapInPandas(run, declared)
+                        take.append(k)
+                        subs.append(i)
+                        for n, own in zip(names, out, strict=True):
+                            own.append(x[n] if struct else x)
+                at = pa.array(take, pa.int32())
+                made = [pa.array(own, t) for own, t in zip(out, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in hidden], *made, *[pa.array(subs, pa.int32())] * many], [*hidden, *names, *[sub] * many])
+
+        df = rows.mapInArrow(run, declared)
         return self._fresh(df, Order((*order.keys, (sub, True))) if many else order, scalar=not struct)
 
     def map(self, fn: Callable, schema: str | None = None) -> Items:
@@ -440,24 +447,24 @@ class Items(Rows):
 
     # folds
 
-    def reduce(self, fn: Callable, init: object) -> object:
-        """A left fold in order: see :mod:`docframe.operators.folds` for what runs distributed."""
-        return folds.fold(self, fn, init)
+    def reduce(self, fn: Callable, init: object, *, plain: bool = False) -> object:
+        """A left fold in order: see :mod:`docframe.operators.folds` for what runs distributed. With ``plain``, ``fn`` is plain Python."""
+        return folds.fold(self, fn, init, plain=plain)
 
     fold = reduce
 
-    def reduce2(self, a: str, b: str, fn: Callable, init: object) -> object:
-        return self.reducen([a, b], fn, init)
+    def reduce2(self, a: str, b: str, fn: Callable, init: object, *, plain: bool = False) -> object:
+        return self.reducen([a, b], fn, init, plain=plain)
 
     fold2 = reduce2
 
-    def reducen(self, paths: list[str], fn: Callable, init: object) -> object:
-        return folds.fold(self, fn, init, paths)
+    def reducen(self, paths: list[str], fn: Callable, init: object, *, plain: bool = False) -> object:
+        return folds.fold(self, fn, init, paths, plain)
 
     foldn = reducen
 
     def scan(self, fn: Callable, init: object, schema: str | None = None) -> Items:
-        """All states of a left fold, the first being ``init``: one more than there are items."""
+        """All states of a left fold, the first being ``init``: one more than there are items. With ``schema``, ``fn`` is plain Python."""
         return folds.scan(self, fn, init, schema)
 
     # pairs

@@ -387,3 +387,99 @@ def zip_queries(spark, sf_dir) -> DataFrame:
 @query("SELECT n_nationkey * k * 10 AS value FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey DESC) AS k FROM nation) WHERE k <= 4")
 def zip_with(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "nation", ["n_nationkey"]).sort("n_nationkey", "desc").zip_with([10, 20, 30, 40], lambda n, x: n["n_nationkey"] * x).unordered()
+
+
+# what the queries above leave out
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END IS NULL AS none, coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END, -1) AS user FROM events")
+def map_python_nulls(spark, sf_dir) -> DataFrame:
+    q = table(spark, sf_dir, "events").map(lambda e: {"event_id": e["event_id"], "u": F.when(e["event_id"] % 3 != 0, e["user_id"])})
+    return q.map(lambda r: {"event_id": r["event_id"], "none": r["u"] is None, "user": -1 if r["u"] is None else r["u"]}, "event_id bigint, none boolean, user bigint").unordered()
+
+
+@query("SELECT event_id AS value FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT NULL FROM events WHERE event_id % 3 = 0")
+def flat_map_python_nulls(spark, sf_dir) -> DataFrame:
+    q = table(spark, sf_dir, "events").map(lambda e: {"u": F.when(e["event_id"] % 3 != 0, e["event_id"])})
+    return q.flat_map(lambda r: [r["u"]], "bigint").unordered()
+
+
+@query("SELECT count(*) FILTER (n_regionkey <> 2) OVER (ORDER BY n_nationkey) AS value FROM nation UNION ALL SELECT 0")
+def scan_python_nulls(spark, sf_dir) -> DataFrame:
+    q = table(spark, sf_dir, "nation", ["n_nationkey"]).map(lambda n: {"r": F.when(n["n_regionkey"] != 2, n["n_regionkey"])})
+    return q.scan(lambda a, n: a if n["r"] is None else a + 1, 0, "bigint").unordered()
+
+
+@query("SELECT p_partkey FROM part WHERE p_size IN (1, 5, 9) AND regexp_matches(p_brand, '^Brand#[1-3]') AND NOT (p_size = 5 OR p_retailprice < 950)")
+def where_sift_logic(spark, sf_dir) -> DataFrame:
+    both = {"$and": [{"p_size": {"$in": [1, 5, 9]}}, {"p_brand": {"$regex": "^Brand#[1-3]"}}], "$nor": [{"p_size": 5}, {"p_retailprice": {"$lt": 950}}]}
+    return table(spark, sf_dir, "part").where_sift(both).pick("p_partkey").unordered()
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0")
+def where_sift_arrays(spark, sf_dir) -> DataFrame:
+    q = table(spark, sf_dir, "customer").map(lambda c: {"c_custkey": c["c_custkey"], "tags": F.array(F.lit("a"), F.when(c["c_custkey"] % 5 == 0, F.lit("five")).otherwise(F.lit("no"))), "n": F.array(c["c_custkey"] % 5)})
+    return q.where_sift({"tags": {"$all": ["a", "five"]}, "n": {"$elemMatch": {"$lt": 1}}, "c_custkey": {"$type": "number"}}).pick("c_custkey").unordered()
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 0 AND n_regionkey < 3")
+def where_sift_function(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "nation").where_sift({"$where": lambda n: n["n_nationkey"] % 2 == 0, "n_regionkey": {"$lt": 3}}).pick("n_nationkey").unordered()
+
+
+@query("SELECT r_regionkey FROM region WHERE NOT lower(r_name) = 'asia'")
+def where_not_equals(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "region").where("r_name").not_().equals("asia").pick("r_regionkey").unordered()
+
+
+@query("SELECT n_nationkey FROM nation WHERE contains(lower(n_name), 'an')")
+def where_contains_name(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "nation").where("n_name").contains("AN").pick("n_nationkey").unordered()
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O' AND o_totalprice > 50000 AND o_totalprice < 250000 AND o_totalprice <= 249000 AND NOT o_orderpriority ILIKE '%low%' AND o_orderpriority ILIKE '%-%'")
+def where_if_present(spark, sf_dir) -> DataFrame:
+    q = table(spark, sf_dir, "orders").where_not_if_present("o_orderstatus", "o").greater_than_if_present("o_totalprice", 50000).less_than_if_present("o_totalprice", 250000).less_than_or_equal_if_present("o_totalprice", 249000)
+    return q.not_contains_if_present("o_orderpriority", "low").filter_if_present("o_orderpriority contains '-'").pick("o_orderkey").unordered()
+
+
+@query("SELECT p_partkey FROM part WHERE starts_with(p_brand, 'Brand#2') AND NOT ends_with(p_brand, '1') AND ends_with(p_brand, '3')")
+def where_affixes_if_present(spark, sf_dir) -> DataFrame:
+    q = table(spark, sf_dir, "part").starts_with_if_present("p_brand", "brand#2").not_ends_with_if_present("p_brand", "1").ends_with_if_present("p_brand", "3")
+    return q.where_if_present("p_brand", "Brand#23").pick("p_partkey").unordered()
+
+
+@query("SELECT n_regionkey, min(c_custkey) AS c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey")
+def distinct_path(spark, sf_dir) -> DataFrame:
+    return nested(spark, sf_dir).array("customers").distinct("nation.n_regionkey").pick({"n_regionkey": "nation.n_regionkey", "c_custkey": "c_custkey"}).unordered()
+
+
+@query("SELECT (SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 1) AS first, (SELECT n_name FROM nation ORDER BY n_nationkey DESC LIMIT 1) AS last, (SELECT n_name FROM nation ORDER BY n_nationkey OFFSET 3 LIMIT 1) AS nth, count(*) AS n, max(CASE WHEN n_nationkey = 7 THEN n_name END) AS one, true AS among FROM nation")
+def values_endings(spark, sf_dir) -> DataFrame:
+    q = table(spark, sf_dir, "nation", ["n_nationkey"])
+    v = q.pluck("n_name")
+    found = (v.first(), v.last(), v.nth(3), v.count(), q.where("n_nationkey").eq(7).pluck("n_name").one(), v.random(seed=1) in v.to_list())
+    return spark.createDataFrame([found], "first string, last string, nth string, n bigint, one string, among boolean")
+
+
+@query("SELECT min(k) AS first, max(k) AS last, count(*) AS n, 'customers[' || min(k) || ']' AS path, 'customers[' || max(k) || ']' AS last_path FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS k, c_acctbal FROM customer) WHERE c_acctbal < 0")
+def index_and_path_endings(spark, sf_dir) -> DataFrame:
+    q = nested(spark, sf_dir).array("customers").where("account.c_acctbal").lt(0)
+    found = (q.index().first(), q.index().last(), q.index().count(), q.path().first(), q.path().last())
+    return spark.createDataFrame([found], "first bigint, last bigint, n bigint, path string, last_path string")
+
+
+@query("SELECT count(*) AS entries, count(*) AS drawn, true AS paths FROM region")
+def random_entries(spark, sf_dir) -> DataFrame:
+    g = sections(spark, sf_dir).object_groups("regions")
+    keys = {r["key"] for r in g.entries().to_list()}
+    drawn = {g.random_entry(seed=s)[0] for s in range(40)}
+    value = g.random_value(seed=1)
+    item, path = g.arrays("nations").random_with_path(seed=2)
+    true = "nations" in value and path.split(".")[1] in keys and path.endswith("]") and "n_name" in item
+    return spark.createDataFrame([(len(keys), len(drawn & keys), true)], "entries bigint, drawn bigint, paths boolean")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey < (SELECT min(o_orderkey) FROM orders WHERE o_totalprice > 480000)")
+def take_while_many(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders", ["o_orderkey"]).take_while(lambda o: o["o_totalprice"] <= 480000).pick("o_orderkey").unordered()

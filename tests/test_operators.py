@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import docframe as D
+from docframe.errors import PathError, QueryError
 from docframe.operators import base
 
 ITEMS = [{"id": 1, "type": "Premium", "price": 100, "name": "Item A"}, {"id": 2, "type": "Basic", "price": 50, "name": "Item B"}, {"id": 3, "type": "Premium", "price": 150, "name": "Item C"}, {"id": 4, "type": "Standard", "price": 75, "name": "Item D"}]
@@ -380,3 +381,39 @@ def test_files_and_streams(spark, tmp_path):
     events = D.read(spark, "/root/testdata/sf0.001/events.parquet").array_root()
     by = windowed(events.where("value").gt(10), "ts", "1 day", by=["event_type"], n=F.count(F.lit(1)))
     assert by.agg(F.sum("n")).first()[0] == events.where("value").gt(10).count()
+
+
+def test_places_deep_in_a_table_are_found_by_ranges(spark, monkeypatch):
+    from docframe.operators import base, items
+
+    rows = [(i // 50, i) for i in range(400)]  # 8 keys of 50 rows
+    q = D.query(spark.createDataFrame(rows, "k int, v int").repartition(3)).array_root(["k", "v"])
+    for module in (base, items):
+        monkeypatch.setattr(module, "FEW", 20)
+    monkeypatch.setattr(base, "RANGE_ROWS", 60)
+    assert [q.nth(n)["v"] for n in (0, 20, 21, 199, 399)] == [0, 20, 21, 199, 399]
+    assert [r["v"] for r in q.drop(250).to_list()] == list(range(250, 400)) and q.drop(400).to_list() == []
+    with pytest.raises(QueryError):
+        q.nth(400)
+    deep = q.drop(250).unordered()._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in deep
+    tied = D.query(spark.createDataFrame([(1, i) for i in range(200)], "k int, v int")).array_root(["k"])  # one key in all rows
+    assert len(tied.drop(150).to_list()) == 50 and sorted(r["index"] for r in tied.all_with_index().to_list()) == list(range(200))
+
+
+def test_a_mistake_in_a_fold_is_not_hidden(spark):
+    q = D.query(spark.createDataFrame([(1,), (2,)], "v int")).array_root(["v"])
+    with pytest.raises(NameError):
+        q.fold(lambda a, r: a + undefined_name, 0)  # noqa: F821
+    with pytest.raises(PathError):
+        q.fold(lambda a, r: a + r["w"], 0)
+    assert q.fold(lambda a, r: max(a, r["v"]), 0) == 2
+
+
+def test_python_functions_get_none_for_null(spark):
+    df = spark.createDataFrame([(1, None, None), (2, 5, "x")], "i int, v int, s string")
+    q = D.query(df).array_root(["i"])
+    assert [r for r in q.map(lambda r: repr((r["v"], r["s"])), "string").to_list()] == ["(None, None)", "(5, 'x')"]
+    assert q.flat_map(lambda r: [r["v"]] * r["i"], "int").to_list() == [None, 5, 5]
+    assert q.scan(lambda a, r: a + (100 if r["v"] is None else r["v"]), 0, "bigint").to_list() == [0, 100, 105]
+    assert q.fold(lambda a, r: a if r["v"] is None else a + r["v"], 0, plain=True) == 5
