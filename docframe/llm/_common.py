@@ -1,4 +1,4 @@
-"""What the operators share: column selection, tables in the shared folder, distributed ranks, words."""
+"""What the operators share: column selection, tables in the shared folder, words."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: White space that separates words in every contract: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -130,18 +129,3 @@ def tidy(run: Callable) -> Callable:
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")
-
-
-def dense_rank_in(df: DataFrame, group: list[str], order: list[str], name: str, parts: int = 64) -> DataFrame:
-    """Adds ``name``: a gapless number from 0 in each group, in order of (salt, order).
-
-    The salt is a hash of ``order``, so that a group of any size spreads over ``parts`` tasks; the counts by
-    group and salt give each salt its offset. Rows that agree in all of ``order`` get neighbouring numbers.
-    """
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    counts = salted.groupBy(*group, "__salt").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    own = Window.partitionBy(*group, "__salt").orderBy(*order)
-    ranked = salted.withColumn("__own", F.row_number().over(own) - 1)
-    return ranked.join(offsets, [*group, "__salt"]).withColumn(name, F.col("__own") + F.col("__from")).drop("__own", "__from", "__salt")

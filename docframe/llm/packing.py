@@ -10,11 +10,12 @@ shorter. Full pieces are sequences by themselves; the others are packed by bulk-
 
 Sizes are whole numbers up to the sequence's length, so the sweep runs over at most that many classes with counts: its state is
 as small at 100 TB as on a laptop, and the supersteps are as many as there are lengths. What grows with the data is
-distributed: tokenising, the ranks of documents within their class (salted, so that one length may hold any share of
-the rows), and the lookup of a rank's place.
+distributed: tokenising, the ranks of documents within their class, and the lookup of a rank's place. A task that tokenises
+numbers its own pieces of each length; with the counts of the tasks before it, that is the rank. So ids are not shuffled
+as long as these counts, one per task and length, are few enough to be broadcast.
 
 Null and empty texts are one piece with the end id only. Repeated rows are packed each on their own. Extra columns are ignored.
-An empty table gives an empty one. Ties within a length go by row key.
+An empty table gives an empty one. Ties within a length go by task and place in it.
 """
 
 from __future__ import annotations
@@ -26,14 +27,19 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._common import col, dense_rank_in, sliced, stored, text_of, tidy
+from ._common import sliced, stored, text_of, tidy
 
 #: The pattern by which byte-level vocabularies of this family split a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Counts of a task and length, and places, that are broadcast; beyond, the tables are joined by sort.
+COUNTS, PLACES = 500_000, 50_000
+
 
 class Tokens(dict):
     """Ids, as little-endian unsigned 32-bit numbers, of chunks that the splitting pattern never crosses.
@@ -77,16 +83,20 @@ class Tokens(dict):
         return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
 
 
-def pieces(docs: DataFrame, tokenizer: str, *, id: str, text: str = "text", capacity: int = 1024, end_id: int = 2, keep_ids: bool = True) -> DataFrame:
-    """(``id``, piece, start, length, ids_crc32 and, if asked, ids): one row per piece; ``tokenizer`` is a path on every executor."""
+def pieces(docs: DataFrame, tokenizer: str, *, id: str, text: str = "text", capacity: int = 1024, end_id: int = 2, keep_ids: bool = True, numbered: bool = False) -> DataFrame:
+    """(``id``, piece, start, length, ids_crc32 and, if asked, ids): one row per piece; ``tokenizer`` is a path on every executor.
+
+    ``numbered`` adds part, the task's number, and nth, the piece's among those of its length in the task.
+    """
     kind = docs.select(F.col(f"`{id}`")).schema[0]
 
     @tidy
     def cut(batches):
         tokens = Tokens(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
+        part_id, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in sliced(batches, 1):
-            take, piece, start, length, crc, ids = [], [], [], [], [], []
+            take, piece, start, length, crc, ids, nth = [], [], [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 own = tokens.ids(t.encode("utf-8", "replace").decode() if not t.isascii() else t) + end
                 n = len(own) // 4
@@ -97,6 +107,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, id: str, text: str = "text", capa
                     piece.append(k)
                     start.append(a)
                     length.append(len(part) // 4)
+                    nth.append(seen[length[-1]])
+                    seen[length[-1]] += 1
                     crc.append(zlib.crc32(part))
                     if keep_ids:
                         ids.append(np.frombuffer(part, "<u4").astype(np.int32))
@@ -105,9 +117,12 @@ def pieces(docs: DataFrame, tokenizer: str, *, id: str, text: str = "text", capa
             if keep_ids:
                 more.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
+            if numbered:
+                more += [pa.array([part_id] * len(take), pa.int32()), pa.array(nth, pa.int64())]
+                names += ["part", "nth"]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int32())), *more], names)
 
-    schema = f"`{id}` {kind.dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    schema = f"`{id}` {kind.dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids + ", part int, nth long" * numbered
     return docs.select(F.col(f"`{id}`"), text_of(text).alias("__text")).mapInArrow(cut, schema)
 
 
@@ -160,19 +175,22 @@ def pack(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "te
     """(``id``, piece, start, length, ids_crc32, sequence_id, offset and, if asked, ids): every piece and its place."""
     spark = docs.sparkSession
     keyed = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    cut = stored(pieces(keyed, tokenizer, id="id", capacity=capacity, end_id=end_id, keep_ids=keep_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
-    # the table holds the numbers, so they stay what they are
-    counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
+    # the table holds the tasks' numbers, so they stay what they are
+    cut = stored(pieces(keyed, tokenizer, id="id", capacity=capacity, end_id=end_id, keep_ids=keep_ids, numbered=True), "pieces")
+    sizes = stored(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     places, used = best_fit({x: n for x, n in counts.items() if x < capacity}, capacity)
-    n_parts = max(4, min(1024, cut.rdd.getNumPartitions()))
-    ranked = dense_rank_in(cut.select("row", "length"), ["length"], ["row"], "rank", n_parts)
-    table = spark.createDataFrame(places or [(0, 0, 0, 0, 1, 0)], "length long, r0 long, r1 long, first long, per long, offset long")
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    if sizes.count() <= COUNTS:
+        offsets = F.broadcast(offsets)
+    table = spark.createDataFrame(places or [(0, 0, 0, 0, 1, 0)], "size long, r0 long, r1 long, first long, per long, at long")
     if capacity in counts:
         table = table.union(spark.createDataFrame([(capacity, 0, counts[capacity], used, 1, 0)], table.schema))
-    if len(places) <= 50_000:
+    if len(places) <= PLACES:
         table = F.broadcast(table)
-    at = ranked.join(table, (ranked["length"] == table["length"]) & (F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r1")))
+    ranked = cut.join(offsets, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    placed = ranked.join(table, (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r1")))
     nth = F.col("rank") - F.col("r0")
-    placed = at.select("row", (F.col("first") + F.floor(nth / F.col("per"))).cast("long").alias("sequence_id"), (F.col("offset") + nth % F.col("per") * ranked["length"]).cast("long").alias("offset"))
-    out = cut.join(placed, "row")
+    out = placed.withColumn("sequence_id", (F.col("first") + F.floor(nth / F.col("per"))).cast("long")).withColumn("offset", (F.col("at") + nth % F.col("per") * F.col("length")).cast("long"))
     return out.select(F.col("id").alias(id), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)

@@ -84,3 +84,16 @@ def test_sweep_equals_sequential_best_fit(seed):
 
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_ranks_by_task_with_and_without_broadcast(spark, monkeypatch, limit):
+    monkeypatch.setattr(P, "COUNTS", limit)
+    monkeypatch.setattr(P, "PLACES", limit)
+    df = spark.createDataFrame([(i, "a " * (i % 9)) for i in range(400)], "doc_id long, text string").repartition(7)
+    got = P.pack(df, PATH, capacity=64, keep_ids=False).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(got) == 400 and len(by) == sequential([r.length for r in got], 64)
+    for own in by.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))]
