@@ -3,8 +3,8 @@
 Three levels of Chinese restaurants: one for each class of the two words before, their parents for each class of the word
 before (classes are hashes of words), and the root, over a base distribution that gives ``unknown`` of its mass to the one symbol for
 words never seen and shares out the rest evenly. A word's customers sit at tables; each table is a customer of the parent. Gibbs sweeps
-take customers from their tables and seat them anew; the predictive probability of a token is averaged over the
-sweeps after the burn-in.
+seat all customers of a word in a restaurant anew, at a number of tables drawn at once; the predictive probability of a token is
+averaged over the sweeps after the burn-in.
 
 Words are dealt into buckets by hash, with the counts of all their contexts, so a bucket's seating is sampled alone; what buckets need of
 each other, a restaurant's customers and tables over all words, are arrays of a fixed size, renewed after every sweep. Texts
@@ -18,6 +18,7 @@ empty one. If there is nothing to train from, all words are unknown.
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -221,111 +222,130 @@ class Bucket:
         return p0, t.chance(1, self.ctx1, c1, t1, p0[self.up1])
 
 
+#: Entries of at most as many customers have their tables drawn from exact numbers of seatings.
+EXACT = 1024
+_FALL = np.concatenate([np.geomspace(1e-9, 1, 4000), np.linspace(1.001, 700, 60_000)])
+
+
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    x = np.asarray(n, np.float64) + 8
+    return x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) - sum(np.log(x - k) for k in range(8))
+
+
+@functools.lru_cache(maxsize=4)
+def seatings(discount: float) -> np.ndarray:
+    """In row c, column t the log of the number of seatings of c customers at t tables, each weighed by its sizes."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0
+    taken = discount * np.arange(EXACT + 1)
+    for c in range(1, EXACT):
+        stay = out[c, 1 : c + 1] + np.log(c - taken[1 : c + 1])
+        out[c + 1, 1 : c + 1] = np.logaddexp(stay, out[c, :c])
+        out[c + 1, c + 1] = 0
+    return out
+
+
+@functools.lru_cache(maxsize=4)
+def _logs(discount: float) -> np.ndarray:
+    return _ratio(_FALL, discount)
+
+
+def _ratio(s: np.ndarray, d: float) -> np.ndarray:
+    """Log of customers a table at the point 1 - exp(-s)."""
+    return math.log(d) + np.log(-np.expm1(-s)) + (1 - d) * s - np.log(-np.expm1(-d * s))
+
+
+def _saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """The entry of :func:`seatings` for t < c by the saddle point of the generating function (1 - (1 - x)**d) / d to the power of t."""
+    want = np.log(c / t)
+    s = np.maximum(np.interp(want, _logs(d), _FALL), 1e-9)
+    slope = lambda s: (1 - d) + np.exp(-s) / -np.expm1(-s) - d * np.exp(-d * s) / -np.expm1(-d * s)
+    for _ in range(3):
+        s = np.maximum(s - (_ratio(s, d) - want) / slope(s), 1e-9)
+    x = -np.expm1(-s)
+    spread = np.log(c / t * slope(s) * x) + s
+    logs = log_factorial(c) - log_factorial(t) + t * (np.log(-np.expm1(-d * s)) - math.log(d)) - c * np.log(x)
+    return logs - 0.5 * (np.log(2 * np.pi * t) + spread) - 1 / (12 * (c - t))
+
+
+@functools.lru_cache(maxsize=4)
+def _missed(discount: float) -> np.ndarray:
+    """What the saddle point lacks in the last row of :func:`seatings`, by t; it tends to a constant as customers grow."""
+    t = np.arange(1, EXACT // 2)
+    out = np.zeros(EXACT // 2)
+    out[1:] = seatings(discount)[EXACT, 1 : EXACT // 2] - _saddle(np.full(len(t), float(EXACT)), t, discount)
+    return out
+
+
+def _chosen(logs: np.ndarray, rng) -> np.ndarray:
+    """A column of each row, drawn by the weights whose logs are given."""
+    sums = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
+    return (sums < (rng.random(len(sums)) * sums[:, -1])[:, None]).sum(axis=1)
+
+
+def _expected(c: np.ndarray, fresh: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation, about, of the numbers of tables: tables of each size are Poisson, given their customers' sum."""
+    s = np.interp(np.log(c / fresh), _FALL * (1 - d) + np.log(-np.expm1(-_FALL)), _FALL)
+    mean = -np.expm1(-d * s) * fresh / d
+    spread = c * (1 + (1 - d) * np.expm1(s))
+    return mean, np.sqrt(np.maximum(mean - c / (spread / c), 1))
+
+
+def draw_tables(target: np.ndarray, fresh: np.ndarray, discount: float, rng) -> np.ndarray:
+    """How many tables the customers of each entry sit at, drawn given all but the entry's own seating.
+
+    The chance of t tables is proportional to ``fresh`` ** t times the weighed number of seatings, which is where reseating customers
+    one by one would lead. Up to ``EXACT`` customers the numbers are exact, beyond by the saddle point, corrected by the last exact ones.
+    """
+    count = np.minimum(target, 1)
+    logs = np.log(np.maximum(fresh, 1e-300))
+    order = np.argsort(target, kind="stable")
+    order = order[np.searchsorted(target[order], 2) :]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(target[order])) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        c = int(target[order[a]])
+        if c > EXACT:
+            break
+        row, step = seatings(discount)[c, 1 : c + 1], max(1, 500_000 // c)
+        for i in range(a, b, step):
+            own = order[i : min(b, i + step)]
+            count[own] = 1 + _chosen(row + logs[own][:, None] * np.arange(1, c + 1), rng)
+    large = order[np.searchsorted(target[order], EXACT + 1) :]
+    for i, mean, spread in zip(large.tolist(), *_expected(target[large].astype(np.float64), np.maximum(fresh[large], 1e-300), discount), strict=True):
+        c = int(target[i])
+        low, high = max(1, int(mean - 9 * spread) - 30), min(c, int(mean + 9 * spread) + 30)
+        t = np.arange(low, high + 1)
+        row = np.zeros(len(t))  # at as many tables as customers there is one seating
+        row[t < c] = _saddle(np.full((t < c).sum(), float(c)), t[t < c], discount)
+        known = t < EXACT // 2
+        row[known] += _missed(discount)[t[known]]
+        count[i] = low + _chosen((row + logs[i] * t)[None, :], rng)[0]
+    return count
+
+
 class Tables:
-    """Table sizes of many (restaurant, word) entries, in order of their owners, with each owner's customers and tables."""
+    """How many customers and tables each of many (restaurant, word) entries has; made of tables' sizes in order of their owners."""
 
     def __init__(self, owner: np.ndarray, size: np.ndarray, n: int) -> None:
-        self.owner, self.size, self.n = owner, size, n
-        self.customers = np.bincount(owner, size, n).astype(np.int64)
-        self.count = np.bincount(owner, minlength=n)
-
-    def _pick(self, who: np.ndarray, weight: np.ndarray, rng) -> np.ndarray:
-        """A table of each owner, drawn by weight."""
-        sums = np.cumsum(weight)
-        last = np.cumsum(self.count)[who] - 1
-        first = last - self.count[who] + 1
-        low = sums[first] - weight[first]
-        at = np.searchsorted(sums, low + rng.random(len(who)) * (sums[last] - low), side="right")
-        return np.clip(at, first, last)
-
-    def leave(self, who: np.ndarray, rng) -> None:
-        """One customer, drawn evenly, of each owner leaves."""
-        at = self._pick(who, self.size.astype(np.float64), rng)
-        self.size[at] -= 1
-        self.customers[who] -= 1
-        gone = self.size[at] == 0
-        if gone.any():
-            self.count[who[gone]] -= 1
-            self.owner, self.size = np.delete(self.owner, at[gone]), np.delete(self.size, at[gone])
-
-    def sit(self, who: np.ndarray, fresh: np.ndarray, discount: float, rng) -> None:
-        """One customer sits down for each owner; ``fresh`` is the weight of a new table."""
-        c, t = self.customers[who], self.count[who]
-        opens = (c == 0) | (rng.random(len(who)) * (c - discount * t + fresh) < fresh)
-        there, new = who[~opens], who[opens]
-        if len(there):
-            self.size[self._pick(there, self.size - discount, rng)] += 1
-        if len(new):
-            at = np.cumsum(self.count)[new]  # after the owner's last table
-            self.owner, self.size = np.insert(self.owner, at, new), np.insert(self.size, at, 1)
-            self.count[new] += 1
-        self.customers[who] += 1
-
-    def part(self, own: np.ndarray) -> Tables:
-        """The entries ``own``, numbered from 0."""
-        place = np.full(self.n, -1)
-        place[own] = np.arange(len(own))
-        inside = place[self.owner] >= 0
-        return Tables(place[self.owner[inside]], self.size[inside], len(own))
-
-    def without(self, own: np.ndarray, part: Tables) -> Tables:
-        """The same with the entries ``own`` as in ``part``."""
-        out = np.zeros(self.n, bool)
-        out[own] = True
-        rest = ~out[self.owner]
-        owner = np.concatenate([self.owner[rest], own[part.owner]])
-        order = np.argsort(owner, kind="stable")
-        return Tables(owner[order], np.concatenate([self.size[rest], part.size])[order], self.n)
-
-    def fill(self, target: np.ndarray, fresh: np.ndarray, discount: float, rng, steps: int = 4) -> Tables:
-        """Customers leave or sit down until there are as many as ``target`` says."""
-        out = self
-        for _ in range(steps):
-            if len(who := np.flatnonzero(out.customers > target)):
-                out.leave(who, rng)
-            if len(who := np.flatnonzero(out.customers < target)):
-                out.sit(who, fresh[who], discount, rng)
-        if len(own := np.flatnonzero(out.customers != target)):  # few are far off: on with these alone
-            return out.without(own, out.part(own).fill(target[own], fresh[own], discount, rng, 2 * steps))
+        self.customers, self.count = np.bincount(owner, size, n).astype(np.int64), np.bincount(owner, minlength=n)
+
+    @classmethod
+    def of(cls, customers: np.ndarray, count: np.ndarray) -> Tables:
+        out = cls.__new__(cls)
+        out.customers, out.count = customers, count
         return out
 
-    def reseat(self, times: np.ndarray, fresh: np.ndarray, discount: float, rng) -> Tables:
-        """``times`` customers of each entry, one after the other, are drawn evenly and sit down anew; entries that have done leave the arrays."""
-        times = times.copy()
-        while len(who := np.flatnonzero(times > 0)):
-            if 2 * len(who) < self.n:
-                return self.without(who, self.part(who).reseat(times[who], fresh[who], discount, rng))
-            self.leave(who, rng)
-            self.sit(who, fresh[who], discount, rng)
-            times[who] -= 1
-        return self
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.count)), self.count)
 
     def sweep(self, target: np.ndarray, fresh: np.ndarray, discount: float, rounds: int, rng) -> Tables:
-        """Seats as many customers as ``target`` says; of every entry seats as many anew as it has, ``rounds`` at least."""
-        own = np.flatnonzero((target > 1) | (self.customers > 1))
-        aim, new = target[own], fresh[own]
-        part = self.part(own).fill(aim, new, discount, rng)
-        return self.without(own, part.reseat(np.where(aim > 1, np.maximum(aim, rounds), 0), new, discount, rng))
+        """Seats as many customers as ``target`` says, all of them anew; a draw doesn't depend on the one before, so one is as good as ``rounds``."""
+        return first_tables(target, fresh, discount, rng)
 
 
 def first_tables(target: np.ndarray, fresh: np.ndarray, discount: float, rng) -> Tables:
-    """A seating to begin with: customers arrive in groups that grow with those seated, so any count takes few steps."""
-    t, i = np.ones(len(target)), np.ones(len(target))
-    left = np.flatnonzero(target > 1)
-    while len(left):
-        step = np.minimum(np.maximum(1, i[left] // 4), target[left] - i[left])
-        chance = fresh[left] / (fresh[left] + i[left] + step / 2 - discount * t[left])
-        t[left] += np.minimum(rng.poisson(step * chance), step)
-        i[left] += step
-        left = left[i[left] < target[left]]
-    t = t.astype(np.int64)
-    owner = np.repeat(np.arange(len(target)), t)
-    share = rng.exponential(size=len(owner))
-    share /= np.bincount(owner, share, len(target))[owner]
-    size = 1 + np.floor(share * (target - t)[owner]).astype(np.int64)
-    heads = np.cumsum(t) - t
-    size[heads] += target - np.bincount(owner, size, len(target)).astype(np.int64)
-    return Tables(owner, size, len(target))
+    return Tables.of(target, draw_tables(target, fresh, discount, rng))
 
 
 def sweep_rows(batches, totals: Totals, sweep: int, rounds: int, keep: bool):
@@ -334,7 +354,7 @@ def sweep_rows(batches, totals: Totals, sweep: int, rounds: int, keep: bool):
         for row in b.to_pylist():
             rng = np.random.default_rng([row["bucket"], sweep])
             own = Bucket(row)
-            if row["seats"] is None:
+            if row["tables"] is None:
                 c0 = np.bincount(own.up1[own.up2], own.c2, len(own.words))
                 even = c0 / max(1, totals.tokens)
                 two = first_tables(own.c2, totals.open(2, own.ctx2) * even[own.up1[own.up2]], totals.discount[2], rng)
@@ -343,7 +363,8 @@ def sweep_rows(batches, totals: Totals, sweep: int, rounds: int, keep: bool):
                 c0 = np.bincount(own.up1, one.count, len(own.words)).astype(np.int64)
                 zero = first_tables(c0, np.full(len(c0), 1e-6), totals.discount[0], rng)
             else:
-                zero, one, two = (Tables(np.repeat(np.arange(n), load(c, "<u4")), load(s, "<u4").astype(np.int64), n) for n, c, s in zip(own.sizes(), row["tables"], row["seats"], strict=True))
+                t0, t1, t2 = (load(c, "<u4").astype(np.int64) for c in row["tables"])
+                zero, one, two = Tables.of(np.bincount(own.up1, t1, len(t0)), t0), Tables.of(np.bincount(own.up2, t2, len(t1)), t1), Tables.of(own.c2, t2)
                 p0, p1 = own.chances(totals, zero.customers, zero.count, one.customers, one.count)
                 two = two.sweep(own.c2, totals.open(2, own.ctx2) * p1[own.up2], totals.discount[2], rounds, rng)
                 c1 = np.bincount(own.up2, two.count, len(own.key1)).astype(np.int64)
@@ -351,7 +372,6 @@ def sweep_rows(batches, totals: Totals, sweep: int, rounds: int, keep: bool):
                 c0 = np.bincount(own.up1, one.count, len(own.words)).astype(np.int64)
                 zero = zero.sweep(c0, np.full(len(c0), float(totals.open(0, 0)) * totals.known()), totals.discount[0], rounds, rng)
             row["tables"] = [pack(x.count, "<u4") for x in (zero, one, two)]
-            row["seats"] = [pack(x.size, "<u4") for x in (zero, one, two)]
             row["samples"] = row["samples"] + row["tables"] * keep
             yield pa.RecordBatch.from_pylist([row], b.schema)
 
@@ -382,7 +402,7 @@ class Model:
     split: dict[int, int]
 
 
-SCHEMA = "bucket int, v long, tokens long, words binary, n binary, ctx binary, count binary, tables array<binary>, seats array<binary>, samples array<binary>"
+SCHEMA = "bucket int, v long, tokens long, words binary, n binary, ctx binary, count binary, tables array<binary>, samples array<binary>"
 
 
 def train(docs: DataFrame, *, text: str = "text", burn_in: int = 1, samples: int = 3, rounds: int = 3, strength: float = 1.0, unknown: float = 0.5, bucket_bytes: int = BUCKET) -> Model:
@@ -403,7 +423,7 @@ def train(docs: DataFrame, *, text: str = "text", burn_in: int = 1, samples: int
     v, tokens = sum(r.v for r in sizes), sum(r.tokens for r in sizes)
     usual = 2 * max(1, tokens) / buckets
     split = {r.bucket: math.ceil(r.tokens / usual) for r in sizes if r.tokens > usual}
-    state = state.select("bucket", "v", "tokens", *STATE, F.lit(None).cast("array<binary>").alias("tables"), F.lit(None).cast("array<binary>").alias("seats"), F.array().cast("array<binary>").alias("samples"))
+    state = state.select("bucket", "v", "tokens", *STATE, F.lit(None).cast("array<binary>").alias("tables"), F.array().cast("array<binary>").alias("samples"))
 
     def total(table: DataFrame) -> Totals:
         out = [np.zeros((2, 1 << bits), np.int64) for bits in (0, BITS1, BITS1 + BITS2)]

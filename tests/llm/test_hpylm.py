@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -110,3 +111,23 @@ def test_a_sweep_reseats_in_proportion_to_the_customers():
     got = start.sweep(target, np.full(4, 200.0), 0.5, 3, rng)
     assert (got.customers == target).all() and (np.diff(got.owner) >= 0).all()
     assert (got.count[2:] > 50).all()  # three reseatings leave at most 4
+
+
+def test_numbers_of_tables_follow_the_seatings():
+    """Drawn counts have the mean that customers one by one lead to, by exact numbers and beyond them; many customers take no step each."""
+    rng = np.random.default_rng(5)
+    for d, c, fresh in ((0.5, 3, 0.7), (0.8, 40, 2.0), (0.3, H.EXACT, 30.0), (0.95, H.EXACT + 200, 3.0), (0.6, H.EXACT + 200, 900.0), (0.6, H.EXACT + 1, 1e6)):
+        logs = [0.0]  # of the numbers of seatings, by tables
+        for n in range(1, c):
+            stay = np.array([*(x + math.log(n - d * (t + 1)) for t, x in enumerate(logs)), -np.inf])
+            logs = np.logaddexp(stay, np.array([-np.inf, *logs]))
+        t = np.arange(1, c + 1)
+        p = np.exp((w := np.array(logs) + t * math.log(fresh)) - w.max())
+        mean = (p * t).sum() / p.sum()
+        spread = math.sqrt((p * (t - mean) ** 2).sum() / p.sum())
+        got = H.draw_tables(np.full(800, c), np.full(800, fresh), d, rng)
+        assert abs(got.mean() - mean) < 5 * spread / math.sqrt(800) + 0.01 * spread
+    many = np.array([1, 2_000_000, 50_000_000])
+    start = time.time()
+    got = H.Tables(np.arange(3), many, 3).sweep(many, np.full(3, 40.0), 0.7, 3, rng)
+    assert (got.customers == many).all() and got.count[0] == 1 and (got.count[1:] > 40).all() and time.time() - start < 20
