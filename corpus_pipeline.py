@@ -21,6 +21,7 @@ MIN_SHARE = 0.5
 def _begin(spark: SparkSession) -> None:
     _common.release_scope("pipeline")
     _common.scope("pipeline")
+    _common.settle(spark)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,11 +44,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/docframe/{name}-{uuid.uuid4().hex}"
     register(spark, path)
     df.write.parquet(path)
+    settle(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.docframe_path = path
     return out
 
 
+def settle(spark: SparkSession) -> None:
+    """Between queries the driver's JVM gives free memory back: its heap shrinks, Spark forgets shuffles and broadcasts of queries
+    that ended, and memory its compilers and threads have freed returns to the system."""
+    try:
+        jvm, lang = spark._jvm, spark._jvm.java.lang
+        lang.System.gc()
+
+        def array(kind, *items):
+            out = spark.sparkContext._gateway.new_array(kind, len(items))
+            for i, x in enumerate(items):
+                out[i] = x
+            return out
+
+        # by the interface, as the class of the server is closed
+        kinds = array(lang.Class, *map(lang.Class.forName, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+        bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given = array(lang.Object, bean, "systemTrimNativeHeap", array(lang.Object, array(lang.String)), array(lang.String, "[Ljava.lang.String;"))
+        lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Exception:  # no classic session, or a JVM without the command: memory stays with it
+        pass
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table of :func:`stored`; its readers must have ended."""
     _delete(lambda item: item[1] == table.docframe_path)
