@@ -1,15 +1,17 @@
 """Language-model scoring by a hierarchical Pitman-Yor model over words.
 
-Three levels of Chinese restaurants: one for each class of the two words before, their parents for each class of the word
-before (classes are hashes of words), and the root, over a base distribution that gives ``unknown`` of its mass to the one symbol for
-words never seen and shares out the rest evenly. A word's customers sit at tables; each table is a customer of the parent. Gibbs sweeps
-seat all customers of a word in a restaurant anew, at a number of tables drawn at once; the predictive probability of a token is
-averaged over the sweeps after the burn-in.
-
-Words are dealt into buckets by hash, with the counts of all their contexts, so a bucket's seating is sampled alone; what buckets need of
-each other, a restaurant's customers and tables over all words, are arrays of a fixed size, renewed after every sweep. Texts
-are scored where the words are: a task's block of documents is sent as postings by bucket, a bucket holding very frequent words is split by block,
-and its sums return to the block. The corpus's counts are never in one place.
+Three levels of Chinese restaurants: one for each two words before, their parents for each word before, and the root, over a base
+distribution that gives ``unknown`` of its mass to the one symbol for words never seen and shares out the rest evenly. A word's
+customers sit at tables; each table is a customer of the parent. Gibbs sweeps seat all customers of a word in a restaurant anew, at a
+number of tables drawn at once; the predictive probability of a token is averaged over the sweeps after the burn-in.
+
+Restaurants are dealt into buckets by the word before, so that one is whole in a bucket, with its children. A word before that is too
+frequent for that is hot: its children are dealt by both words, and its own entries are seated with the root. The root is dealt into
+parts by word: in a sweep a bucket writes to the parts how many customers it sends for each word, and the parts' answers, customers and
+tables of the bucket's words, go back to it. Which words are hot is found on a sample and changes where things are counted, not what.
+Texts are scored where the restaurants are: a task's block of documents is sent as postings by bucket, a bucket holding very frequent
+pairs of words is split by block, and its sums return to the block; tokens whose word the bucket has not seen go by the parts first.
+The corpus's counts are never in one place.
 
 Words are told apart by 64-bit hashes. A null text is empty: it has the end token only. Documents without an id are scored like
 others; repeated rows count as often as they occur and get equal scores; extra columns are ignored; an empty table gives an
@@ -29,13 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BYTES_LOWER, discard, stored, text_of
+from ._common import BYTES_LOWER, discard, settle, stored, text_of, tidy
 from .repeats import mix
 
-#: Bits of the class of the word before, and of the word before that.
-BITS1, BITS2 = 10, 4
+#: Bits of a word in the number of a context of two: the word before, then the one before that.
+BITS2 = 64
 #: Text bytes for each bucket, and tokens of a block of documents.
-BUCKET, TOKENS, PIECE = 8_000_000, 2_500_000, 2_000_000
+BUCKET, TOKENS, PIECE = 8_000_000, 2_000_000, 2_000_000
+#: A word before with more than this share of a usual bucket is hot; at least so many bytes, or this share of the text, are looked at.
+HOT, LOOK, SHARE = 0.5, 8_000_000, 1 / 64
 _K = 0x9E3779B97F4A7C15
 _KINV = pow(_K, -1, 1 << 64)
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
@@ -73,8 +77,8 @@ class Words:
             step[0] = 1
             self.down = np.cumprod(step)
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(token, context, document), in order; every text ends with the end token."""
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(token, document), in order; every text ends with the end token."""
         joined = b"\n".join(texts) + b"\n"
         buf = np.frombuffer(joined.translate(BYTES_LOWER), np.uint8)
         self.powers(len(buf))
@@ -90,13 +94,7 @@ class Words:
         out = np.empty(int(at[-1]), np.uint64)
         out[np.arange(len(words)) + doc] = words
         out[at - 1] = END
-        first = at - n
-        one, two = np.empty_like(out), np.empty_like(out)
-        one[1:], two[2:] = out[:-1], out[:-2]
-        one[first] = two[first] = START
-        two[np.minimum(first + 1, len(out) - 1)[n > 1]] = START
-        ctx = (mix(one * np.uint64(_K)) >> np.uint64(64 - BITS1)) << np.uint64(BITS2) | mix(two + np.uint64(_K)) >> np.uint64(64 - BITS2)
-        return out, ctx.astype(np.uint16), np.repeat(np.arange(len(texts)), n)
+        return out, np.repeat(np.arange(len(texts)), n)
 
 
 def _grouped(batches, column: int, most: int):
@@ -115,40 +113,126 @@ def _grouped(batches, column: int, most: int):
         yield rows, texts
 
 
-# counts
+# dealing tokens into buckets
+
+
+def home(one: np.ndarray, two: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
+    """The bucket of a context: by the word before, of a hot one by both words."""
+    alone = one % np.uint64(buckets)
+    if len(hot):
+        alone = np.where(place(hot, one) >= 0, mix(two + one * np.uint64(_K)) % np.uint64(buckets), alone)
+    return alone.astype(np.int64)
+
+
+def place(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where each value is among the ordered ones, -1 if it isn't."""
+    if not len(ordered):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return np.where(ordered[at] == values, at, -1)
+
+
+def joint(one: np.ndarray, two: np.ndarray, word: np.ndarray, v: int) -> np.ndarray:
+    """A number for each three of v words, ordered by the word before, the one before that, the word."""
+    pair = one * v + two
+    if v**3 >= 1 << 63:
+        pair = np.unique(pair, return_inverse=True)[1]
+    return pair * v + word
+
+
+def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of equal values."""
+    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]]))
+    return head, np.diff(np.append(head, len(ordered)))
+
+
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, n of them."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def deal(token: np.ndarray, doc: np.ndarray, buckets: int, hot: np.ndarray):
+    """(bucket, words, word before, the one before that, word, times, documents) of a block; places in words, ordered by context and word."""
+    own, word = np.unique(token, return_inverse=True)
+    v = len(own) + 1
+    own = np.append(own, START)
+    first = np.concatenate([[True], doc[1:] != doc[:-1]])
+    one, two = np.empty_like(word), np.empty_like(word)
+    one[1:] = word[:-1]
+    one[first] = v - 1
+    two[1:] = one[:-1]
+    two[first] = v - 1
+    key = joint(one, two, word, v)
+    order = np.argsort(key)
+    head, times = runs(key[order])
+    at = order[head]
+    one, two, word, doc = one[at], two[at], word[at], doc[order]
+    bucket = home(own[one], own[two], buckets, hot).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+    by = np.argsort(bucket, kind="stable")
+    cuts, n = runs(bucket[by])
+    seen, number = np.zeros(v, bool), np.empty(v, np.int64)
+    for a, n_a in zip(cuts.tolist(), n.tolist(), strict=True):
+        e = by[a : a + n_a]
+        three = one[e], two[e], word[e]
+        for x in three:
+            seen[x] = True
+        used = np.flatnonzero(seen)
+        number[used] = np.arange(len(used))
+        seen[used] = False
+        yield int(bucket[e[0]]), own[used], *(number[x] for x in three), times[e], doc[ranges(head[e], times[e])]
+
+
+def entry_cells(words, one, two, word, times) -> list[bytes]:
+    return [pack(words, "<u8", True), pack(one, "<u4", True), pack(two, "<u4"), pack(word, "<u4"), pack(times, "<u4")]
+
+
+def load_entries(cells: list[bytes]) -> list[np.ndarray]:
+    return [load(cells[0], "<u8", True), load(cells[1], "<u4", True).astype(np.int64), *(load(c, "<u4").astype(np.int64) for c in cells[2:5])]
+
+
+#: A bucket's seating, its letter to a part, the answer to it, what a part keeps, and a bucket's words; ``sweep`` is -1 for counts.
+STATE, LETTER, ANSWER, PART, LOOKUP = range(5)
+ROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int32()), ("sweep", pa.int32()), ("cells", pa.list_(pa.binary())), ("sums", pa.list_(pa.int64()))])
+ROWS = "kind int, bucket int, part int, sweep int, cells array<binary>, sums array<bigint>"
+
+
+def table(rows: list[tuple], schema: pa.Schema = ROW) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
 
-STATE = ["words", "n", "ctx", "count"]
+def lean(run):
+    """The function of a group's table; after it the worker gives free memory back."""
 
+    def leaned(t: pa.Table) -> pa.Table:
+        return next(tidy(lambda one: iter([run(one)]))(t))
 
-def entry_cells(words: np.ndarray, n: np.ndarray, key: np.ndarray, count: np.ndarray) -> list[bytes]:
-    return [pack(words, "<u8", True), pack(n, "<u4"), pack(key & ((1 << (BITS1 + BITS2)) - 1), "<u2"), pack(count, "<u4")]
+    return leaned
 
 
-def count_blocks(batches, buckets: int):
-    """Rows (bucket, words, n, ctx, count) of a task's training texts; n is the number of contexts of each word."""
+def frequent(batches):
+    """Rows (word, n) of a sample's words before, by task."""
+    words = Words()
+    for _, texts in _grouped(batches, 0, PIECE):
+        token, doc = words(texts)
+        token = np.append(token[:-1][doc[1:] == doc[:-1]], np.full(len(texts), START))
+        own, n = np.unique(token, return_counts=True)
+        own, n = np.append(own, np.uint64(0)), np.append(n, len(token))  # the number of all stands at 0
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(n)], ["word", "n"])
+
+
+def count_blocks(batches, buckets: int, hot: np.ndarray):
+    """Rows (bucket, cells) of a task's training texts."""
     words, held, waiting = Words(), [], 0
 
     def flush():
-        token, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
-        own, at = np.unique(token, return_inverse=True)
-        key, count = np.unique(at.astype(np.int64) << (BITS1 + BITS2) | ctx, return_counts=True)
-        word = key >> (BITS1 + BITS2)
-        n = np.bincount(word, minlength=len(own))
-        bucket = (own % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket[word], kind="stable")
-        by_word = np.argsort(bucket, kind="stable")
-        a = b = 0
-        for x in np.unique(bucket).tolist():
-            a2, b2 = a + int((bucket == x).sum()), b + int(n[bucket == x].sum())
-            w, e = by_word[a:a2], order[b:b2]
-            a, b = a2, b2
-            cells = entry_cells(own[w], n[w], key[e], count[e])
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], ["bucket", *STATE])
+        base = np.cumsum([0] + [h[2] for h in held])
+        token, doc = np.concatenate([h[0] for h in held]), np.concatenate([h[1] + b for h, b in zip(held, base, strict=False)])
+        for bucket, *entries, _ in deal(token, doc, buckets, hot):
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([entry_cells(*entries)], pa.list_(pa.binary()))], ["bucket", "cells"])
 
     for _, texts in _grouped(batches, 0, PIECE):
-        token, ctx, _ = words(texts)
-        held.append((token, ctx))
-        waiting += len(token)
+        held.append((*words(texts), len(texts)))
+        waiting += len(held[-1][0])
         if waiting >= TOKENS:
             yield from flush()
             held, waiting = [], 0
@@ -156,35 +240,70 @@ def count_blocks(batches, buckets: int):
         yield from flush()
 
 
-
-def merge_counts(t: pa.Table) -> pa.Table:
-    """One row for a bucket, and its sizes: words, tokens, and how many have been counted once or twice at each level."""
-    word, ctx, count = [], [], []
-    for r in t.to_pylist():
-        word.append(np.repeat(load(r["words"], "<u8", True), load(r["n"], "<u4")))
-        ctx.append(load(r["ctx"], "<u2"))
-        count.append(load(r["count"], "<u4"))
-    word, ctx, count = np.concatenate(word), np.concatenate(ctx), np.concatenate(count).astype(np.int64)
-    own, at = np.unique(word, return_inverse=True)
-    key, to = np.unique(at.astype(np.int64) << (BITS1 + BITS2) | ctx, return_inverse=True)
-    total = np.bincount(to, count).astype(np.int64)
-    kinds1 = np.unique(key >> BITS2, return_counts=True)
-    kinds0 = np.bincount(kinds1[0] >> BITS1)
-    once = [int((x == k).sum()) for x in (kinds0, kinds1[1], total) for k in (1, 2)]
-    n = np.bincount(key >> (BITS1 + BITS2), minlength=len(own))
-    arrays = [t["bucket"].combine_chunks()[:1].cast(pa.int32()), pa.array([len(own)], pa.int64()), pa.array([int(total.sum())], pa.int64()), pa.array([once], pa.list_(pa.int64()))]
-    return pa.table([*arrays, *[pa.array([c], pa.binary()) for c in entry_cells(own, n, key, total)]], names=["bucket", "v", "tokens", "once", *STATE])
+def merge_counts(t: pa.Table, parts: int, hot: np.ndarray) -> pa.Table:
+    """A bucket's state and its letters with counts; tokens, and how many have been counted once or twice at the lower levels."""
+    loaded = [load_entries(c) for c in t["cells"].to_pylist()]
+    words = np.unique(np.concatenate([x[0] for x in loaded]))
+    v = len(words)
+    at = [np.searchsorted(words, x[0]) for x in loaded]
+    one, two, word = (np.concatenate([to[x[i]] for to, x in zip(at, loaded, strict=True)]) for i in (1, 2, 3))
+    times = np.concatenate([x[4] for x in loaded])
+    del loaded, at
+    key = joint(one, two, word, v)
+    order = np.argsort(key)
+    head, _ = runs(key[order])
+    count = np.add.reduceat(times[order], head)
+    one, two, word = (x[order[head]] for x in (one, two, word))
+    pair = one * v + two  # ordered
+    start, n = runs(pair)
+    context = np.repeat(np.arange(len(start)), n)
+    before, two = one[start], two[start]
+    lower = np.argsort(one * v + word, kind="stable")
+    start, n2 = runs((one * v + word)[lower])
+    word, one, context, count = word[lower][start], one[lower][start], context[lower], count[lower]
+    start, n1 = runs(one)
+    own = one[start]
+    nx = np.bincount(np.searchsorted(own, before), minlength=len(own))
+    context -= np.repeat((np.cumsum(nx) - nx), n1)[np.repeat(np.arange(len(word)), n2)]
+    slots = np.flatnonzero(np.bincount(word, minlength=v))
+    number = np.empty(v, np.int64)
+    number[slots] = np.arange(len(slots))
+    seats = [pack(n1, "<u4"), pack(nx, "<u4"), pack(number[word], "<u4"), pack(n2, "<u4"), pack(context, "<u4"), pack(count, "<u4")]
+    seats += [pack(place(hot, words[own]) + 1, "<u4"), pack(mix(words[slots]) % np.uint64(parts), "<u4")]
+    bucket = t["bucket"][0].as_py()
+    g = Group(seats)
+    cold, warm = g.hot1 < 0, g.hot1 >= 0
+    once = [int((x == k).sum()) for x in (n2[cold], count) for k in (1, 2)]
+    total = np.bincount(g.up2, count, len(word)).astype(np.int64)
+    sent = [np.bincount(g.up1[cold], x, len(slots)) for x in (total[cold], np.ones(cold.sum()))]
+    letters = []
+    for p, mine, own_p, at in g.dealt():
+        at = at[own_p]
+        named = [pack(words[slots[mine]], "<u8", True), pack(np.searchsorted(mine, g.up1[at]), "<u4"), pack(g.hot1[at], "<u4")]
+        values = [pack(x, "<u4") for x in (*(y[mine] for y in sent), total[at], n2[at])]
+        letters.append((LETTER, bucket, p, -1, [*named, *values], None))
+    none = pack(np.zeros(0), "<u4")
+    look = [pack(words, "<u8", True), pack(own, "<u4", True), pack(two, "<u4"), pack(slots, "<u4", True)]
+    return table([(STATE, bucket, -1, -1, [*seats, none, none], [int(count.sum()), *once]), (LOOKUP, bucket, -1, -1, look, None), *letters])
 
 
 # seating
 
 
+def chance(discount: float, strength: float, c, t, customers, tables, parent):
+    """A word's predictive probability in a restaurant."""
+    return (c - discount * t + (strength + discount * tables) * parent) / (strength + customers)
+
+
 @dataclass
 class Totals:
-    """Customers and tables of each restaurant, root first; discounts, words and tokens."""
+    """Customers and tables of restaurants by level and context; discounts, strengths, words and tokens.
+
+    Tasks get those of the root and of hot words before, by their number; others are in the buckets. :attr:`Model.totals` finds them there.
+    """
 
-    customers: list[np.ndarray]
-    tables: list[np.ndarray]
+    customers: list
+    tables: list
     discount: list[float]
     strength: list[float]
     v: int
@@ -194,32 +313,68 @@ class Totals:
     def known(self) -> float:
         return (1 - self.unknown) / max(1, self.v)
 
-    def open(self, level: int, ctx: np.ndarray | int) -> np.ndarray:
-        return self.strength[level] + self.discount[level] * self.tables[level][ctx]
-
     def chance(self, level: int, ctx, c, t, parent):
-        """A word's predictive probability in a restaurant."""
-        return (c - self.discount[level] * t + self.open(level, ctx) * parent) / (self.strength[level] + self.customers[level][ctx])
+        return chance(self.discount[level], self.strength[level], c, t, self.customers[level][ctx], self.tables[level][ctx], parent)
 
 
-class Bucket:
-    """Words of a bucket with their entries at each level: (word, class of two), (word, class of one), word."""
+class Group:
+    """Entries of a bucket: (word before, word) at level 1, in order, and within these by the word before that at level 2.
 
-    def __init__(self, row: dict) -> None:
-        self.words = load(row["words"], "<u8", True)
-        n = load(row["n"], "<u4")
-        self.ctx2 = load(row["ctx"], "<u2").astype(np.int64)
-        self.c2 = load(row["count"], "<u4").astype(np.int64)
-        self.key2 = np.repeat(np.arange(len(n)), n) << (BITS1 + BITS2) | self.ctx2
-        self.key1, self.up2 = np.unique(self.key2 >> BITS2, return_inverse=True)
-        self.ctx1, self.up1 = self.key1 & ((1 << BITS1) - 1), self.key1 >> BITS1
+    ``up2`` is a level 2 entry's entry at level 1, ``up1`` that one's slot, a word that occurs; ``part`` is where a slot's word is.
+    ``at1`` and ``at2`` are the entries' contexts, ``hot`` and ``hot1`` the number of a hot word before or -1. With a lookup row
+    there are ``words`` and, as places among them, the ``slots``, the words before (``own``) and those before these (``two``).
+    """
 
-    def sizes(self) -> list[int]:
-        return [len(self.words), len(self.key1), len(self.key2)]
+    def __init__(self, seats: list[bytes], look: list[bytes] | None = None) -> None:
+        n1, self.nx, up1, n2, context, c2, hot, part = (load(c, "<u4").astype(np.int32) for c in seats[:8])
+        self.up1, self.part = up1, part
+        self.at1 = np.repeat(np.arange(len(n1), dtype=np.int32), n1)
+        self.up2 = np.repeat(np.arange(len(n2), dtype=np.int32), n2)
+        self.at2, self.c2 = context + (np.cumsum(self.nx) - self.nx).astype(np.int32)[self.at1][self.up2], c2.astype(np.int64)
+        self.hot = hot.astype(np.int64) - 1
+        self.hot1 = self.hot[self.at1]
+        self.n = [len(part), len(up1), len(c2)]
+        self.contexts = [1, len(n1), int(self.nx.sum())]
+        if look:
+            self.words = load(look[0], "<u8", True)
+            self.own, self.two, self.slots = load(look[1], "<u4", True).astype(np.int64), load(look[2], "<u4").astype(np.int64), load(look[3], "<u4", True).astype(np.int64)
+            self.word = self.slots[self.up1]
+
+    def dealt(self):
+        """For each part the slots and the hot entries whose words are there."""
+        warm = np.flatnonzero(self.hot1 >= 0)
+        warm_of = self.part[self.up1[warm]]
+        for p in np.unique(self.part).tolist():
+            yield p, np.flatnonzero(self.part == p), np.flatnonzero(warm_of == p), warm
+
+    def answers(self, rows: list[dict]) -> list[np.ndarray]:
+        """What the parts answered, for all slots and all hot entries."""
+        cells = {r["part"]: r["cells"] for r in rows}
+        n = len(next(iter(cells.values()))) // 2
+        out = [np.zeros(self.n[0], np.int64) for _ in range(n)] + [np.zeros(int((self.hot1 >= 0).sum()), np.int64) for _ in range(n)]
+        for p, mine, own, _ in self.dealt():
+            for i, cell in enumerate(cells[p]):
+                out[i][mine if i < n else own] = load(cell, "<u4")
+        return out
 
-    def chances(self, t: Totals, c0, t0, c1, t1) -> tuple[np.ndarray, np.ndarray]:
-        p0 = t.chance(0, 0, c0, t0, t.known())
-        return p0, t.chance(1, self.ctx1, c1, t1, p0[self.up1])
+    def restaurants(self, totals: Totals, c1, t1, t2) -> list[np.ndarray]:
+        """Customers and tables of contexts at level 1, then at level 2."""
+        out = [np.bincount(at, x, n) for at, n, both in ((self.at1, self.contexts[1], (c1, t1)), (self.at2, self.contexts[2], (self.c2, t2))) for x in both]
+        warm = self.hot >= 0
+        out[0][warm], out[1][warm] = totals.customers[1][self.hot[warm]], totals.tables[1][self.hot[warm]]
+        return out
+
+    def seated(self, totals: Totals, t1, t2, answer: list[np.ndarray]) -> tuple:
+        """Level 1 customers and tables with the hot ones, root and level 1 probabilities, restaurants."""
+        c0, t0, warm_c, warm_t = answer
+        warm = self.hot1 >= 0
+        c1 = np.bincount(self.up2, t2, self.n[1]).astype(np.int64)
+        t1 = t1.copy()
+        c1[warm], t1[warm] = warm_c, warm_t
+        rest = self.restaurants(totals, c1, t1, t2)
+        p0 = totals.chance(0, 0, c0, t0, totals.known())
+        p1 = chance(totals.discount[1], totals.strength[1], c1, t1, rest[0][self.at1], rest[1][self.at1], p0[self.up1])
+        return c1, t1, p0, p1, rest
 
 
 #: Entries of at most as many customers have their tables drawn from exact numbers of seatings.
@@ -348,137 +503,322 @@ def first_tables(target: np.ndarray, fresh: np.ndarray, discount: float, rng) ->
     return Tables.of(target, draw_tables(target, fresh, discount, rng))
 
 
-def sweep_rows(batches, totals: Totals, sweep: int, rounds: int, keep: bool):
-    """The rows of a state table with each bucket's next seating; with ``keep`` it becomes a sample."""
-    for b in batches:
-        for row in b.to_pylist():
-            rng = np.random.default_rng([row["bucket"], sweep])
-            own = Bucket(row)
-            if row["tables"] is None:
-                c0 = np.bincount(own.up1[own.up2], own.c2, len(own.words))
-                even = c0 / max(1, totals.tokens)
-                two = first_tables(own.c2, totals.open(2, own.ctx2) * even[own.up1[own.up2]], totals.discount[2], rng)
-                c1 = np.bincount(own.up2, two.count, len(own.key1)).astype(np.int64)
-                one = first_tables(c1, totals.open(1, own.ctx1) * even[own.up1], totals.discount[1], rng)
-                c0 = np.bincount(own.up1, one.count, len(own.words)).astype(np.int64)
-                zero = first_tables(c0, np.full(len(c0), 1e-6), totals.discount[0], rng)
-            else:
-                t0, t1, t2 = (load(c, "<u4").astype(np.int64) for c in row["tables"])
-                zero, one, two = Tables.of(np.bincount(own.up1, t1, len(t0)), t0), Tables.of(np.bincount(own.up2, t2, len(t1)), t1), Tables.of(own.c2, t2)
-                p0, p1 = own.chances(totals, zero.customers, zero.count, one.customers, one.count)
-                two = two.sweep(own.c2, totals.open(2, own.ctx2) * p1[own.up2], totals.discount[2], rounds, rng)
-                c1 = np.bincount(own.up2, two.count, len(own.key1)).astype(np.int64)
-                one = one.sweep(c1, totals.open(1, own.ctx1) * p0[own.up1], totals.discount[1], rounds, rng)
-                c0 = np.bincount(own.up1, one.count, len(own.words)).astype(np.int64)
-                zero = zero.sweep(c0, np.full(len(c0), float(totals.open(0, 0)) * totals.known()), totals.discount[0], rounds, rng)
-            row["tables"] = [pack(x.count, "<u4") for x in (zero, one, two)]
-            row["samples"] = row["samples"] + row["tables"] * keep
-            yield pa.RecordBatch.from_pylist([row], b.schema)
-
-
-def sum_rows(batches):
-    """Rows (level, ctx, customers, tables, kinds) of each task."""
-    sums = [np.zeros((3, 1 << bits), np.int64) for bits in (0, BITS1, BITS1 + BITS2)]
-    for b in batches:
-        for row in b.to_pylist():
-            own = Bucket(row)
-            t = [load(c, "<u4") for c in row["tables"]] if row["tables"] else [np.ones(n) for n in own.sizes()]
-            c = [np.bincount(own.up1, t[1], len(own.words)), np.bincount(own.up2, t[2], len(own.key1)), own.c2]
-            for level, ctx in enumerate((np.zeros(len(own.words), np.int64), own.ctx1, own.ctx2)):
-                n = sums[level].shape[1]
-                sums[level] += np.stack([np.bincount(ctx, x, n) for x in (c[level], t[level], np.ones(len(ctx)))]).astype(np.int64)
-    for level, s in enumerate(sums):
-        at = np.flatnonzero(s[2])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level), pa.int32()), pa.array(at, pa.int32()), pa.array(s[0][at]), pa.array(s[1][at])], ["level", "ctx", "customers", "tables"])
+def part_entries(rows: list[dict]):
+    """Words of a part's letters; for each letter its words' places and its hot entries' numbers, (word, hot number) in order of ``keys``."""
+    words = [load(r["cells"][0], "<u8", True) for r in rows]
+    own = np.unique(np.concatenate(words))
+    at = [np.searchsorted(own, w) for w in words]
+    keys = [a[load(r["cells"][1], "<u4")] << 32 | load(r["cells"][2], "<u4").astype(np.int64) for a, r in zip(at, rows, strict=True)]
+    known = np.unique(np.concatenate(keys))
+    return own, at, known, [np.searchsorted(known, k) for k in keys]
+
+
+def gathered(rows: list[dict], cell: int, at: list[np.ndarray], n: int) -> np.ndarray:
+    return np.bincount(np.concatenate(at), np.concatenate([load(r["cells"][cell], "<u4") for r in rows]), n).astype(np.int64)
+
+
+def part_counts(t: pa.Table, hot: int) -> pa.Table:
+    """A part's answers to the counts, what it keeps, and sums: words, kinds counted once or twice, hot words' first tables."""
+    rows = t.to_pylist()
+    own, at, keys, hot_at = part_entries(rows)
+    count, kinds = gathered(rows, 3, at, len(own)), gathered(rows, 4, at, len(own))
+    warm, warm_kinds = gathered(rows, 5, hot_at, len(keys)), gathered(rows, 6, hot_at, len(keys))
+    count += np.bincount(keys >> 32, warm, len(own)).astype(np.int64)
+    kinds += np.bincount(keys >> 32, minlength=len(own))
+    sums = [len(own), *(int((x == k).sum()) for x in (kinds, warm_kinds) for k in (1, 2)), *np.bincount(keys & 0xFFFFFFFF, minlength=hot).tolist()]
+    out = [(ANSWER, r["bucket"], r["part"], -1, [pack(count[a], "<u4"), pack(warm[b], "<u4")], None) for r, a, b in zip(rows, at, hot_at, strict=True)]
+    return table([*out, (PART, -1, rows[0]["part"], -1, [pack(own, "<u8", True), pack(count, "<u4")], sums)])
+
+
+def part_sweep(t: pa.Table, totals: Totals) -> pa.Table:
+    """Seats the root's customers of a part's words, and before these those of hot words before; sums are the new totals."""
+    rows = t.to_pylist()
+    part, sweep = rows[0]["part"], max(r["sweep"] for r in rows)
+    rows.sort(key=lambda r: (r["sweep"], r["bucket"]))
+    rows, named = rows[len(rows) // 2 :], rows[: len(rows) // 2]
+    rng = np.random.default_rng([part, sweep, 1])
+    own, at, keys, hot_at = part_entries(named)
+    c0, c1 = gathered(rows, 0, at, len(own)), gathered(rows, 1, hot_at, len(keys))
+    prior, number = np.zeros(len(keys)), keys & 0xFFFFFFFF
+    for r, b in zip(rows, hot_at, strict=True):
+        prior[b] = load(r["cells"][2], "<f8")
+    t1 = draw_tables(c1, (totals.strength[1] + totals.discount[1] * totals.tables[1][number]) * prior, totals.discount[1], rng)
+    c0 += np.bincount(keys >> 32, t1, len(own)).astype(np.int64)
+    fresh = 1e-6 if sweep == 0 else (totals.strength[0] + totals.discount[0] * float(totals.tables[0][0])) * totals.known()
+    t0 = draw_tables(c0, np.full(len(own), fresh), totals.discount[0], rng)
+    n = len(totals.tables[1])
+    sums = [int(c0.sum()), int(t0.sum()), *(int(x) for y in (c1, t1) for x in np.bincount(number, y, n))]
+    out = [(ANSWER, r["bucket"], part, sweep, [*(pack(x[a], "<u4") for x in (c0, t0)), *(pack(x[b], "<u4") for x in (c1, t1))], None) for r, a, b in zip(rows, at, hot_at, strict=True)]
+    kept = [pack(own, "<u8", True), pack(c0, "<u4"), pack(t0, "<u4"), pack(keys, "<u8", True), pack(c1, "<u4"), pack(t1, "<u4")]
+    return table([*out, (PART, -1, part, sweep, kept, sums)])
+
+
+def bucket_sweep(t: pa.Table, totals: Totals, sweep: int, keep: bool) -> pa.Table:
+    """A bucket's next seating, and its letters; with ``keep`` the seating becomes a sample."""
+    rows = t.to_pylist()
+    state = next(r for r in rows if r["kind"] == STATE)
+    bucket, cells = state["bucket"], state["cells"]
+    rng = np.random.default_rng([bucket, sweep])
+    g = Group(cells)
+    answer = g.answers([r for r in rows if r["kind"] == ANSWER])
+    del rows, state
+    warm = g.hot1 >= 0
+    cold = ~warm
+    if sweep:
+        t1, t2 = (load(c, "<u4").astype(np.int64) for c in cells[8:10])
+        _, _, p0, p1, rest = g.seated(totals, t1, t2, answer)
+    else:
+        p0 = answer[0] / max(1, totals.tokens)
+        p1 = p0[g.up1]
+        rest = g.restaurants(totals, np.zeros(g.n[1]), np.ones(g.n[1]), np.ones(g.n[2]))
+    strength, discount = totals.strength, totals.discount
+    t2 = draw_tables(g.c2, (strength[2] + discount[2] * rest[3])[g.at2] * p1[g.up2], discount[2], rng)
+    c1 = np.bincount(g.up2, t2, g.n[1]).astype(np.int64)
+    t1 = np.zeros(len(c1), np.int64)
+    t1[cold] = draw_tables(c1[cold], (strength[1] + discount[1] * rest[1])[g.at1[cold]] * p0[g.up1[cold]], discount[1], rng)
+    now = [pack(t1, "<u4"), pack(t2, "<u4")]
+    sent, warm_sent, prior = np.bincount(g.up1[cold], t1[cold], g.n[0]), c1[warm], p0[g.up1[warm]]
+    letters = [(LETTER, bucket, p, sweep, [pack(sent[mine], "<u4"), pack(warm_sent[own], "<u4"), pack(prior[own], "<f8")], None) for p, mine, own, _ in g.dealt()]
+    return table([(STATE, bucket, -1, sweep, [*cells[:8], *now, *cells[10:], *now * keep], None), *letters])
+
+
+class Bucket:
+    """Words of a part with their entries at each level: (word, context of two), (word, context of one), word.
+
+    A context of two is the word before times 2 ** BITS2 plus the one before that, as Python's numbers.
+    """
+
+    def __init__(self, row: dict) -> None:
+        self.words = load(row["words"], "<u8", True)
+        n1, n2 = load(row["n"], "<u4"), load(row["n1"], "<u4")
+        one, two = (load(row[x], "<u8").astype(object) for x in ("ctx1", "ctx2"))
+        self.up1, self.up2 = np.repeat(np.arange(len(n1)), n1), np.repeat(np.arange(len(n2)), n2)
+        self.ctx1 = one
+        self.ctx2 = np.array([(a << BITS2) + b for a, b in zip(one[self.up2], two, strict=True)], object)
+        self.key1 = np.arange(len(one))
+        self.c2 = load(row["count"], "<u4").astype(np.int64)
+
+    def chances(self, t: Totals, c0, t0, c1, t1) -> tuple[np.ndarray, np.ndarray]:
+        p0 = t.chance(0, 0, c0, t0, t.known())
+        return p0, t.chance(1, self.ctx1, c1, t1, p0[self.up1]).astype(float)
+
+
+WORDS = "bucket int, words binary, n binary, n1 binary, ctx1 binary, ctx2 binary, count binary, samples array<binary>"
+
+
+def both_rows(t: pa.Table) -> tuple[Group, list[bytes], int]:
+    """A bucket by its seating and its lookup row; the seating's cells."""
+    rows = {r["kind"]: r for r in t.to_pylist()}
+    return Group(rows[STATE]["cells"], rows[LOOKUP]["cells"]), rows[STATE]["cells"], rows[STATE]["bucket"]
+
+
+def by_word(t: pa.Table) -> pa.Table:
+    """A bucket's entries as rows for each part."""
+    g, cells, bucket = both_rows(t)
+    word, part = g.words[g.word], g.part[g.up1]
+    values, out = [load(c, "<u4") for c in cells[10:]], []
+    for p in np.unique(part).tolist():
+        one, two = part == p, (part == p)[g.up2]
+        lower = np.cumsum(one) - 1
+        found = [pack(word[one], "<u8"), pack(g.words[g.own[g.at1[one]]], "<u8"), pack(lower[g.up2[two]], "<u4"), pack(g.words[g.two[g.at2[two]]], "<u8"), pack(g.c2[two], "<u4")]
+        out.append((STATE, bucket, p, -1, [*found, *(pack(x[(one, two)[i % 2]], "<u4") for i, x in enumerate(values))], None))
+    return table(out)
+
+
+def words_of_part(t: pa.Table, hot: np.ndarray, schema: pa.Schema) -> pa.Table:
+    rows = t.to_pylist()
+    kept = sorted((r for r in rows if r["kind"] == PART), key=lambda r: r["sweep"])
+    own = load(kept[0]["cells"][0], "<u8", True)
+    states = [r["cells"] for r in rows if r["kind"] == STATE]
+    word, one = (np.concatenate([load(c[i], "<u8") for c in states]) for i in (0, 1))
+    two, count = np.concatenate([load(c[3], "<u8") for c in states]), np.concatenate([load(c[4], "<u4") for c in states])
+    base = np.cumsum([0] + [len(load(c[0], "<u8")) for c in states])
+    lower = np.concatenate([load(c[2], "<u4").astype(np.int64) + b for c, b in zip(states, base, strict=False)])
+    at, before = np.searchsorted(own, word), np.unique(one, return_inverse=True)[1]
+    key, to = np.unique(at.astype(np.int64) << 32 | before, return_inverse=True)
+    names = np.empty(len(key), np.uint64)
+    names[to] = one
+    order = np.argsort(to[lower], kind="stable")
+    samples = []
+    for k, r in enumerate(kept):
+        t1, t2 = (np.concatenate([load(c[5 + 2 * k + i], "<u4") for c in states]) for i in (0, 1))
+        t1 = np.bincount(to, t1, len(key))
+        keys = load(r["cells"][3], "<u8", True).astype(np.int64)
+        number = place(hot, names)
+        warm = number >= 0
+        t1[warm] = load(r["cells"][5], "<u4")[place(keys, (key >> 32 << 32 | number)[warm])]
+        samples += [r["cells"][2], pack(t1, "<u4"), pack(t2[order], "<u4")]
+    cells = [pack(own, "<u8", True), pack(np.bincount(key >> 32, minlength=len(own)), "<u4"), pack(np.bincount(to[lower], minlength=len(key)), "<u4"), pack(names, "<u8"), pack(two[order], "<u8"), pack(count[order], "<u4")]
+    return pa.table([pa.array([x], f.type) for x, f in zip([rows[0]["part"], *cells, samples], schema, strict=True)], schema=schema)
+
+
+def totals_rows(t: pa.Table, asked: list[int], level: int, sample: int, totals: Totals, schema: pa.Schema) -> pa.Table:
+    """Rows (context, customers, tables) of the contexts asked for."""
+    g, cells, _ = both_rows(t)
+    asked = set(asked)
+    t1, t2 = (load(c, "<u4").astype(np.int64) for c in cells[10 + 2 * sample : 12 + 2 * sample])
+    rest = g.restaurants(totals, np.bincount(g.up2, t2, g.n[1]), t1, t2)[2 * (level - 1) :]
+    names = g.words[g.own].tolist()
+    if level == 2:
+        names = [(a << BITS2) + b for a, b in zip(np.repeat(g.words[g.own], g.nx).tolist(), g.words[g.two].tolist(), strict=True)]
+    return table([(str(x), int(c), int(n)) for x, c, n in zip(names, rest[0], rest[1], strict=True) if x in asked], schema)
+
+
+class Restaurants:
+    """Customers or tables of contexts, found in the buckets when asked for."""
+
+    def __init__(self, found: dict, find, which: int) -> None:
+        self.found, self.find, self.which = found, find, which
+
+    def __getitem__(self, ctx):
+        asked = [int(x) for x in np.atleast_1d(ctx)]
+        if missing := {x for x in asked if x not in self.found}:
+            self.found.update(dict.fromkeys(missing, (0, 0)) | self.find(sorted(missing)))
+        out = np.array([self.found[x][self.which] for x in asked], np.int64)
+        return out if np.ndim(ctx) else out[0]
 
 
 @dataclass
 class Model:
-    """``state`` is a table of one row a bucket; ``totals`` has those of each sample; ``split`` says in how many a bucket is scored."""
+    """``groups`` is a table of two rows for each bucket, ``counts`` and ``roots`` have the parts' rows of the counts and of each sample.
 
-    state: DataFrame
-    totals: list[Totals]
+    ``split`` says in how many a bucket is scored. For reading, :attr:`state` has the entries by word, :attr:`totals` restaurants by context.
+    """
+
+    groups: DataFrame
+    counts: DataFrame
+    roots: list[DataFrame]
+    found: list[Totals]
     buckets: int
+    parts: int
+    hot: np.ndarray
     split: dict[int, int]
 
-
-SCHEMA = "bucket int, v long, tokens long, words binary, n binary, ctx binary, count binary, tables array<binary>, samples array<binary>"
+    @property
+    def state(self) -> DataFrame:
+        hot = self.hot
+        rows = self.groups.groupBy("bucket").applyInArrow(by_word, ROWS)
+        for r in self.roots:
+            rows = rows.union(r.filter(F.col("kind") == PART))
+        import pyspark.sql.pandas.types as arrow
+
+        schema = arrow.to_arrow_schema(self.groups.sparkSession.createDataFrame([], WORDS).schema)
+        return rows.groupBy("part").applyInArrow(lambda t: words_of_part(t, hot, schema), WORDS)
+
+    @functools.cached_property
+    def totals(self) -> list[Totals]:
+        def places(k: int, level: int):
+            t, schema = self.found[k], pa.schema([("ctx", pa.string()), ("customers", pa.int64()), ("tables", pa.int64())])
+
+            def find(asked: list[int]) -> dict:
+                rows = self.groups.groupBy("bucket").applyInArrow(lambda x: totals_rows(x, asked, level, k, t, schema), "ctx string, customers long, tables long").distinct()
+                return {int(r.ctx): (r.customers, r.tables) for r in rows.collect()}
+
+            known: dict = {}
+            return Restaurants(known, find, 0), Restaurants(known, find, 1)
+
+        out = []
+        for k, t in enumerate(self.found):
+            lower = [places(k, level) for level in (1, 2)]
+            out.append(Totals([t.customers[0], *(x[0] for x in lower)], [t.tables[0], *(x[1] for x in lower)], t.discount, t.strength, t.v, t.tokens, t.unknown))
+        return out
 
 
 def train(docs: DataFrame, *, text: str = "text", burn_in: int = 1, samples: int = 3, rounds: int = 3, strength: float = 1.0, unknown: float = 0.5, bucket_bytes: int = BUCKET) -> Model:
     """Learn from all rows of ``docs``.
 
-    Of the corpus the driver sees sizes of buckets and the restaurants' totals: 2 * (1 + 2**BITS1 + 2**(BITS1 + BITS2)) numbers.
+    Of the corpus the driver sees sizes of buckets, sums of parts, and the hot words before with their totals.
     """
     body = docs.select(text_of(text).cast("binary").alias("body"))
     size = docs.agg(F.sum(F.octet_length(text_of(text)).cast("long") + 1)).first()[0] or 0
     buckets = max(8, math.ceil(size / bucket_bytes))
-    names = ", ".join(f"{n} binary" for n in STATE)
-    counted = body.mapInArrow(lambda it: count_blocks(it, buckets), f"bucket int, {names}")
-    merged = counted.groupBy("bucket").applyInArrow(merge_counts, f"bucket int, v long, tokens long, once array<bigint>, {names}")
-    state = merged = stored(merged, "counts")
-    sizes = state.select("bucket", "v", "tokens", "once").collect()  # a few numbers a bucket
-    once = np.array([r.once for r in sizes], np.int64).reshape(-1, 6).sum(axis=0)
-    discount = [float(np.clip(a / max(1, a + 2 * b), 0.05, 0.95)) for a, b in once.reshape(3, 2)]
-    v, tokens = sum(r.v for r in sizes), sum(r.tokens for r in sizes)
+    parts = max(8, math.ceil(buckets / 4))
+    hot = hot_words(body, size, buckets)
+    counted = body.mapInArrow(lambda it: count_blocks(it, buckets, hot), "bucket int, cells array<binary>")
+    merged = stored(counted.groupBy("bucket").applyInArrow(lean(lambda t: merge_counts(t, parts, hot)), ROWS), "counts")
+    is_kind = lambda df, *kinds: df.filter(F.col("kind").isin(*kinds))
+    sums = lambda df, kind: [r.sums for r in is_kind(df, kind).select("sums").collect()]
+    counts = answers = stored(is_kind(merged, LETTER).groupBy("part").applyInArrow(lambda t: part_counts(t, len(hot)), ROWS), "words")
+    sizes = is_kind(merged, STATE).select("bucket", F.col("sums")).collect()  # a few numbers a bucket
+    lower = np.array([r.sums for r in sizes], np.int64).reshape(-1, 5).sum(axis=0)
+    upper = np.array(sums(counts, PART), np.int64).reshape(-1, 5 + len(hot)).sum(axis=0)
+    once = [upper[1:3], lower[1:3] + upper[3:5], lower[3:5]]
+    discount = [float(np.clip(a / max(1, a + 2 * b), 0.05, 0.95)) for a, b in once]
+    v, tokens = int(upper[0]), int(lower[0])
     usual = 2 * max(1, tokens) / buckets
-    split = {r.bucket: math.ceil(r.tokens / usual) for r in sizes if r.tokens > usual}
-    state = state.select("bucket", "v", "tokens", *STATE, F.lit(None).cast("array<binary>").alias("tables"), F.array().cast("array<binary>").alias("samples"))
+    split = {r.bucket: math.ceil(r.sums[0] / usual) for r in sizes if r.sums[0] > usual}
 
-    def total(table: DataFrame) -> Totals:
-        out = [np.zeros((2, 1 << bits), np.int64) for bits in (0, BITS1, BITS1 + BITS2)]
-        rows = table.mapInArrow(sum_rows, "level int, ctx int, customers long, tables long").groupBy("level", "ctx").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t"))
-        for r in rows.collect():
-            out[r.level][:, r.ctx] = r.c, r.t
-        return Totals([x[0] for x in out], [x[1] for x in out], discount, [strength] * 3, v, tokens, unknown)
+    def totals(c0: int, t0: int, c1: np.ndarray, t1: np.ndarray) -> Totals:
+        return Totals([np.array([c0]), c1], [np.array([t0]), t1], discount, [strength] * 3, v, tokens, unknown)
 
-    found, now = [], total(state)
+    def seating(now: Totals, k: int, keep: bool):
+        return lean(lambda t: bucket_sweep(t, now, k, keep))
+
+    def rooting(now: Totals):
+        return lean(lambda t: part_sweep(t, now))
+
+    now, found, roots = totals(0, v, np.zeros(len(hot), np.int64), upper[5:]), [], []
+    state, names = merged, is_kind(merged, LETTER).withColumn("cells", F.slice("cells", 1, 3))
     for k in range(1 + burn_in + samples):
         keep = k > burn_in
-        before, state = state, stored(state.mapInArrow(lambda it, now=now, k=k, keep=keep: sweep_rows(it, now, k, rounds, keep), SCHEMA), "seating")
-        discard(before if k else merged)
-        now = total(state)
+        both = is_kind(state, STATE).union(is_kind(answers, ANSWER))
+        before, state = state, stored(both.groupBy("bucket").applyInArrow(seating(now, k, keep), ROWS), "seating")
+        if k:
+            discard(before)
+        if answers is not counts and not any(answers is r for r in roots):
+            discard(answers)
+        answers = stored(is_kind(state, LETTER).union(names).groupBy("part").applyInArrow(rooting(now), ROWS), "words")
+        s = np.array(sums(answers, PART), np.int64).reshape(-1, 2 + 2 * len(hot)).sum(axis=0)
+        now = totals(int(s[0]), int(s[1]), s[2 : 2 + len(hot)], s[2 + len(hot) :])
         if keep:
             found.append(now)
-    return Model(state, found, buckets, split)
+            roots.append(answers)
+    return Model(is_kind(state, STATE).union(is_kind(merged, LOOKUP)), counts, roots, found, buckets, parts, hot, split)
+
+
+def hot_words(body: DataFrame, size: int, buckets: int) -> np.ndarray:
+    """Words before that are too frequent for one bucket, by a sample; in order."""
+    share = max(SHARE, LOOK / max(1, size))
+    seen = body if share >= 1 else body.sample(share, seed=7)
+    n = seen.mapInArrow(frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    n = n.crossJoin(F.broadcast(n.filter("word = 0").select(F.col("n").alias("tokens"))))
+    rows = n.filter((F.col("word") != 0) & (F.col("n") * buckets > F.col("tokens") * HOT) & (F.col("n") >= 50)).select("word").collect()  # at most buckets / HOT
+    return np.sort(np.array([r.word for r in rows], np.int64).view(np.uint64))
 
 
 # scoring
 
+#: Rows of a bucket's postings, and of what it returns: a block's documents, sums for a block, tokens for a part of the words.
+POST, HEAD, SUMS, AWAY = range(5, 9)
+BLOCK = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("split", pa.int32()), ("part", pa.int32()), ("sweep", pa.int32()), ("block", pa.int64()), ("cells", pa.list_(pa.binary()))])
+BLOCKS = "kind int, bucket int, split int, part int, sweep int, block long, cells array<binary>"
+
 
-def post(batches, buckets: int, split: dict[int, int]):
+def post(batches, buckets: int, split: dict[int, int], hot: np.ndarray):
     """Rows of a task's blocks: one with the block's ids, and one of postings for each bucket."""
     words = Words()
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     held: list[tuple] = []
     seq = waiting = 0
 
+    def row(kind: int, bucket: int, number: int, block: int, cells: list[bytes]) -> pa.RecordBatch:
+        return table([(kind, bucket, number, -1, -1, block, cells)], BLOCK).to_batches()[0]
+
     def flush(block: int):
         docs = pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(c).slice(i, 1) for rows, *_ in held for b, i in rows]) for c in (0, 1)], ["id", "held"])])
         base = np.cumsum([0] + [len(h[0]) for h in held])
-        token, ctx = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-        doc = np.concatenate([h[3] + x for h, x in zip(held, base, strict=False)])
+        token, doc = np.concatenate([h[1] for h in held]), np.concatenate([h[2] + x for h, x in zip(held, base, strict=False)])
         n = np.bincount(doc, minlength=len(docs))
-        own, at = np.unique(token, return_inverse=True)
-        bucket = (own % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((at, bucket[at]))
-        token_bucket = bucket[at[order]]
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, docs.schema) as w:
             w.write_table(docs)
-        rows = [(-1, block % 1000003, block, pack(np.frombuffer(sink.getvalue(), "u1"), "u1"), pack(n, "<u4"), None, None)]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(token_bucket)) + 1, [len(order)]])
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            x, e = int(token_bucket[a]), order[a:b]
-            kinds, times = np.unique(at[e], return_counts=True)
-            rows.append((x, block % split.get(x, 1), block, pack(own[kinds], "<u8", True), pack(times, "<u4"), pack(doc[e], "<i4", True), pack(ctx[e], "<u2")))
-        for x in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int32()), pa.array([x[1]], pa.int32()), pa.array([x[2]], pa.int64()), *[pa.array([y], pa.binary()) for y in x[3:]], pa.array([None], pa.list_(pa.binary()))], POST)
+        yield row(HEAD, -1, block % 1000003, block, [pack(np.frombuffer(sink.getvalue(), "u1"), "u1"), pack(n, "<u4")])
+        for bucket, *entries, to in deal(token, doc, buckets, hot):
+            yield row(POST, bucket, block % split.get(bucket, 1), block, [*entry_cells(*entries), pack(to, "<u4"), pack(place(hot, entries[0]) + 1, "<u4")])
 
     for rows, texts in _grouped(batches, 2, PIECE):
-        token, ctx, doc = words(texts)
-        held.append((rows, token, ctx, doc))
-        waiting += len(token)
+        held.append((rows, *words(texts)))
+        waiting += len(held[-1][1])
         if waiting >= TOKENS:
             yield from flush(part << 24 | seq)
             held, waiting, seq = [], 0, seq + 1
@@ -486,69 +826,130 @@ def post(batches, buckets: int, split: dict[int, int]):
         yield from flush(part << 24 | seq)
 
 
-POST = ["bucket", "part", "block", "words", "n", "ctx", "count", "samples"]
+def sums_row(block: int, doc: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> tuple:
+    docs, to = np.unique(doc, return_inverse=True)
+    return SUMS, -1, -1, -1, -1, block, [pack(docs, "<u4", True), pack(np.bincount(to, known), "<u4"), pack(np.bincount(to, base), "<f8"), pack(np.bincount(to, score), "<f4")]
 
 
-def score_bucket(t: pa.Table, totals: list[Totals], schema: pa.Schema) -> pa.Table:
-    """A row of sums for each block that has postings in the bucket; a block's own row passes."""
+def score_bucket(t: pa.Table, found: list[Totals], parts: int) -> pa.Table:
+    """Sums for each block that has postings in the bucket, and postings whose words are not in it, with what their probability is multiplied by."""
     rows = t.to_pylist()
-    if rows[0]["bucket"] == -1:
-        return pa.table([t["block"], t["words"], t["n"], pa.nulls(len(t), pa.binary()), pa.nulls(len(t), pa.binary()), pa.nulls(len(t), pa.binary())], schema=schema)
-    state = next((r for r in rows if r["samples"] is not None), None)
-    own = Bucket(state) if state else None
-    chances = []
-    if own:
-        c = np.bincount(own.up1[own.up2], own.c2, len(own.words)).astype(np.int64)
-        for k, totals_k in enumerate(totals):
-            t0, t1, t2 = (load(x, "<u4").astype(np.int64) for x in state["samples"][3 * k : 3 * k + 3])
-            chances.append((*own.chances(totals_k, np.bincount(own.up1, t1, len(own.words)), t0, np.bincount(own.up2, t2, len(own.key1)), t1), t2))
+    if rows[0]["kind"] == HEAD:
+        return table([tuple(r[f.name] for f in BLOCK) for r in rows], BLOCK)
+    state, look = (next((r["cells"] for r in rows if r["kind"] == kind), None) for kind in (STATE, LOOKUP))
+    samples, first = [], found[0]
+    if state:
+        g = Group(state, look)
+        answers = {}
+        for r in rows:
+            if r["kind"] == ANSWER:
+                answers.setdefault(r["sweep"], []).append(r)
+        count = g.answers(answers[min(answers)])[0]
+        for k, sweep in enumerate(sorted(answers)[1:]):
+            t1, t2 = (load(c, "<u4").astype(np.int64) for c in state[10 + 2 * k : 12 + 2 * k])
+            _, _, p0, p1, rest = g.seated(found[k], t1, t2, g.answers(answers[sweep]))
+            p2 = chance(found[k].discount[2], found[k].strength[2], g.c2, t2, rest[2][g.at2], rest[3][g.at2], p1[g.up2])
+            samples.append((p0, p1, p2, rest))
+        v = len(g.words)
+        key1 = g.own[g.at1] * v + g.word
+        pair = np.repeat(g.own, g.nx) * v + g.two
+        per2 = len(pair) + 1
+        key2 = g.up2.astype(np.int64) * per2 + g.at2
+        number = np.full(v, -1)
+        number[g.slots] = np.arange(len(g.slots))
     out = []
     for r in rows:
-        if r["samples"] is not None:
+        if r["kind"] != POST:
             continue
-        kinds, times = load(r["words"], "<u8", True), load(r["n"], "<u4")
-        doc, ctx2 = load(r["ctx"], "<i4", True), load(r["count"], "<u2").astype(np.int64)
-        ctx1 = ctx2 >> BITS2
-        if own:
-            at = np.minimum(np.searchsorted(own.words, kinds), len(own.words) - 1)
-            known = own.words[at] == kinds
-            count = np.repeat(np.where(known, c[at], 0), times)
-            word, known = np.repeat(at, times), np.repeat(known, times)
-            key2 = word << (BITS1 + BITS2) | ctx2
-            at2 = np.minimum(np.searchsorted(own.key2, key2), len(own.key2) - 1)
-            has2 = known & (own.key2[at2] == key2)
-            at1 = np.minimum(np.searchsorted(own.key1, key2 >> BITS2), len(own.key1) - 1)
-            has1 = known & (own.key1[at1] == key2 >> BITS2)
+        words, one, two, word, times = load_entries(r["cells"][:5])
+        doc = load(r["cells"][5], "<u4").astype(np.int64)
+        here = load(r["cells"][6], "<u4").astype(np.int64)[one] - 1
+        n = len(one)
+        p = np.zeros((len(found), n))
+        if state:
+            mine = place(g.words, words)
+            a, b, w = mine[one], mine[two], mine[word]
+            slot = np.where(w >= 0, number[w], -1)
+            at0 = place(g.own, a)
+            at1 = np.where((a >= 0) & (w >= 0), place(key1, a * v + w), -1)
+            at2 = np.where((a >= 0) & (b >= 0), place(pair, a * v + b), -1)
+            entry = np.where((at1 >= 0) & (at2 >= 0), place(key2, at1 * per2 + at2), -1)
         else:
-            count, known = np.zeros(len(doc), np.int64), np.zeros(len(doc), bool)
-        p = np.zeros(len(doc))
-        for k, t_k in enumerate(totals):
-            fresh = t_k.chance(0, 0, 0, 0, t_k.unknown)
-            if own:
-                p0, p1, t2 = chances[k]
-                zero = np.where(known, p0[word], fresh)
-                one = np.where(has1, p1[at1], t_k.chance(1, ctx1, 0, 0, zero))
-                p += t_k.chance(2, ctx2, np.where(has2, own.c2[at2], 0), np.where(has2, t2[at2], 0), one)
-            else:
-                p += t_k.chance(2, ctx2, 0, 0, t_k.chance(1, ctx1, 0, 0, fresh))
-        some = totals[0]
-        docs, to = np.unique(doc, return_inverse=True)
-        base = np.bincount(to, np.log10((count + 1) / (some.tokens + some.v + 1)))
-        score = np.bincount(to, np.log10(p / len(totals)))
-        out.append([r["block"], pack(docs, "<i4", True), None, pack(np.bincount(to, known), "<u4"), pack(base, "<f8"), pack(score, "<f4")])
-    return pa.table([pa.array([x[i] for x in out], schema.field(i).type) for i in range(6)], schema=schema)
+            slot = at0 = at1 = at2 = entry = np.full(n, -1)
+        here_done = np.where(here >= 0, at1 >= 0, slot >= 0)  # the parts know about the others
+        for k, t_k in enumerate(found):
+            c2 = t2 = c1 = t1 = np.zeros(n)
+            if state:
+                p0, p1, p2, rest = samples[k]
+                c2, t2 = (np.where(at2 >= 0, x[at2], 0) for x in rest[2:])
+                c1, t1 = (np.where(at0 >= 0, x[at0], 0) for x in rest[:2])
+            up2, up1 = (chance(t_k.discount[i], t_k.strength[i], 0, 0, c, t, 1.0) for i, c, t in ((2, c2, t2), (1, c1, t1)))
+            p[k] = up2 * np.where(here >= 0, 1, up1)
+            if state:
+                one_p = np.where(at1 >= 0, p1[at1], up1 * p0[slot])
+                p[k] = np.where(here_done, np.where(entry >= 0, p2[entry], up2 * one_p), p[k])
+        each = np.repeat(np.arange(n), times)
+        if here_done.any():
+            c = np.where(here_done, count[slot], 0)
+            base, score = np.log10((c + 1) / (first.tokens + first.v + 1)), np.log10(p.mean(axis=0))
+            e = here_done[each]
+            at = each[e]
+            out.append(sums_row(r["block"], doc[e], np.ones(len(at)), base[at], score[at]))
+        if not here_done.all():
+            part = (mix(words) % np.uint64(parts)).astype(np.int64)[word]
+            away = ~here_done[each]
+            away_part, away_doc, away_at = part[each[away]], doc[away], each[away]
+            for x in np.unique(away_part).tolist():
+                at, to = away_at[away_part == x], away_doc[away_part == x]
+                own, local = np.unique(word[at], return_inverse=True)
+                cells = [pack(words[own], "<u8", True), pack(local, "<u4"), pack(here[at] + 1, "<u4"), pack(to, "<u4"), pack(p[:, at].ravel(), "<f4")]
+                out.append((AWAY, -1, -1, x, -1, r["block"], cells))
+    return table(out, BLOCK)
+
+
+def score_part(t: pa.Table, found: list[Totals]) -> pa.Table:
+    """Sums for blocks of the tokens whose words a bucket has not seen."""
+    rows = t.to_pylist()
+    kept = sorted((r for r in rows if r["kind"] == PART), key=lambda r: r["sweep"])
+    own = load(kept[0]["cells"][0], "<u8", True) if kept else np.zeros(0, np.uint64)
+    cells = [[load(c, "<u4").astype(np.int64) for c in (r["cells"][1], r["cells"][2], r["cells"][4], r["cells"][5])] for r in kept[1:]]
+    keys = load(kept[1]["cells"][3], "<u8", True).astype(np.int64) if kept else np.zeros(0, np.int64)
+    count = load(kept[0]["cells"][1], "<u4").astype(np.int64) if kept else None
+    out = []
+    for r in rows:
+        if r["kind"] != AWAY:
+            continue
+        at = place(own, load(r["cells"][0], "<u8", True))[load(r["cells"][1], "<u4")]
+        warm, doc = load(r["cells"][2], "<u4").astype(np.int64) - 1, load(r["cells"][3], "<u4").astype(np.int64)
+        p = load(r["cells"][4], "<f4").astype(np.float64).reshape(len(found), -1)
+        is_warm = warm >= 0
+        key = np.where((at >= 0) & is_warm, place(keys, at << 32 | np.maximum(warm, 0)), -1)
+        for k, t_k in enumerate(found):
+            parent = np.full(len(at), float(t_k.chance(0, 0, 0, 0, t_k.unknown)))
+            c1 = t1 = np.zeros(len(at))
+            if kept:
+                c0, t0, warm_c, warm_t = cells[k]
+                parent = np.where(at >= 0, t_k.chance(0, 0, c0[at], t0[at], t_k.known()), parent)
+                if len(keys):
+                    c1, t1 = (np.where(key >= 0, x[key], 0) for x in (warm_c, warm_t))
+            if is_warm.any():
+                parent[is_warm] = t_k.chance(1, warm[is_warm], c1[is_warm], t1[is_warm], parent[is_warm])
+            p[k] *= parent
+        c = np.where(at >= 0, count[at], 0) if kept else np.zeros(len(at))
+        out.append(sums_row(r["block"], doc, at >= 0, np.log10((c + 1) / (found[0].tokens + found[0].v + 1)), np.log10(p.mean(axis=0))))
+    return table(out, BLOCK)
 
 
 def sum_block(t: pa.Table, schema: pa.Schema, tokens: int) -> pa.Table:
     rows = t.to_pylist()
-    head = next(r for r in rows if r["n"] is not None)
-    docs = pa.ipc.open_stream(load(head["docs"], "u1").tobytes()).read_all()
-    n = load(head["n"], "<u4")
+    head = next(r["cells"] for r in rows if r["kind"] == HEAD)
+    docs = pa.ipc.open_stream(load(head[0], "u1").tobytes()).read_all()
+    n = load(head[1], "<u4")
     known, base, score = (np.zeros(len(n)) for _ in range(3))
     for r in rows:
-        if r["n"] is None:
-            at = load(r["docs"], "<i4", True)
-            for to, x, kind in ((known, r["known"], "<u4"), (base, r["base"], "<f8"), (score, r["score"], "<f4")):
+        if r["kind"] == SUMS:
+            at = load(r["cells"][0], "<u4", True)
+            for to, x, kind in ((known, r["cells"][1], "<u4"), (base, r["cells"][2], "<f8"), (score, r["cells"][3], "<f4")):
                 to[at] += load(x, kind)
     arrays = [docs["id"].combine_chunks(), docs["held"].combine_chunks(), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(score)]
     return pa.table(arrays, schema=schema)
@@ -558,20 +959,24 @@ def score(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "tex
     """``id``, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity (of a token) for every row."""
     rows = docs.select(F.col(f"`{id}`").alias("id"), (F.lit(False) if held_out is None else held_out).alias("held"), text_of(text).cast("binary").alias("body"))
     kind = rows.schema["id"].dataType
-    names = "bucket int, part int, block long, words binary, n binary, ctx binary, count binary, samples array<binary>"
-    buckets, split = model.buckets, model.split
-    sent = rows.mapInArrow(lambda it: post(it, buckets, split), names)
+    settle(docs.sparkSession)  # shuffles of the last sweep
+    buckets, split, found, parts, hot = model.buckets, model.split, model.found, model.parts, model.hot
+    sent = rows.mapInArrow(lambda it: post(it, buckets, split, hot), BLOCKS)
     copies = F.explode(F.sequence(F.lit(0), F.lit(0)))
-    if model.split:
-        parts = F.create_map(*[F.lit(x) for b, n in model.split.items() for x in (b, n)])
-        copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.element_at(parts, F.col("bucket")), F.lit(1)) - 1))
-    states = model.state.select("bucket", copies.alias("part"), F.lit(-1).cast("long").alias("block"), *STATE, "samples")
-    totals = model.totals
-    sums = pa.schema([("block", pa.int64()), *[(x, pa.binary()) for x in ("docs", "n", "known", "base", "score")]])
-    replies = sent.union(states).groupBy("bucket", "part").applyInArrow(lambda t: score_bucket(t, totals, sums), "block long, docs binary, n binary, known binary, base binary, score binary")
+    if split:
+        counts = F.create_map(*[F.lit(x) for b, n in split.items() for x in (b, n)])
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.element_at(counts, F.col("bucket")), F.lit(1)) - 1))
+    columns = ["kind", "bucket", "split", "part", "sweep", F.lit(-1).cast("long").alias("block"), "cells"]
+    for x in (model.groups, *(r.filter(F.col("kind") == ANSWER) for r in (model.counts, *model.roots))):
+        sent = sent.union(x.select("*", copies.alias("split")).select(*columns))
+    replies = stored(sent.groupBy("bucket", "split").applyInArrow(lean(lambda t: score_bucket(t, found, parts)), BLOCKS), "replies")
+    away = replies.filter(F.col("kind") == AWAY)
+    for r in (model.counts, *model.roots):
+        away = away.union(r.filter(F.col("kind") == PART).select("kind", "bucket", F.lit(-1).alias("split"), "part", "sweep", F.lit(-1).cast("long").alias("block"), "cells"))
+    replies = replies.filter(F.col("kind") != AWAY).union(away.groupBy("part").applyInArrow(lean(lambda t: score_part(t, found)), BLOCKS))
     import pyspark.sql.pandas.types as arrow
 
     out = pa.schema([("id", arrow.to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    tokens = totals[0].tokens
-    found = replies.filter("block >= 0").groupBy("block").applyInArrow(lambda t: sum_block(t, out, tokens), f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return found.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).withColumnRenamed("id", id)
+    tokens = found[0].tokens
+    summed = replies.groupBy("block").applyInArrow(lambda t: sum_block(t, out, tokens), f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return summed.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).withColumnRenamed("id", id)

@@ -131,3 +131,70 @@ def test_numbers_of_tables_follow_the_seatings():
     start = time.time()
     got = H.Tables(np.arange(3), many, 3).sweep(many, np.full(3, 40.0), 0.7, 3, rng)
     assert (got.customers == many).all() and got.count[0] == 1 and (got.count[1:] > 40).all() and time.time() - start < 20
+
+
+def test_contexts_are_words_not_classes(spark):
+    """One word always follows the same two words before, whose nearer one is the same everywhere; no other context says so."""
+    rows = [(3 * i + k, f"x{i} m b{i}") for i in range(500) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = H.score(df, H.train(df)).collect()
+    assert len(found) == len(rows)
+    assert sum(r.score for r in found) / len(rows) > -3.6  # 2.7 of it for x
+
+
+@pytest.mark.parametrize("hot", [100, 0.05])
+def test_scores_follow_from_the_seating_by_words(spark, monkeypatch, hot):
+    """Every count of the texts is seated in its own context, customers are the tables below, and scores are what dictionaries of these say."""
+    monkeypatch.setattr(H, "HOT", hot)
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(6, 150))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    test = remainder(F.col("doc_id"), 7) == 2
+    model = H.train(df.filter(~test))
+    assert (len(model.hot) > 3) == (hot < 1)
+
+    def tokens(t):
+        before = [int(H.START)] * 2
+        for w in H.Words()([(t or "").encode()])[0].tolist():
+            yield w, before[0], before[1]  # the word, the one before, the one before that
+            before = [w, before[0]]
+
+    want = Counter(x for d, t in rows if not held(d) for x in tokens(t))
+    count, samples = Counter(), [[Counter(), Counter(), Counter()] for _ in model.found]
+    for r in model.state.collect():
+        b = H.Bucket(r.asDict())
+        word = b.words[b.up1].tolist()
+        keys = [b.words.tolist(), list(zip(word, b.ctx1, strict=True)), [(word[i], c >> H.BITS2, c & (1 << H.BITS2) - 1) for i, c in zip(b.up2.tolist(), b.ctx2, strict=True)]]
+        assert not set(keys[0]) & {w for w, *_ in count}
+        count.update(dict(zip(keys[2], b.c2.tolist(), strict=True)))
+        for k, s in enumerate(samples):
+            for level in range(3):
+                s[level].update(dict(zip(keys[level], H.load(r.samples[3 * k + level], "<u4").tolist(), strict=True)))
+    assert count == want
+    chances = []
+    for total, tables in zip(model.found, samples, strict=True):
+        customers = [Counter(), Counter(), count]
+        for (w, a, _), t in tables[2].items():
+            customers[1][w, a] += t
+        for (w, _), t in tables[1].items():
+            customers[0][w] += t
+        assert (sum(customers[0].values()), sum(tables[0].values())) == (total.customers[0][0], total.tables[0][0])
+        rest = []
+        for level, context in enumerate((lambda k: 0, lambda k: k[1], lambda k: k[1:])):
+            rest.append([Counter(), Counter()])
+            for to, of in zip(rest[level], (customers[level], tables[level]), strict=True):
+                for k, n in of.items():
+                    to[context(k)] += n
+                assert all(0 < tables[level][k] <= n for k, n in customers[level].items())
+        known = {w for w, *_ in want}
+
+        def chance(w, a, b, total=total, tables=tables, customers=customers, rest=rest, known=known):
+            p = total.known() if w in known else total.unknown
+            for level, key, context in ((0, w, 0), (1, (w, a), a), (2, (w, a, b), (a, b))):
+                p = H.chance(total.discount[level], total.strength[level], customers[level][key], tables[level][key], rest[level][0][context], rest[level][1][context], p)
+            return p
+
+        chances.append(chance)
+    texts = dict(rows)
+    for r in H.score(df, model, held_out=test).collect():
+        score = sum(math.log10(sum(c(*x) for c in chances) / len(chances)) for x in tokens(texts[r.doc_id]))
+        assert abs(r.score - score) < 1e-4 * max(1, abs(score))
