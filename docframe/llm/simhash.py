@@ -294,12 +294,12 @@ BLOCK, COLUMNS = 600_000, 8192
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """The distinct shingles of each text, sorted; fewer words than ``width`` are one shingle."""
-    token, _, doc = Words()(texts)
+    token, doc = Words()(texts)
     n = np.bincount(doc, minlength=len(texts)) - 1  # without the end token
     first = np.cumsum(n + 1) - n - 1
     size = np.minimum(n, width)
     h = mix(np.repeat(size, n + 1).astype(np.uint64) + np.uint64(11))
-    for k in range(width):
+    for k in range(min(width, len(h))):  # a few short texts may have fewer words than one shingle
         h[: len(h) - k] = np.where((k < size)[doc[: len(h) - k]], mix(h[: len(h) - k] * np.uint64(0x9E3779B97F4A7C15) + token[k:]), h[: len(h) - k])
     return [np.unique(h[a : a + m - k + 1]) if m else h[:0] for a, m, k in zip(first.tolist(), n.tolist(), size.tolist(), strict=True)]
 

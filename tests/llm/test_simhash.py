@@ -179,6 +179,15 @@ def test_links_are_those_of_the_exact_similarity(spark):
     assert any(want[i] == want[i - 1] and not is_similar(sigs[i], sigs[i - 1]) for i in range(1, 30, 2))
 
 
+def test_shingle_sets_have_each_text_s_words():
+    """As many distinct shingles as a text has; letter case and spaces don't matter, and neither do the texts beside it."""
+    texts = [b"", b"a b", b"A\tb ", b"a b c d e f", b" \n", b"x a b c d e f", b"a b c d e a b c d e a b c d e"]
+    sets = S.shingle_sets(texts, 5)
+    assert [len(x) for x in sets] == [0, 1, 1, 2, 0, 3, 5]
+    assert (sets[1] == sets[2]).all() and set(sets[3].tolist()) < set(sets[5].tolist())
+    assert all((S.shingle_sets([t], 5)[0] == x).all() for t, x in zip(texts, sets, strict=True))
+
+
 @pytest.mark.parametrize("share", [None, S.SHARE])
 def test_rows_without_an_id_stay_by_component(spark, share):
     rows = [(None, "a b c"), (4, "a b c"), (None, "zz"), (None, "zz"), (None, "yy xx"), (2, "copied text"), (6, "copied text"), (6, "own words")]
