@@ -21,6 +21,7 @@ empty one. If there is nothing to train from, all words are unknown.
 from __future__ import annotations
 
 import functools
+import gc
 import math
 from dataclasses import dataclass
 
@@ -36,8 +37,10 @@ from .repeats import mix
 
 #: Bits of a word in the number of a context of two: the word before, then the one before that.
 BITS2 = 64
-#: Text bytes for each bucket, and tokens of a block of documents.
-BUCKET, TOKENS, PIECE = 8_000_000, 2_000_000, 2_000_000
+#: Text bytes for each bucket, tokens of a block of documents, and bytes that are hashed at once.
+BUCKET, TOKENS, PIECE = 8_000_000, 2_000_000, 250_000
+#: Words of the sample, the most frequent ones, that blocks name by their place among them and not by their hash.
+COMMON = 1 << 18
 #: A word before with more than this share of a usual bucket is hot; at least so many bytes, or this share of the text, are looked at.
 HOT, LOOK, SHARE = 0.5, 8_000_000, 1 / 64
 _K = 0x9E3779B97F4A7C15
@@ -116,12 +119,9 @@ def _grouped(batches, column: int, most: int):
 # dealing tokens into buckets
 
 
-def home(one: np.ndarray, two: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
-    """The bucket of a context: by the word before, of a hot one by both words."""
-    alone = one % np.uint64(buckets)
-    if len(hot):
-        alone = np.where(place(hot, one) >= 0, mix(two + one * np.uint64(_K)) % np.uint64(buckets), alone)
-    return alone.astype(np.int64)
+def home(one: np.ndarray, two: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a context whose word before is hot: by both words."""
+    return mix(two + one * np.uint64(_K)) % np.uint64(buckets)
 
 
 def place(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -134,7 +134,7 @@ def place(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def joint(one: np.ndarray, two: np.ndarray, word: np.ndarray, v: int) -> np.ndarray:
     """A number for each three of v words, ordered by the word before, the one before that, the word."""
-    pair = one * v + two
+    pair = one * np.int64(v) + two
     if v**3 >= 1 << 63:
         pair = np.unique(pair, return_inverse=True)[1]
     return pair * v + word
@@ -151,11 +151,18 @@ def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
-def deal(token: np.ndarray, doc: np.ndarray, buckets: int, hot: np.ndarray):
-    """(bucket, words, word before, the one before that, word, times, documents) of a block; places in words, ordered by context and word."""
+def deal(token: np.ndarray, doc: np.ndarray, buckets: int, hot: np.ndarray, common: np.ndarray):
+    """(bucket, words, places of the common ones, word before, the one before that, word, times, documents) of a block.
+
+    The three are places in words, ordered by context and word. Common words come first, the most frequent ones ahead."""
     own, word = np.unique(token, return_inverse=True)
+    del token
+    by, named = common_first(own, common)
+    number = np.empty(len(own), np.int32)
+    number[by] = np.arange(len(own), dtype=np.int32)
+    word, doc = number[word], doc.astype(np.int32)
     v = len(own) + 1
-    own = np.append(own, START)
+    own = np.append(own[by], START)
     first = np.concatenate([[True], doc[1:] != doc[:-1]])
     one, two = np.empty_like(word), np.empty_like(word)
     one[1:] = word[:-1]
@@ -165,12 +172,16 @@ def deal(token: np.ndarray, doc: np.ndarray, buckets: int, hot: np.ndarray):
     key = joint(one, two, word, v)
     order = np.argsort(key)
     head, times = runs(key[order])
+    del key
     at = order[head]
     one, two, word, doc = one[at], two[at], word[at], doc[order]
-    bucket = home(own[one], own[two], buckets, hot).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+    del order, at
+    bucket = (own % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)[one]
+    warm = np.flatnonzero((place(hot, own) >= 0)[one])
+    bucket[warm] = home(own[one[warm]], own[two[warm]], buckets)
     by = np.argsort(bucket, kind="stable")
     cuts, n = runs(bucket[by])
-    seen, number = np.zeros(v, bool), np.empty(v, np.int64)
+    seen, number = np.zeros(v, bool), np.empty(v, np.int32)
     for a, n_a in zip(cuts.tolist(), n.tolist(), strict=True):
         e = by[a : a + n_a]
         three = one[e], two[e], word[e]
@@ -179,15 +190,38 @@ def deal(token: np.ndarray, doc: np.ndarray, buckets: int, hot: np.ndarray):
         used = np.flatnonzero(seen)
         number[used] = np.arange(len(used))
         seen[used] = False
-        yield int(bucket[e[0]]), own[used], *(number[x] for x in three), times[e], doc[ranges(head[e], times[e])]
+        yield int(bucket[e[0]]), own[used], named[used[: np.searchsorted(used, len(named))]], *(number[x] for x in three), times[e], doc[ranges(head[e], times[e])]
+
+
+def common_first(words: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of words, the common ones first and as ``common`` has them; the places of these there."""
+    by = np.argsort(common)
+    at = place(common[by], words)
+    known = np.flatnonzero(at >= 0)
+    named = by[at[known]]
+    order = np.argsort(named)
+    return np.concatenate([known[order], np.flatnonzero(at < 0)]), named[order]
+
+
+def word_cells(words: np.ndarray, named: np.ndarray) -> list[bytes]:
+    """Words of which the first are common: the places of these, hashes of the others."""
+    return [pack(named, "<u4", True), pack(words[len(named) :], "<u8", True)]
+
+
+def load_words(cells: list[bytes], common: np.ndarray) -> np.ndarray:
+    return np.concatenate([common[load(cells[0], "<u4", True)], load(cells[1], "<u8", True)])
 
 
-def entry_cells(words, one, two, word, times) -> list[bytes]:
-    return [pack(words, "<u8", True), pack(one, "<u4", True), pack(two, "<u4"), pack(word, "<u4"), pack(times, "<u4")]
+def entry_cells(words, named, one, two, word, times) -> list[bytes]:
+    return [*word_cells(words, named), pack(one, "<u4", True), pack(two, "<u4"), pack(word, "<u4"), pack(times, "<u4")]
 
 
-def load_entries(cells: list[bytes]) -> list[np.ndarray]:
-    return [load(cells[0], "<u8", True), load(cells[1], "<u4", True).astype(np.int64), *(load(c, "<u4").astype(np.int64) for c in cells[2:5])]
+#: Cells of :func:`entry_cells`.
+ENTRY = 6
+
+
+def load_entries(cells: list[bytes], common: np.ndarray) -> list[np.ndarray]:
+    return [load_words(cells, common), *(load(c, "<u4", i == 0).astype(np.int32) for i, c in enumerate(cells[2:ENTRY]))]
 
 
 #: A bucket's seating, its letter to a part, the answer to it, what a part keeps, and a bucket's words; ``sweep`` is -1 for counts.
@@ -220,46 +254,58 @@ def frequent(batches):
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(n)], ["word", "n"])
 
 
-def count_blocks(batches, buckets: int, hot: np.ndarray):
+def joined(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and documents of a block, whose pieces (texts, token, document) are taken out."""
+    base, n = [], 0
+    for texts, *_ in held:
+        base.append(n)
+        n += texts
+    token, doc = np.concatenate([h[1] for h in held]), np.concatenate([(h[2] + b).astype(np.int32) for h, b in zip(held, base, strict=True)])
+    held.clear()
+    return token, doc
+
+
+def count_blocks(batches, buckets: int, hot: np.ndarray, common: np.ndarray):
     """Rows (bucket, cells) of a task's training texts."""
     words, held, waiting = Words(), [], 0
 
     def flush():
-        base = np.cumsum([0] + [h[2] for h in held])
-        token, doc = np.concatenate([h[0] for h in held]), np.concatenate([h[1] + b for h, b in zip(held, base, strict=False)])
-        for bucket, *entries, _ in deal(token, doc, buckets, hot):
+        for bucket, *entries, _ in deal(*joined(held), buckets, hot, common):
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([entry_cells(*entries)], pa.list_(pa.binary()))], ["bucket", "cells"])
 
     for _, texts in _grouped(batches, 0, PIECE):
-        held.append((*words(texts), len(texts)))
-        waiting += len(held[-1][0])
+        held.append((len(texts), *words(texts)))
+        waiting += len(held[-1][1])
         if waiting >= TOKENS:
             yield from flush()
-            held, waiting = [], 0
+            waiting = 0
     if held:
         yield from flush()
 
 
-def merge_counts(t: pa.Table, parts: int, hot: np.ndarray) -> pa.Table:
+def merge_counts(t: pa.Table, parts: int, hot: np.ndarray, common: np.ndarray) -> pa.Table:
     """A bucket's state and its letters with counts; tokens, and how many have been counted once or twice at the lower levels."""
-    loaded = [load_entries(c) for c in t["cells"].to_pylist()]
+    loaded = [load_entries(c, common) for c in t["cells"].to_pylist()]
     words = np.unique(np.concatenate([x[0] for x in loaded]))
     v = len(words)
-    at = [np.searchsorted(words, x[0]) for x in loaded]
+    at = [np.searchsorted(words, x[0]).astype(np.int32) for x in loaded]
     one, two, word = (np.concatenate([to[x[i]] for to, x in zip(at, loaded, strict=True)]) for i in (1, 2, 3))
     times = np.concatenate([x[4] for x in loaded])
     del loaded, at
     key = joint(one, two, word, v)
     order = np.argsort(key)
     head, _ = runs(key[order])
-    count = np.add.reduceat(times[order], head)
+    del key
+    count = np.add.reduceat(times[order].astype(np.int64), head)
     one, two, word = (x[order[head]] for x in (one, two, word))
-    pair = one * v + two  # ordered
-    start, n = runs(pair)
+    del times, order, head
+    start, n = runs(one * np.int64(v) + two)  # ordered
     context = np.repeat(np.arange(len(start)), n)
     before, two = one[start], two[start]
-    lower = np.argsort(one * v + word, kind="stable")
-    start, n2 = runs((one * v + word)[lower])
+    key = one * np.int64(v) + word
+    lower = np.argsort(key, kind="stable")
+    start, n2 = runs(key[lower])
+    del key
     word, one, context, count = word[lower][start], one[lower][start], context[lower], count[lower]
     start, n1 = runs(one)
     own = one[start]
@@ -268,7 +314,7 @@ def merge_counts(t: pa.Table, parts: int, hot: np.ndarray) -> pa.Table:
     slots = np.flatnonzero(np.bincount(word, minlength=v))
     number = np.empty(v, np.int64)
     number[slots] = np.arange(len(slots))
-    seats = [pack(n1, "<u4"), pack(nx, "<u4"), pack(number[word], "<u4"), pack(n2, "<u4"), pack(context, "<u4"), pack(count, "<u4")]
+    seats = [pack(n1, "<u4"), pack(nx, "<u4"), pack(number[word], "<u4", True), pack(n2, "<u4"), pack(context, "<u4"), pack(count, "<u4")]
     seats += [pack(place(hot, words[own]) + 1, "<u4"), pack(mix(words[slots]) % np.uint64(parts), "<u4")]
     bucket = t["bucket"][0].as_py()
     g = Group(seats)
@@ -283,7 +329,8 @@ def merge_counts(t: pa.Table, parts: int, hot: np.ndarray) -> pa.Table:
         values = [pack(x, "<u4") for x in (*(y[mine] for y in sent), total[at], n2[at])]
         letters.append((LETTER, bucket, p, -1, [*named, *values], None))
     none = pack(np.zeros(0), "<u4")
-    look = [pack(words, "<u8", True), pack(own, "<u4", True), pack(two, "<u4"), pack(slots, "<u4", True)]
+    by, named = common_first(words, common)
+    look = [*word_cells(words[by], named), pack(own, "<u4", True), pack(two, "<u4", True), pack(slots, "<u4", True)]
     return table([(STATE, bucket, -1, -1, [*seats, none, none], [int(count.sum()), *once]), (LOOKUP, bucket, -1, -1, look, None), *letters])
 
 
@@ -325,8 +372,8 @@ class Group:
     there are ``words`` and, as places among them, the ``slots``, the words before (``own``) and those before these (``two``).
     """
 
-    def __init__(self, seats: list[bytes], look: list[bytes] | None = None) -> None:
-        n1, self.nx, up1, n2, context, c2, hot, part = (load(c, "<u4").astype(np.int32) for c in seats[:8])
+    def __init__(self, seats: list[bytes], look: list[bytes] | None = None, common: np.ndarray | None = None) -> None:
+        n1, self.nx, up1, n2, context, c2, hot, part = (load(c, "<u4", i == 2).astype(np.int32) for i, c in enumerate(seats[:8]))
         self.up1, self.part = up1, part
         self.at1 = np.repeat(np.arange(len(n1), dtype=np.int32), n1)
         self.up2 = np.repeat(np.arange(len(n2), dtype=np.int32), n2)
@@ -336,8 +383,8 @@ class Group:
         self.n = [len(part), len(up1), len(c2)]
         self.contexts = [1, len(n1), int(self.nx.sum())]
         if look:
-            self.words = load(look[0], "<u8", True)
-            self.own, self.two, self.slots = load(look[1], "<u4", True).astype(np.int64), load(look[2], "<u4").astype(np.int64), load(look[3], "<u4", True).astype(np.int64)
+            self.words = np.sort(load_words(look, common))
+            self.own, self.two, self.slots = (load(c, "<u4", True).astype(np.int64) for c in look[2:5])
             self.word = self.slots[self.up1]
 
     def dealt(self):
@@ -453,9 +500,9 @@ def draw_tables(target: np.ndarray, fresh: np.ndarray, discount: float, rng) ->
     one by one would lead. Up to ``EXACT`` customers the numbers are exact, beyond by the saddle point, corrected by the last exact ones.
     """
     count = np.minimum(target, 1)
-    logs = np.log(np.maximum(fresh, 1e-300))
-    order = np.argsort(target, kind="stable")
-    order = order[np.searchsorted(target[order], 2) :]
+    order = np.flatnonzero(target > 1)
+    order = order[np.argsort(target[order], kind="stable")]
+    logs = np.log(np.maximum(fresh[order], 1e-300))
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(target[order])) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         c = int(target[order[a]])
@@ -464,8 +511,9 @@ def draw_tables(target: np.ndarray, fresh: np.ndarray, discount: float, rng) ->
         row, step = seatings(discount)[c, 1 : c + 1], max(1, 500_000 // c)
         for i in range(a, b, step):
             own = order[i : min(b, i + step)]
-            count[own] = 1 + _chosen(row + logs[own][:, None] * np.arange(1, c + 1), rng)
-    large = order[np.searchsorted(target[order], EXACT + 1) :]
+            count[own] = 1 + _chosen(row + logs[i : min(b, i + step), None] * np.arange(1, c + 1), rng)
+    first = np.searchsorted(target[order], EXACT + 1)
+    large, logs = order[first:], dict(zip(order[first:].tolist(), logs[first:].tolist(), strict=True))
     for i, mean, spread in zip(large.tolist(), *_expected(target[large].astype(np.float64), np.maximum(fresh[large], 1e-300), discount), strict=True):
         c = int(target[i])
         low, high = max(1, int(mean - 9 * spread) - 30), min(c, int(mean + 9 * spread) + 30)
@@ -549,7 +597,7 @@ def part_sweep(t: pa.Table, totals: Totals) -> pa.Table:
     n = len(totals.tables[1])
     sums = [int(c0.sum()), int(t0.sum()), *(int(x) for y in (c1, t1) for x in np.bincount(number, y, n))]
     out = [(ANSWER, r["bucket"], part, sweep, [*(pack(x[a], "<u4") for x in (c0, t0)), *(pack(x[b], "<u4") for x in (c1, t1))], None) for r, a, b in zip(rows, at, hot_at, strict=True)]
-    kept = [pack(own, "<u8", True), pack(c0, "<u4"), pack(t0, "<u4"), pack(keys, "<u8", True), pack(c1, "<u4"), pack(t1, "<u4")]
+    kept = [b"", pack(c0, "<u4"), pack(t0, "<u4"), pack(keys, "<u8", True), pack(c1, "<u4"), pack(t1, "<u4")]
     return table([*out, (PART, -1, part, sweep, kept, sums)])
 
 
@@ -572,7 +620,8 @@ def bucket_sweep(t: pa.Table, totals: Totals, sweep: int, keep: bool) -> pa.Tabl
         p1 = p0[g.up1]
         rest = g.restaurants(totals, np.zeros(g.n[1]), np.ones(g.n[1]), np.ones(g.n[2]))
     strength, discount = totals.strength, totals.discount
-    t2 = draw_tables(g.c2, (strength[2] + discount[2] * rest[3])[g.at2] * p1[g.up2], discount[2], rng)
+    t2, many = np.minimum(g.c2, 1), np.flatnonzero(g.c2 > 1)
+    t2[many] = draw_tables(g.c2[many], (strength[2] + discount[2] * rest[3])[g.at2[many]] * p1[g.up2[many]], discount[2], rng)
     c1 = np.bincount(g.up2, t2, g.n[1]).astype(np.int64)
     t1 = np.zeros(len(c1), np.int64)
     t1[cold] = draw_tables(c1[cold], (strength[1] + discount[1] * rest[1])[g.at1[cold]] * p0[g.up1[cold]], discount[1], rng)
@@ -606,15 +655,15 @@ class Bucket:
 WORDS = "bucket int, words binary, n binary, n1 binary, ctx1 binary, ctx2 binary, count binary, samples array<binary>"
 
 
-def both_rows(t: pa.Table) -> tuple[Group, list[bytes], int]:
+def both_rows(t: pa.Table, common: np.ndarray) -> tuple[Group, list[bytes], int]:
     """A bucket by its seating and its lookup row; the seating's cells."""
     rows = {r["kind"]: r for r in t.to_pylist()}
-    return Group(rows[STATE]["cells"], rows[LOOKUP]["cells"]), rows[STATE]["cells"], rows[STATE]["bucket"]
+    return Group(rows[STATE]["cells"], rows[LOOKUP]["cells"], common), rows[STATE]["cells"], rows[STATE]["bucket"]
 
 
-def by_word(t: pa.Table) -> pa.Table:
+def by_word(t: pa.Table, common: np.ndarray) -> pa.Table:
     """A bucket's entries as rows for each part."""
-    g, cells, bucket = both_rows(t)
+    g, cells, bucket = both_rows(t, common)
     word, part = g.words[g.word], g.part[g.up1]
     values, out = [load(c, "<u4") for c in cells[10:]], []
     for p in np.unique(part).tolist():
@@ -640,7 +689,7 @@ def words_of_part(t: pa.Table, hot: np.ndarray, schema: pa.Schema) -> pa.Table:
     names[to] = one
     order = np.argsort(to[lower], kind="stable")
     samples = []
-    for k, r in enumerate(kept):
+    for k, r in enumerate(kept[1:]):
         t1, t2 = (np.concatenate([load(c[5 + 2 * k + i], "<u4") for c in states]) for i in (0, 1))
         t1 = np.bincount(to, t1, len(key))
         keys = load(r["cells"][3], "<u8", True).astype(np.int64)
@@ -652,9 +701,9 @@ def words_of_part(t: pa.Table, hot: np.ndarray, schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array([x], f.type) for x, f in zip([rows[0]["part"], *cells, samples], schema, strict=True)], schema=schema)
 
 
-def totals_rows(t: pa.Table, asked: list[int], level: int, sample: int, totals: Totals, schema: pa.Schema) -> pa.Table:
+def totals_rows(t: pa.Table, asked: list[int], level: int, sample: int, totals: Totals, schema: pa.Schema, common: np.ndarray) -> pa.Table:
     """Rows (context, customers, tables) of the contexts asked for."""
-    g, cells, _ = both_rows(t)
+    g, cells, _ = both_rows(t, common)
     asked = set(asked)
     t1, t2 = (load(c, "<u4").astype(np.int64) for c in cells[10 + 2 * sample : 12 + 2 * sample])
     rest = g.restaurants(totals, np.bincount(g.up2, t2, g.n[1]), t1, t2)[2 * (level - 1) :]
@@ -692,13 +741,14 @@ class Model:
     buckets: int
     parts: int
     hot: np.ndarray
+    common: np.ndarray
     split: dict[int, int]
 
     @property
     def state(self) -> DataFrame:
-        hot = self.hot
-        rows = self.groups.groupBy("bucket").applyInArrow(by_word, ROWS)
-        for r in self.roots:
+        hot, common = self.hot, self.common
+        rows = self.groups.groupBy("bucket").applyInArrow(lambda t: by_word(t, common), ROWS)
+        for r in (self.counts, *self.roots):
             rows = rows.union(r.filter(F.col("kind") == PART))
         import pyspark.sql.pandas.types as arrow
 
@@ -708,10 +758,10 @@ class Model:
     @functools.cached_property
     def totals(self) -> list[Totals]:
         def places(k: int, level: int):
-            t, schema = self.found[k], pa.schema([("ctx", pa.string()), ("customers", pa.int64()), ("tables", pa.int64())])
+            t, common, schema = self.found[k], self.common, pa.schema([("ctx", pa.string()), ("customers", pa.int64()), ("tables", pa.int64())])
 
             def find(asked: list[int]) -> dict:
-                rows = self.groups.groupBy("bucket").applyInArrow(lambda x: totals_rows(x, asked, level, k, t, schema), "ctx string, customers long, tables long").distinct()
+                rows = self.groups.groupBy("bucket").applyInArrow(lambda x: totals_rows(x, asked, level, k, t, schema, common), "ctx string, customers long, tables long").distinct()
                 return {int(r.ctx): (r.customers, r.tables) for r in rows.collect()}
 
             known: dict = {}
@@ -733,9 +783,9 @@ def train(docs: DataFrame, *, text: str = "text", burn_in: int = 1, samples: int
     size = docs.agg(F.sum(F.octet_length(text_of(text)).cast("long") + 1)).first()[0] or 0
     buckets = max(8, math.ceil(size / bucket_bytes))
     parts = max(8, math.ceil(buckets / 4))
-    hot = hot_words(body, size, buckets)
-    counted = body.mapInArrow(lambda it: count_blocks(it, buckets, hot), "bucket int, cells array<binary>")
-    merged = stored(counted.groupBy("bucket").applyInArrow(lean(lambda t: merge_counts(t, parts, hot)), ROWS), "counts")
+    hot, common = frequent_words(body, size, buckets)
+    counted = body.mapInArrow(tidy(lambda it: count_blocks(it, buckets, hot, common)), "bucket int, cells array<binary>")
+    merged = stored(counted.groupBy("bucket").applyInArrow(lean(lambda t: merge_counts(t, parts, hot, common)), ROWS), "counts")
     is_kind = lambda df, *kinds: df.filter(F.col("kind").isin(*kinds))
     sums = lambda df, kind: [r.sums for r in is_kind(df, kind).select("sums").collect()]
     counts = answers = stored(is_kind(merged, LETTER).groupBy("part").applyInArrow(lambda t: part_counts(t, len(hot)), ROWS), "words")
@@ -758,13 +808,15 @@ def train(docs: DataFrame, *, text: str = "text", burn_in: int = 1, samples: int
         return lean(lambda t: part_sweep(t, now))
 
     now, found, roots = totals(0, v, np.zeros(len(hot), np.int64), upper[5:]), [], []
-    state, names = merged, is_kind(merged, LETTER).withColumn("cells", F.slice("cells", 1, 3))
+    state = merged
     for k in range(1 + burn_in + samples):
         keep = k > burn_in
         both = is_kind(state, STATE).union(is_kind(answers, ANSWER))
         before, state = state, stored(both.groupBy("bucket").applyInArrow(seating(now, k, keep), ROWS), "seating")
-        if k:
-            discard(before)
+        if before is merged:  # its seating isn't kept twice
+            looks = stored(is_kind(merged, LOOKUP), "lookup")
+            names = stored(is_kind(merged, LETTER).withColumn("cells", F.slice("cells", 1, 3)), "names")
+        discard(before)
         if answers is not counts and not any(answers is r for r in roots):
             discard(answers)
         answers = stored(is_kind(state, LETTER).union(names).groupBy("part").applyInArrow(rooting(now), ROWS), "words")
@@ -773,17 +825,19 @@ def train(docs: DataFrame, *, text: str = "text", burn_in: int = 1, samples: int
         if keep:
             found.append(now)
             roots.append(answers)
-    return Model(is_kind(state, STATE).union(is_kind(merged, LOOKUP)), counts, roots, found, buckets, parts, hot, split)
+    discard(names)
+    return Model(is_kind(state, STATE).union(looks), counts, roots, found, buckets, parts, hot, common, split)
 
 
-def hot_words(body: DataFrame, size: int, buckets: int) -> np.ndarray:
-    """Words before that are too frequent for one bucket, by a sample; in order."""
+def frequent_words(body: DataFrame, size: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words before that are too frequent for one bucket, in order, and the common ones, the most frequent first; by a sample."""
     share = max(SHARE, LOOK / max(1, size))
     seen = body if share >= 1 else body.sample(share, seed=7)
     n = seen.mapInArrow(frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    n = n.crossJoin(F.broadcast(n.filter("word = 0").select(F.col("n").alias("tokens"))))
-    rows = n.filter((F.col("word") != 0) & (F.col("n") * buckets > F.col("tokens") * HOT) & (F.col("n") >= 50)).select("word").collect()  # at most buckets / HOT
-    return np.sort(np.array([r.word for r in rows], np.int64).view(np.uint64))
+    rows = n.orderBy(F.col("word") != 0, F.desc("n"), "word").limit(COMMON + 1).toArrow()  # the number of all comes first
+    word, n = rows["word"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    tokens, word, n = n[:1].sum(), word[1:], n[1:]
+    return np.sort(word[(n * buckets > tokens * HOT) & (n >= 50)]), word  # at most buckets / HOT are hot
 
 
 # scoring
@@ -794,36 +848,40 @@ BLOCK = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("split", pa.in
 BLOCKS = "kind int, bucket int, split int, part int, sweep int, block long, cells array<binary>"
 
 
-def post(batches, buckets: int, split: dict[int, int], hot: np.ndarray):
+def post(batches, buckets: int, split: dict[int, int], hot: np.ndarray, common: np.ndarray, turn: int, turns: int):
     """Rows of a task's blocks: one with the block's ids, and one of postings for each bucket."""
     words = Words()
-    part = TaskContext.get().partitionId() if TaskContext.get() else 0
+    first = (TaskContext.get().partitionId() * turns + turn if TaskContext.get() else turn) << 24
     held: list[tuple] = []
+    ids: list[pa.RecordBatch] = []
     seq = waiting = 0
 
     def row(kind: int, bucket: int, number: int, block: int, cells: list[bytes]) -> pa.RecordBatch:
         return table([(kind, bucket, number, -1, -1, block, cells)], BLOCK).to_batches()[0]
 
     def flush(block: int):
-        docs = pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(c).slice(i, 1) for rows, *_ in held for b, i in rows]) for c in (0, 1)], ["id", "held"])])
-        base = np.cumsum([0] + [len(h[0]) for h in held])
-        token, doc = np.concatenate([h[1] for h in held]), np.concatenate([h[2] + x for h, x in zip(held, base, strict=False)])
+        docs = pa.Table.from_batches(ids).combine_chunks()
+        ids.clear()
+        token, doc = joined(held)
         n = np.bincount(doc, minlength=len(docs))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, docs.schema) as w:
             w.write_table(docs)
         yield row(HEAD, -1, block % 1000003, block, [pack(np.frombuffer(sink.getvalue(), "u1"), "u1"), pack(n, "<u4")])
-        for bucket, *entries, to in deal(token, doc, buckets, hot):
+        dealt = deal(token, doc, buckets, hot, common)
+        del token, doc, docs, sink
+        for bucket, *entries, to in dealt:
             yield row(POST, bucket, block % split.get(bucket, 1), block, [*entry_cells(*entries), pack(to, "<u4"), pack(place(hot, entries[0]) + 1, "<u4")])
 
     for rows, texts in _grouped(batches, 2, PIECE):
-        held.append((rows, *words(texts)))
+        held.append((len(rows), *words(texts)))
+        ids.append(pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(c).slice(i, 1) for b, i in rows]) for c in (0, 1)], ["id", "held"]))
         waiting += len(held[-1][1])
         if waiting >= TOKENS:
-            yield from flush(part << 24 | seq)
-            held, waiting, seq = [], 0, seq + 1
+            yield from flush(first | seq)
+            waiting, seq = 0, seq + 1
     if held:
-        yield from flush(part << 24 | seq)
+        yield from flush(first | seq)
 
 
 def sums_row(block: int, doc: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> tuple:
@@ -831,7 +889,7 @@ def sums_row(block: int, doc: np.ndarray, known: np.ndarray, base: np.ndarray, s
     return SUMS, -1, -1, -1, -1, block, [pack(docs, "<u4", True), pack(np.bincount(to, known), "<u4"), pack(np.bincount(to, base), "<f8"), pack(np.bincount(to, score), "<f4")]
 
 
-def score_bucket(t: pa.Table, found: list[Totals], parts: int) -> pa.Table:
+def score_bucket(t: pa.Table, found: list[Totals], parts: int, common: np.ndarray) -> pa.Table:
     """Sums for each block that has postings in the bucket, and postings whose words are not in it, with what their probability is multiplied by."""
     rows = t.to_pylist()
     if rows[0]["kind"] == HEAD:
@@ -839,59 +897,66 @@ def score_bucket(t: pa.Table, found: list[Totals], parts: int) -> pa.Table:
     state, look = (next((r["cells"] for r in rows if r["kind"] == kind), None) for kind in (STATE, LOOKUP))
     samples, first = [], found[0]
     if state:
-        g = Group(state, look)
+        g = Group(state, look, common)
         answers = {}
         for r in rows:
             if r["kind"] == ANSWER:
                 answers.setdefault(r["sweep"], []).append(r)
         count = g.answers(answers[min(answers)])[0]
+        base_of = np.log10((count + 1) / (first.tokens + first.v + 1))
+        seen = np.zeros(g.n[2])
         for k, sweep in enumerate(sorted(answers)[1:]):
             t1, t2 = (load(c, "<u4").astype(np.int64) for c in state[10 + 2 * k : 12 + 2 * k])
             _, _, p0, p1, rest = g.seated(found[k], t1, t2, g.answers(answers[sweep]))
-            p2 = chance(found[k].discount[2], found[k].strength[2], g.c2, t2, rest[2][g.at2], rest[3][g.at2], p1[g.up2])
-            samples.append((p0, p1, p2, rest))
-        v = len(g.words)
+            seen += chance(found[k].discount[2], found[k].strength[2], g.c2, t2, rest[2][g.at2], rest[3][g.at2], p1[g.up2])
+            samples.append((p0, p1, rest))
+        seen = np.log10(seen / len(found))  # of the entries; other tokens take more steps
+        v, book = len(g.words), g.words
         key1 = g.own[g.at1] * v + g.word
         pair = np.repeat(g.own, g.nx) * v + g.two
         per2 = len(pair) + 1
         key2 = g.up2.astype(np.int64) * per2 + g.at2
-        number = np.full(v, -1)
-        number[g.slots] = np.arange(len(g.slots))
+        number, context = np.full(v, -1), np.full(v, -1)
+        number[g.slots], context[g.own] = np.arange(len(g.slots)), np.arange(len(g.own))
+        del g, answers, t1, t2, p0, p1, rest
     out = []
     for r in rows:
         if r["kind"] != POST:
             continue
-        words, one, two, word, times = load_entries(r["cells"][:5])
-        doc = load(r["cells"][5], "<u4").astype(np.int64)
-        here = load(r["cells"][6], "<u4").astype(np.int64)[one] - 1
+        words, one, two, word, times = load_entries(r["cells"], common)
+        doc = load(r["cells"][ENTRY], "<u4").astype(np.int64)
+        here = load(r["cells"][ENTRY + 1], "<u4").astype(np.int64)[one] - 1
         n = len(one)
-        p = np.zeros((len(found), n))
         if state:
-            mine = place(g.words, words)
+            mine = place(book, words)
             a, b, w = mine[one], mine[two], mine[word]
             slot = np.where(w >= 0, number[w], -1)
-            at0 = place(g.own, a)
+            at0 = np.where(a >= 0, context[a], -1)
             at1 = np.where((a >= 0) & (w >= 0), place(key1, a * v + w), -1)
             at2 = np.where((a >= 0) & (b >= 0), place(pair, a * v + b), -1)
             entry = np.where((at1 >= 0) & (at2 >= 0), place(key2, at1 * per2 + at2), -1)
         else:
             slot = at0 = at1 = at2 = entry = np.full(n, -1)
         here_done = np.where(here >= 0, at1 >= 0, slot >= 0)  # the parts know about the others
+        left = np.flatnonzero(entry < 0)
+        where = np.full(n, -1)
+        where[left] = np.arange(len(left))
+        here_left, done_left, at0, at1, at2 = here[left], here_done[left], at0[left], at1[left], at2[left]
+        p = np.zeros((len(found), len(left)))
         for k, t_k in enumerate(found):
-            c2 = t2 = c1 = t1 = np.zeros(n)
+            c2 = t2 = c1 = t1 = np.zeros(len(left))
             if state:
-                p0, p1, p2, rest = samples[k]
+                p0, p1, rest = samples[k]
                 c2, t2 = (np.where(at2 >= 0, x[at2], 0) for x in rest[2:])
                 c1, t1 = (np.where(at0 >= 0, x[at0], 0) for x in rest[:2])
             up2, up1 = (chance(t_k.discount[i], t_k.strength[i], 0, 0, c, t, 1.0) for i, c, t in ((2, c2, t2), (1, c1, t1)))
-            p[k] = up2 * np.where(here >= 0, 1, up1)
+            p[k] = up2 * np.where(here_left >= 0, 1, up1)
             if state:
-                one_p = np.where(at1 >= 0, p1[at1], up1 * p0[slot])
-                p[k] = np.where(here_done, np.where(entry >= 0, p2[entry], up2 * one_p), p[k])
+                p[k] = np.where(done_left, up2 * np.where(at1 >= 0, p1[at1], up1 * p0[slot[left]]), p[k])
         each = np.repeat(np.arange(n), times)
         if here_done.any():
-            c = np.where(here_done, count[slot], 0)
-            base, score = np.log10((c + 1) / (first.tokens + first.v + 1)), np.log10(p.mean(axis=0))
+            base, score = base_of[slot], seen[entry]
+            score[left] = np.log10(p.mean(axis=0))
             e = here_done[each]
             at = each[e]
             out.append(sums_row(r["block"], doc[e], np.ones(len(at)), base[at], score[at]))
@@ -902,7 +967,7 @@ def score_bucket(t: pa.Table, found: list[Totals], parts: int) -> pa.Table:
             for x in np.unique(away_part).tolist():
                 at, to = away_at[away_part == x], away_doc[away_part == x]
                 own, local = np.unique(word[at], return_inverse=True)
-                cells = [pack(words[own], "<u8", True), pack(local, "<u4"), pack(here[at] + 1, "<u4"), pack(to, "<u4"), pack(p[:, at].ravel(), "<f4")]
+                cells = [pack(words[own], "<u8", True), pack(local, "<u4"), pack(here[at] + 1, "<u4"), pack(to, "<u4"), pack(p[:, where[at]].ravel(), "<f4")]
                 out.append((AWAY, -1, -1, x, -1, r["block"], cells))
     return table(out, BLOCK)
 
@@ -955,21 +1020,31 @@ def sum_block(t: pa.Table, schema: pa.Schema, tokens: int) -> pa.Table:
     return pa.table(arrays, schema=schema)
 
 
-def score(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text", held_out: Column | None = None) -> DataFrame:
-    """``id``, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity (of a token) for every row."""
+def score(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text", held_out: Column | None = None, turns: int | None = None) -> DataFrame:
+    """``id``, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity (of a token) for every row.
+
+    Large tables are scored in two turns, by a hash of the text, so that half of the postings are on the disks at once.
+    """
     rows = docs.select(F.col(f"`{id}`").alias("id"), (F.lit(False) if held_out is None else held_out).alias("held"), text_of(text).cast("binary").alias("body"))
     kind = rows.schema["id"].dataType
-    settle(docs.sparkSession)  # shuffles of the last sweep
-    buckets, split, found, parts, hot = model.buckets, model.split, model.found, model.parts, model.hot
-    sent = rows.mapInArrow(lambda it: post(it, buckets, split, hot), BLOCKS)
+    buckets, split, found, parts, hot, common = model.buckets, model.split, model.found, model.parts, model.hot, model.common
     copies = F.explode(F.sequence(F.lit(0), F.lit(0)))
     if split:
         counts = F.create_map(*[F.lit(x) for b, n in split.items() for x in (b, n)])
         copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.element_at(counts, F.col("bucket")), F.lit(1)) - 1))
     columns = ["kind", "bucket", "split", "part", "sweep", F.lit(-1).cast("long").alias("block"), "cells"]
-    for x in (model.groups, *(r.filter(F.col("kind") == ANSWER) for r in (model.counts, *model.roots))):
-        sent = sent.union(x.select("*", copies.alias("split")).select(*columns))
-    replies = stored(sent.groupBy("bucket", "split").applyInArrow(lean(lambda t: score_bucket(t, found, parts)), BLOCKS), "replies")
+    turns = turns or (2 if buckets > 8 else 1)
+
+    def turned(turn: int) -> DataFrame:
+        gc.collect()
+        settle(docs.sparkSession)  # shuffles of the last sweep, of the turn before
+        some = rows if turns == 1 else rows.filter(F.pmod(F.xxhash64("body"), F.lit(turns)) == turn)
+        sent = some.mapInArrow(tidy(lambda it: post(it, buckets, split, hot, common, turn, turns)), BLOCKS)
+        for x in (model.groups, *(r.filter(F.col("kind") == ANSWER) for r in (model.counts, *model.roots))):
+            sent = sent.union(x.select("*", copies.alias("split")).select(*columns))
+        return stored(sent.groupBy("bucket", "split").applyInArrow(lean(lambda t: score_bucket(t, found, parts, common)), BLOCKS), "replies")
+
+    replies = functools.reduce(DataFrame.union, [turned(k) for k in range(turns)])
     away = replies.filter(F.col("kind") == AWAY)
     for r in (model.counts, *model.roots):
         away = away.union(r.filter(F.col("kind") == PART).select("kind", "bucket", F.lit(-1).alias("split"), "part", "sweep", F.lit(-1).cast("long").alias("block"), "cells"))

@@ -198,3 +198,23 @@ def test_scores_follow_from_the_seating_by_words(spark, monkeypatch, hot):
     for r in H.score(df, model, held_out=test).collect():
         score = sum(math.log10(sum(c(*x) for c in chances) / len(chances)) for x in tokens(texts[r.doc_id]))
         assert abs(r.score - score) < 1e-4 * max(1, abs(score))
+
+
+def test_common_words_go_by_place():
+    rng = np.random.default_rng(2)
+    common = rng.permutation(rng.integers(1, 2**63, 20_000, np.uint64))
+    words = np.unique(np.concatenate([common[:4000], rng.integers(1, 2**63, 500, np.uint64)]))
+    by, named = H.common_first(words, common)
+    cells = H.word_cells(words[by], named)
+    assert (common[named] == words[by][: len(named)]).all() and len(named) == 4000
+    assert (H.load_words(cells, common) == words[by]).all() and sorted(by.tolist()) == list(range(len(words)))
+    assert sum(map(len, cells)) < len(H.pack(words, "<u8", True)) / 3
+
+
+def test_turns_have_the_same_scores(spark):
+    """Postings of half of the texts at a time, with the same scores."""
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(7, 120))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = H.train(df.filter("doc_id % 3 > 0"))
+    one, three = (sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in H.score(df, model, turns=n).collect()) for n in (1, 3))
+    assert one == three and len(one) == len(rows)
