@@ -20,6 +20,7 @@ empty one. If there is nothing to train from, all words are unknown.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import math
@@ -235,9 +236,13 @@ def table(rows: list[tuple], schema: pa.Schema = ROW) -> pa.Table:
 
 
 def lean(run):
-    """The function of a group's table; after it the worker gives free memory back."""
+    """The function of a group's table; the worker gives large arrays back when they are freed, and other free memory after it."""
 
     def leaned(t: pa.Table) -> pa.Table:
+        try:
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which glibc would raise
+        except (AttributeError, OSError):  # not glibc
+            pass
         return next(tidy(lambda one: iter([run(one)]))(t))
 
     return leaned
@@ -891,8 +896,9 @@ def sums_row(block: int, doc: np.ndarray, known: np.ndarray, base: np.ndarray, s
 
 def score_bucket(t: pa.Table, found: list[Totals], parts: int, common: np.ndarray) -> pa.Table:
     """Sums for each block that has postings in the bucket, and postings whose words are not in it, with what their probability is multiplied by."""
-    rows = t.to_pylist()
-    if rows[0]["kind"] == HEAD:
+    kinds = t["kind"].to_pylist()
+    rows = [t.slice(i, 1).to_pylist()[0] for i, kind in enumerate(kinds) if kind != POST]
+    if kinds[0] == HEAD:
         return table([tuple(r[f.name] for f in BLOCK) for r in rows], BLOCK)
     state, look = (next((r["cells"] for r in rows if r["kind"] == kind), None) for kind in (STATE, LOOKUP))
     samples, first = [], found[0]
@@ -908,8 +914,13 @@ def score_bucket(t: pa.Table, found: list[Totals], parts: int, common: np.ndarra
         for k, sweep in enumerate(sorted(answers)[1:]):
             t1, t2 = (load(c, "<u4").astype(np.int64) for c in state[10 + 2 * k : 12 + 2 * k])
             _, _, p0, p1, rest = g.seated(found[k], t1, t2, g.answers(answers[sweep]))
-            seen += chance(found[k].discount[2], found[k].strength[2], g.c2, t2, rest[2][g.at2], rest[3][g.at2], p1[g.up2])
-            samples.append((p0, p1, rest))
+            for i in range(0, len(seen), 1 << 17):  # some at a time, for memory
+                e = slice(i, i + (1 << 17))
+                at = g.at2[e]
+                seen[e] += chance(found[k].discount[2], found[k].strength[2], g.c2[e], t2[e], rest[2][at], rest[3][at], p1[g.up2[e]])
+            del at
+            rest = [x.astype(np.int64 if x.max(initial=0) >= 1 << 31 else np.int32) for x in rest]
+            samples.append((p0, p1, [*rest[:2], samples[0][2][2] if samples else rest[2], rest[3]]))  # customers below are the same
         seen = np.log10(seen / len(found))  # of the entries; other tokens take more steps
         v, book = len(g.words), g.words
         key1 = g.own[g.at1] * v + g.word
@@ -918,11 +929,12 @@ def score_bucket(t: pa.Table, found: list[Totals], parts: int, common: np.ndarra
         key2 = g.up2.astype(np.int64) * per2 + g.at2
         number, context = np.full(v, -1), np.full(v, -1)
         number[g.slots], context[g.own] = np.arange(len(g.slots)), np.arange(len(g.own))
-        del g, answers, t1, t2, p0, p1, rest
+        del g, answers, t1, t2, p0, p1, rest, rows, r
     out = []
-    for r in rows:
-        if r["kind"] != POST:
+    for i, kind in enumerate(kinds):
+        if kind != POST:
             continue
+        r = t.slice(i, 1).to_pylist()[0]
         words, one, two, word, times = load_entries(r["cells"], common)
         doc = load(r["cells"][ENTRY], "<u4").astype(np.int64)
         here = load(r["cells"][ENTRY + 1], "<u4").astype(np.int64)[one] - 1
@@ -1035,9 +1047,12 @@ def score(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "tex
     columns = ["kind", "bucket", "split", "part", "sweep", F.lit(-1).cast("long").alias("block"), "cells"]
     turns = turns or (2 if buckets > 8 else 1)
 
-    def turned(turn: int) -> DataFrame:
+    def freed() -> None:  # shuffles of the last sweep, of the turn before
         gc.collect()
-        settle(docs.sparkSession)  # shuffles of the last sweep, of the turn before
+        settle(docs.sparkSession)
+
+    def turned(turn: int) -> DataFrame:
+        freed()
         some = rows if turns == 1 else rows.filter(F.pmod(F.xxhash64("body"), F.lit(turns)) == turn)
         sent = some.mapInArrow(tidy(lambda it: post(it, buckets, split, hot, common, turn, turns)), BLOCKS)
         for x in (model.groups, *(r.filter(F.col("kind") == ANSWER) for r in (model.counts, *model.roots))):
@@ -1045,6 +1060,7 @@ def score(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "tex
         return stored(sent.groupBy("bucket", "split").applyInArrow(lean(lambda t: score_bucket(t, found, parts, common)), BLOCKS), "replies")
 
     replies = functools.reduce(DataFrame.union, [turned(k) for k in range(turns)])
+    freed()
     away = replies.filter(F.col("kind") == AWAY)
     for r in (model.counts, *model.roots):
         away = away.union(r.filter(F.col("kind") == PART).select("kind", "bucket", F.lit(-1).alias("split"), "part", "sweep", F.lit(-1).cast("long").alias("block"), "cells"))
