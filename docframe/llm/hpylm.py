@@ -50,19 +50,27 @@ END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_K))
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(x: np.ndarray, kind: str, delta: bool = False) -> bytes:
-    """An array's cell: differences if asked, the bytes of one place together, compressed."""
-    x = np.asarray(x).astype(kind)
+    """An array's cell: differences if asked, the bytes of one place together, as many places as the numbers have, compressed."""
+    x = np.ascontiguousarray(np.asarray(x).astype(kind))
     if delta:
         x = np.diff(x, prepend=x.dtype.type(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view("u1").reshape(-1, x.itemsize).T.tobytes())
+    width = x.itemsize if x.dtype.kind == "f" else max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    raw, places = x.view("u1").reshape(-1, x.itemsize), np.empty((width, len(x)), "u1")
+    for k in range(width):
+        places[k] = raw[:, k]
+    return bytes([width]) + _ZIP.compress(places)
 
 
 def load(cell: bytes, kind: str, delta: bool = False) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), "u1")
-    x = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    places = np.frombuffer(_UNZIP.decompress(memoryview(cell)[1:]), "u1").reshape(cell[0], -1)
+    raw = np.zeros((places.shape[1], np.dtype(kind).itemsize), "u1")
+    for k, place_k in enumerate(places):
+        raw[:, k] = place_k
+    x = raw.view(kind).ravel()
     return np.cumsum(x, dtype=kind) if delta else x
 
 
@@ -129,16 +137,49 @@ def place(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Where each value is among the ordered ones, -1 if it isn't."""
     if not len(ordered):
         return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    if min(len(ordered), len(values)) > 20_000:  # many are found sooner in order
+        by = np.argsort(values)
+        at = np.empty(len(values), np.int64)
+        at[by] = np.searchsorted(ordered, values[by])
+    else:
+        at = np.searchsorted(ordered, values)
+    at = np.minimum(at, len(ordered) - 1)
     return np.where(ordered[at] == values, at, -1)
 
 
-def joint(one: np.ndarray, two: np.ndarray, word: np.ndarray, v: int) -> np.ndarray:
-    """A number for each three of v words, ordered by the word before, the one before that, the word."""
-    pair = one * np.int64(v) + two
-    if v**3 >= 1 << 63:
-        pair = np.unique(pair, return_inverse=True)[1]
-    return pair * v + word
+def ordering(x: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of numbers from 0 to ``most``: they are sorted with their places in the low bits, if there is room for these."""
+    bits = len(x).bit_length()
+    if int(most).bit_length() + bits > 63:
+        return np.argsort(x, kind="stable")
+    x = x.astype(np.int64) << bits
+    x |= np.arange(len(x))
+    x.sort()
+    x &= (1 << bits) - 1
+    return x
+
+
+def by_three(one: np.ndarray, two: np.ndarray, word: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of threes of v words by the word before, the one before that, the word; starts and lengths of runs of equal ones there."""
+    key = one * np.int64(v) + two
+    order = ordering(key, v * v)
+    key = key[order]
+    pair = np.cumsum(np.concatenate([np.zeros(min(1, len(key)), bool), key[1:] != key[:-1]]), dtype=np.int64)
+    key = pair * v + word[order]
+    del pair
+    last = ordering(key, max(1, len(key)) * v)
+    key, order = key[last], order[last]
+    return order, *runs(key)
+
+
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each there."""
+    found = pa.array(x).dictionary_encode()
+    own = found.dictionary.to_numpy()
+    order = np.argsort(own)
+    number = np.empty(len(own), np.int32)
+    number[order] = np.arange(len(own), dtype=np.int32)
+    return own[order], number[found.indices.to_numpy()]
 
 
 def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +197,7 @@ def deal(token: np.ndarray, doc: np.ndarray, buckets: int, hot: np.ndarray, comm
     """(bucket, words, places of the common ones, word before, the one before that, word, times, documents) of a block.
 
     The three are places in words, ordered by context and word. Common words come first, the most frequent ones ahead."""
-    own, word = np.unique(token, return_inverse=True)
+    own, word = coded(token)
     del token
     by, named = common_first(own, common)
     number = np.empty(len(own), np.int32)
@@ -170,10 +211,7 @@ def deal(token: np.ndarray, doc: np.ndarray, buckets: int, hot: np.ndarray, comm
     one[first] = v - 1
     two[1:] = one[:-1]
     two[first] = v - 1
-    key = joint(one, two, word, v)
-    order = np.argsort(key)
-    head, times = runs(key[order])
-    del key
+    order, head, times = by_three(one, two, word, v)
     at = order[head]
     one, two, word, doc = one[at], two[at], word[at], doc[order]
     del order, at
@@ -221,13 +259,41 @@ def entry_cells(words, named, one, two, word, times) -> list[bytes]:
 ENTRY = 6
 
 
-def load_entries(cells: list[bytes], common: np.ndarray) -> list[np.ndarray]:
-    return [load_words(cells, common), *(load(c, "<u4", i == 0).astype(np.int32) for i, c in enumerate(cells[2:ENTRY]))]
+def load_entries(cells: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Places of the common words, hashes of the others, and the entries."""
+    return load(cells[0], "<u4", True), load(cells[1], "<u8", True), *(load(c, "<u4", i == 0).view(np.int32) for i, c in enumerate(cells[2:ENTRY]))
+
+
+def union(named: list[np.ndarray], others: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All words of blocks in order, and the places there of each block's."""
+    met = np.zeros(len(common), bool)
+    for x in named:
+        met[x] = True
+    met = np.flatnonzero(met)
+    words = np.sort(np.concatenate([common[met], *others]))
+    words = words[runs(words)[0]]
+    at = np.empty(len(common), np.int32)
+    at[met] = place(words, common[met])
+    return words, [np.concatenate([at[x], np.searchsorted(words, y).astype(np.int32)]) for x, y in zip(named, others, strict=True)]
+
+
+def in_batches(rows, schema: pa.Schema, most: int = 1_000_000):
+    """Batches of rows, whose last column has cells, of about ``most`` bytes."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(map(len, r[-1]))
+        if size >= most:
+            yield from table(held, schema).to_batches()
+            held, size = [], 0
+    if held:
+        yield from table(held, schema).to_batches()
 
 
 #: A bucket's seating, its letter to a part, the answer to it, what a part keeps, and a bucket's words; ``sweep`` is -1 for counts.
 STATE, LETTER, ANSWER, PART, LOOKUP = range(5)
 ROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int32()), ("sweep", pa.int32()), ("cells", pa.list_(pa.binary())), ("sums", pa.list_(pa.int64()))])
+COUNTED = pa.schema([("bucket", pa.int32()), ("cells", pa.list_(pa.binary()))])
 ROWS = "kind int, bucket int, part int, sweep int, cells array<binary>, sums array<bigint>"
 
 
@@ -275,8 +341,7 @@ def count_blocks(batches, buckets: int, hot: np.ndarray, common: np.ndarray):
     words, held, waiting = Words(), [], 0
 
     def flush():
-        for bucket, *entries, _ in deal(*joined(held), buckets, hot, common):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([entry_cells(*entries)], pa.list_(pa.binary()))], ["bucket", "cells"])
+        yield from in_batches(((bucket, entry_cells(*entries)) for bucket, *entries, _ in deal(*joined(held), buckets, hot, common)), COUNTED)
 
     for _, texts in _grouped(batches, 0, PIECE):
         held.append((len(texts), *words(texts)))
@@ -290,17 +355,13 @@ def count_blocks(batches, buckets: int, hot: np.ndarray, common: np.ndarray):
 
 def merge_counts(t: pa.Table, parts: int, hot: np.ndarray, common: np.ndarray) -> pa.Table:
     """A bucket's state and its letters with counts; tokens, and how many have been counted once or twice at the lower levels."""
-    loaded = [load_entries(c, common) for c in t["cells"].to_pylist()]
-    words = np.unique(np.concatenate([x[0] for x in loaded]))
+    loaded = [load_entries(c) for c in t["cells"].to_pylist()]
+    words, at = union([x[0] for x in loaded], [x[1] for x in loaded], common)
     v = len(words)
-    at = [np.searchsorted(words, x[0]).astype(np.int32) for x in loaded]
-    one, two, word = (np.concatenate([to[x[i]] for to, x in zip(at, loaded, strict=True)]) for i in (1, 2, 3))
-    times = np.concatenate([x[4] for x in loaded])
+    one, two, word = (np.concatenate([to[x[i]] for to, x in zip(at, loaded, strict=True)]) for i in (2, 3, 4))
+    times = np.concatenate([x[5] for x in loaded])
     del loaded, at
-    key = joint(one, two, word, v)
-    order = np.argsort(key)
-    head, _ = runs(key[order])
-    del key
+    order, head, _ = by_three(one, two, word, v)
     count = np.add.reduceat(times[order].astype(np.int64), head)
     one, two, word = (x[order[head]] for x in (one, two, word))
     del times, order, head
@@ -308,7 +369,7 @@ def merge_counts(t: pa.Table, parts: int, hot: np.ndarray, common: np.ndarray) -
     context = np.repeat(np.arange(len(start)), n)
     before, two = one[start], two[start]
     key = one * np.int64(v) + word
-    lower = np.argsort(key, kind="stable")
+    lower = ordering(key, v * v)
     start, n2 = runs(key[lower])
     del key
     word, one, context, count = word[lower][start], one[lower][start], context[lower], count[lower]
@@ -571,7 +632,7 @@ def gathered(rows: list[dict], cell: int, at: list[np.ndarray], n: int) -> np.nd
 
 
 def part_counts(t: pa.Table, hot: int) -> pa.Table:
-    """A part's answers to the counts, what it keeps, and sums: words, kinds counted once or twice, hot words' first tables."""
+    """A part's answers to the counts, what it keeps, sums (words, kinds counted once or twice, hot words' first tables), and for the sweeps where each bucket's words and hot entries are."""
     rows = t.to_pylist()
     own, at, keys, hot_at = part_entries(rows)
     count, kinds = gathered(rows, 3, at, len(own)), gathered(rows, 4, at, len(own))
@@ -580,7 +641,10 @@ def part_counts(t: pa.Table, hot: int) -> pa.Table:
     kinds += np.bincount(keys >> 32, minlength=len(own))
     sums = [len(own), *(int((x == k).sum()) for x in (kinds, warm_kinds) for k in (1, 2)), *np.bincount(keys & 0xFFFFFFFF, minlength=hot).tolist()]
     out = [(ANSWER, r["bucket"], r["part"], -1, [pack(count[a], "<u4"), pack(warm[b], "<u4")], None) for r, a, b in zip(rows, at, hot_at, strict=True)]
-    return table([*out, (PART, -1, rows[0]["part"], -1, [pack(own, "<u8", True), pack(count, "<u4")], sums)])
+    part = rows[0]["part"]
+    out += [(LETTER, r["bucket"], part, -1, [pack(a, "<u4", True), pack(b, "<u4")], None) for r, a, b in zip(rows, at, hot_at, strict=True)]
+    out.append((LETTER, -1, part, -1, [pack(np.array([len(own)]), "<u4"), pack(keys, "<u8", True)], None))
+    return table([*out, (PART, -1, part, -1, [pack(own, "<u8", True), pack(count, "<u4")], sums)])
 
 
 def part_sweep(t: pa.Table, totals: Totals) -> pa.Table:
@@ -588,17 +652,18 @@ def part_sweep(t: pa.Table, totals: Totals) -> pa.Table:
     rows = t.to_pylist()
     part, sweep = rows[0]["part"], max(r["sweep"] for r in rows)
     rows.sort(key=lambda r: (r["sweep"], r["bucket"]))
-    rows, named = rows[len(rows) // 2 :], rows[: len(rows) // 2]
+    rows, (first, *named) = rows[len(rows) // 2 + 1 :], rows[: len(rows) // 2 + 1]
     rng = np.random.default_rng([part, sweep, 1])
-    own, at, keys, hot_at = part_entries(named)
-    c0, c1 = gathered(rows, 0, at, len(own)), gathered(rows, 1, hot_at, len(keys))
+    n_own, keys = int(load(first["cells"][0], "<u4")[0]), load(first["cells"][1], "<u8", True).astype(np.int64)
+    at, hot_at = [load(r["cells"][0], "<u4", True).view(np.int32) for r in named], [load(r["cells"][1], "<u4").view(np.int32) for r in named]
+    c0, c1 = gathered(rows, 0, at, n_own), gathered(rows, 1, hot_at, len(keys))
     prior, number = np.zeros(len(keys)), keys & 0xFFFFFFFF
     for r, b in zip(rows, hot_at, strict=True):
         prior[b] = load(r["cells"][2], "<f8")
     t1 = draw_tables(c1, (totals.strength[1] + totals.discount[1] * totals.tables[1][number]) * prior, totals.discount[1], rng)
-    c0 += np.bincount(keys >> 32, t1, len(own)).astype(np.int64)
+    c0 += np.bincount(keys >> 32, t1, n_own).astype(np.int64)
     fresh = 1e-6 if sweep == 0 else (totals.strength[0] + totals.discount[0] * float(totals.tables[0][0])) * totals.known()
-    t0 = draw_tables(c0, np.full(len(own), fresh), totals.discount[0], rng)
+    t0 = draw_tables(c0, np.full(n_own, fresh), totals.discount[0], rng)
     n = len(totals.tables[1])
     sums = [int(c0.sum()), int(t0.sum()), *(int(x) for y in (c1, t1) for x in np.bincount(number, y, n))]
     out = [(ANSWER, r["bucket"], part, sweep, [*(pack(x[a], "<u4") for x in (c0, t0)), *(pack(x[b], "<u4") for x in (c1, t1))], None) for r, a, b in zip(rows, at, hot_at, strict=True)]
@@ -820,7 +885,7 @@ def train(docs: DataFrame, *, text: str = "text", burn_in: int = 1, samples: int
         before, state = state, stored(both.groupBy("bucket").applyInArrow(seating(now, k, keep), ROWS), "seating")
         if before is merged:  # its seating isn't kept twice
             looks = stored(is_kind(merged, LOOKUP), "lookup")
-            names = stored(is_kind(merged, LETTER).withColumn("cells", F.slice("cells", 1, 3)), "names")
+            names = stored(is_kind(counts, LETTER), "names")
         discard(before)
         if answers is not counts and not any(answers is r for r in roots):
             discard(answers)
@@ -861,8 +926,8 @@ def post(batches, buckets: int, split: dict[int, int], hot: np.ndarray, common:
     ids: list[pa.RecordBatch] = []
     seq = waiting = 0
 
-    def row(kind: int, bucket: int, number: int, block: int, cells: list[bytes]) -> pa.RecordBatch:
-        return table([(kind, bucket, number, -1, -1, block, cells)], BLOCK).to_batches()[0]
+    def row(kind: int, bucket: int, number: int, block: int, cells: list[bytes]) -> tuple:
+        return kind, bucket, number, -1, -1, block, cells
 
     def flush(block: int):
         docs = pa.Table.from_batches(ids).combine_chunks()
@@ -883,15 +948,50 @@ def post(batches, buckets: int, split: dict[int, int], hot: np.ndarray, common:
         ids.append(pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(c).slice(i, 1) for b, i in rows]) for c in (0, 1)], ["id", "held"]))
         waiting += len(held[-1][1])
         if waiting >= TOKENS:
-            yield from flush(first | seq)
+            yield from in_batches(flush(first | seq), BLOCK)
             waiting, seq = 0, seq + 1
     if held:
-        yield from flush(first | seq)
+        yield from in_batches(flush(first | seq), BLOCK)
+
+
+#: Entries, and tokens for the parts, that a bucket looks up at once.
+ENTRIES, TOLD = 400_000, 400_000
+
+
+def sums_rows(blocks: list[int], block: np.ndarray, doc: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> list[tuple]:
+    """A row for each block that has tokens; ``block`` is a token's place among the blocks."""
+    if not len(doc):
+        return []
+    bits = int(doc.max()).bit_length()
+    key = block.astype(np.int64) << bits | doc
+    order = ordering(key, len(blocks) << bits)
+    key = key[order]
+    head, _ = runs(key)
+    key, sums = key[head], [np.add.reduceat(x[order].astype(np.float64), head) for x in (known, base, score)]
+    docs, at = key & (1 << bits) - 1, key >> bits
+    out = []
+    for i, n in zip(*(x.tolist() for x in runs(at)), strict=True):
+        e = slice(i, i + n)
+        out.append((SUMS, -1, -1, -1, -1, blocks[at[i]], [pack(docs[e], "<u4", True), pack(sums[0][e], "<u4"), pack(sums[1][e], "<f8"), pack(sums[2][e], "<f4")]))
+    return out
 
 
-def sums_row(block: int, doc: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> tuple:
-    docs, to = np.unique(doc, return_inverse=True)
-    return SUMS, -1, -1, -1, -1, block, [pack(docs, "<u4", True), pack(np.bincount(to, known), "<u4"), pack(np.bincount(to, base), "<f8"), pack(np.bincount(to, score), "<f4")]
+def away_rows(blocks: list[int], told: list[tuple], parts: int) -> list[tuple]:
+    """A row for each part that has to do with the tokens (hash, hot number, place among the blocks, document, samples' factors)."""
+    if not told:
+        return []
+    word, here, block, doc = (np.concatenate([x[i] for x in told]) for i in range(4))
+    p = np.concatenate([x[4] for x in told], axis=1)
+    part = (mix(word) % np.uint64(parts)).astype(np.int64)
+    by = ordering(part, parts)
+    out = []
+    for i, n in zip(*(x.tolist() for x in runs(part[by])), strict=True):
+        e = by[i : i + n]
+        own, local = coded(word[e])
+        used, number = np.unique(block[e], return_inverse=True)
+        cells = [pack(own, "<u8", True), pack(local, "<u4"), pack(here[e] + 1, "<u4"), pack(doc[e], "<u4"), pack(p[:, e].ravel(), "<f4")]
+        out.append((AWAY, -1, -1, int(part[e[0]]), -1, -1, [*cells, pack(np.array(blocks, np.int64)[used], "<u8"), pack(number, "<u4")]))
+    return out
 
 
 def score_bucket(t: pa.Table, found: list[Totals], parts: int, common: np.ndarray) -> pa.Table:
@@ -921,39 +1021,52 @@ def score_bucket(t: pa.Table, found: list[Totals], parts: int, common: np.ndarra
             del at
             rest = [x.astype(np.int64 if x.max(initial=0) >= 1 << 31 else np.int32) for x in rest]
             samples.append((p0, p1, [*rest[:2], samples[0][2][2] if samples else rest[2], rest[3]]))  # customers below are the same
-        seen = np.log10(seen / len(found))  # of the entries; other tokens take more steps
         v, book = len(g.words), g.words
         key1 = g.own[g.at1] * v + g.word
         pair = np.repeat(g.own, g.nx) * v + g.two
-        per2 = len(pair) + 1
-        key2 = g.up2.astype(np.int64) * per2 + g.at2
+        key2 = g.at2 * np.int64(v) + g.word[g.up2]
+        by = ordering(key2, len(pair) * v)
+        key2, seen = key2[by], np.log10(seen[by] / len(found))  # of the entries; other tokens take more steps
         number, context = np.full(v, -1), np.full(v, -1)
         number[g.slots], context[g.own] = np.arange(len(g.slots)), np.arange(len(g.own))
-        del g, answers, t1, t2, p0, p1, rest, rows, r
-    out = []
-    for i, kind in enumerate(kinds):
-        if kind != POST:
-            continue
-        r = t.slice(i, 1).to_pylist()[0]
-        words, one, two, word, times = load_entries(r["cells"], common)
-        doc = load(r["cells"][ENTRY], "<u4").astype(np.int64)
-        here = load(r["cells"][ENTRY + 1], "<u4").astype(np.int64)[one] - 1
+        named = load(look[0], "<u4", True)
+        booked = np.full(len(common), -1, np.int32)
+        booked[named] = place(book, common[named])
+        del g, answers, t1, t2, p0, p1, rest, by, named
+    del rows
+    out: list[tuple] = []
+    told: list[tuple] = []
+    blocks: list[int] = []
+
+    def look_up(held: list[tuple], start: int) -> None:
+        """Postings (entries, documents, hot numbers) of the blocks from ``start`` on."""
+        base = np.cumsum([0] + [len(x[0]) + len(x[1]) for x in held]).astype(np.int32)
+        one, two, word = (np.concatenate([x[i] + b for x, b in zip(held, base, strict=False)]) for i in (2, 3, 4))
+        times, doc = np.concatenate([x[5] for x in held]), np.concatenate([x[6] for x in held])
+        block = np.repeat(np.arange(start, start + len(held), dtype=np.int32), [len(x[6]) for x in held])
+        here = np.concatenate([x[7] for x in held])[one].astype(np.int64) - 1
         n = len(one)
         if state:
-            mine = place(book, words)
-            a, b, w = mine[one], mine[two], mine[word]
+            others = place(book, np.concatenate([x[1] for x in held]))
+            cuts = np.cumsum([len(x[1]) for x in held])[:-1]
+            mine = np.concatenate([y for x, o in zip(held, np.split(others, cuts), strict=True) for y in (booked[x[0]], o)]).astype(np.int64)
+            change = np.concatenate([np.ones(1, bool), (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+            head = np.flatnonzero(change)
+            a, b = mine[one[head]], mine[two[head]]
+            at2 = np.where((a >= 0) & (b >= 0), place(pair, a * v + b), -1)[np.cumsum(change) - 1]
+            w = mine[word]
             slot = np.where(w >= 0, number[w], -1)
+            entry = np.where((at2 >= 0) & (w >= 0), place(key2, at2 * v + w), -1)
+            left = np.flatnonzero(entry < 0)
+            a, w, at2 = mine[one[left]], w[left], at2[left]
             at0 = np.where(a >= 0, context[a], -1)
             at1 = np.where((a >= 0) & (w >= 0), place(key1, a * v + w), -1)
-            at2 = np.where((a >= 0) & (b >= 0), place(pair, a * v + b), -1)
-            entry = np.where((at1 >= 0) & (at2 >= 0), place(key2, at1 * per2 + at2), -1)
         else:
-            slot = at0 = at1 = at2 = entry = np.full(n, -1)
-        here_done = np.where(here >= 0, at1 >= 0, slot >= 0)  # the parts know about the others
-        left = np.flatnonzero(entry < 0)
-        where = np.full(n, -1)
-        where[left] = np.arange(len(left))
-        here_left, done_left, at0, at1, at2 = here[left], here_done[left], at0[left], at1[left], at2[left]
+            slot = entry = np.full(n, -1)
+            left = np.arange(n)
+            at1 = entry
+        here_left = here[left]
+        done_left = np.where(here_left >= 0, at1 >= 0, slot[left] >= 0)  # the parts know about the others
         p = np.zeros((len(found), len(left)))
         for k, t_k in enumerate(found):
             c2 = t2 = c1 = t1 = np.zeros(len(left))
@@ -965,22 +1078,48 @@ def score_bucket(t: pa.Table, found: list[Totals], parts: int, common: np.ndarra
             p[k] = up2 * np.where(here_left >= 0, 1, up1)
             if state:
                 p[k] = np.where(done_left, up2 * np.where(at1 >= 0, p1[at1], up1 * p0[slot[left]]), p[k])
-        each = np.repeat(np.arange(n), times)
-        if here_done.any():
-            base, score = base_of[slot], seen[entry]
+        each = np.repeat(np.arange(n, dtype=np.int32), times)
+        away = np.zeros(n, bool)
+        away[left[~done_left]] = True
+        away_token = away[each]
+        if state:
+            score = seen[entry]
             score[left] = np.log10(p.mean(axis=0))
-            e = here_done[each]
+            e = np.flatnonzero(~away_token) if away.any() else slice(None)
             at = each[e]
-            out.append(sums_row(r["block"], doc[e], np.ones(len(at)), base[at], score[at]))
-        if not here_done.all():
-            part = (mix(words) % np.uint64(parts)).astype(np.int64)[word]
-            away = ~here_done[each]
-            away_part, away_doc, away_at = part[each[away]], doc[away], each[away]
-            for x in np.unique(away_part).tolist():
-                at, to = away_at[away_part == x], away_doc[away_part == x]
-                own, local = np.unique(word[at], return_inverse=True)
-                cells = [pack(words[own], "<u8", True), pack(local, "<u4"), pack(here[at] + 1, "<u4"), pack(to, "<u4"), pack(p[:, where[at]].ravel(), "<f4")]
-                out.append((AWAY, -1, -1, x, -1, r["block"], cells))
+            out.extend(sums_rows(blocks, block[e], doc[e], np.ones(len(at)), base_of[slot][at], score[at]))
+        if away.any():
+            where = np.empty(n, np.int64)
+            where[left] = np.arange(len(left))
+            words = np.concatenate([y for x in held for y in (common[x[0]], x[1])])
+            e = np.flatnonzero(away_token)
+            at = each[e]
+            told.append((words[word[at]], here[at], block[e], doc[e], p[:, where[at]].astype(np.float32)))
+
+    def tell(least: int) -> None:
+        if sum(len(x[0]) for x in told) >= least:
+            out.extend(away_rows(blocks, told, parts))
+            told.clear()
+
+    held: list[tuple] = []
+    waiting = 0
+    i = 0
+    for b in t.to_batches():
+        for j in range(b.num_rows):
+            if kinds[i + j] != POST:
+                continue
+            cells = b["cells"][j].as_py()
+            held.append((*load_entries(cells), load(cells[ENTRY], "<u4"), load(cells[ENTRY + 1], "<u4")))
+            blocks.append(b["block"][j].as_py())
+            waiting += len(held[-1][2]) + len(held[-1][6]) // 4
+            if waiting >= ENTRIES:
+                look_up(held, len(blocks) - len(held))
+                tell(TOLD)
+                held, waiting = [], 0
+        i += b.num_rows
+    if held:
+        look_up(held, len(blocks) - len(held))
+    tell(1)
     return table(out, BLOCK)
 
 
@@ -992,13 +1131,24 @@ def score_part(t: pa.Table, found: list[Totals]) -> pa.Table:
     cells = [[load(c, "<u4").astype(np.int64) for c in (r["cells"][1], r["cells"][2], r["cells"][4], r["cells"][5])] for r in kept[1:]]
     keys = load(kept[1]["cells"][3], "<u8", True).astype(np.int64) if kept else np.zeros(0, np.int64)
     count = load(kept[0]["cells"][1], "<u4").astype(np.int64) if kept else None
-    out = []
+    out: list[tuple] = []
+    held: list[tuple] = []
+
+    def flush(least: int) -> None:
+        """A row for each block of the tokens held."""
+        if sum(len(x[0]) for x in held) >= least:
+            block, *columns = (np.concatenate([x[i] for x in held]) for i in range(5))
+            blocks, at = np.unique(block, return_inverse=True)
+            out.extend(sums_rows(blocks.tolist(), at, *columns))
+            held.clear()
+
     for r in rows:
         if r["kind"] != AWAY:
             continue
         at = place(own, load(r["cells"][0], "<u8", True))[load(r["cells"][1], "<u4")]
         warm, doc = load(r["cells"][2], "<u4").astype(np.int64) - 1, load(r["cells"][3], "<u4").astype(np.int64)
         p = load(r["cells"][4], "<f4").astype(np.float64).reshape(len(found), -1)
+        block = load(r["cells"][5], "<u8").astype(np.int64)[load(r["cells"][6], "<u4")]
         is_warm = warm >= 0
         key = np.where((at >= 0) & is_warm, place(keys, at << 32 | np.maximum(warm, 0)), -1)
         for k, t_k in enumerate(found):
@@ -1013,7 +1163,9 @@ def score_part(t: pa.Table, found: list[Totals]) -> pa.Table:
                 parent[is_warm] = t_k.chance(1, warm[is_warm], c1[is_warm], t1[is_warm], parent[is_warm])
             p[k] *= parent
         c = np.where(at >= 0, count[at], 0) if kept else np.zeros(len(at))
-        out.append(sums_row(r["block"], doc, at >= 0, np.log10((c + 1) / (found[0].tokens + found[0].v + 1)), np.log10(p.mean(axis=0))))
+        held.append((block, doc, at >= 0, np.log10((c + 1) / (found[0].tokens + found[0].v + 1)), np.log10(p.mean(axis=0))))
+        flush(2 * TOLD)
+    flush(1)
     return table(out, BLOCK)
 
 

@@ -6,6 +6,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +220,36 @@ def test_turns_have_the_same_scores(spark):
     model = H.train(df.filter("doc_id % 3 > 0"))
     one, three = (sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in H.score(df, model, turns=n).collect()) for n in (1, 3))
     assert one == three and len(one) == len(rows)
+
+
+def test_a_bucket_tells_each_part_once(monkeypatch):
+    """What a bucket tells the parts, and these the blocks, takes no row for each bucket, block and part."""
+    monkeypatch.setattr(H, "TOKENS", 60)
+    monkeypatch.setattr(H, "PIECE", 60)
+    texts = [t for _, t in corpus(11, 200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array([(t or "").encode() for t in texts], pa.binary())], ["id", "held", "body"])
+    none = np.zeros(0, np.uint64)
+    rows = pa.Table.from_batches(list(H.post([batch], 2, {}, none, none, 0, 1)))
+    rows = rows.filter(pc.equal(rows["kind"], H.POST))
+    found, parts = [H.Totals([np.zeros(1), none], [np.zeros(1), none], [0.5] * 3, [1.0] * 3, 0, 0, 0.5)], 3
+    told = pa.concat_tables([H.score_bucket(rows.filter(pc.equal(rows["bucket"], b)), found, parts, none) for b in (0, 1)])
+    blocks = len(set(rows["block"].to_pylist()))
+    assert blocks > 20 and len(told) == 2 * parts and set(told["kind"].to_pylist()) == {H.AWAY}
+    sums = pa.concat_tables([H.score_part(told.filter(pc.equal(told["part"], p)), found) for p in range(parts)])
+    assert blocks <= len(sums) <= parts * blocks and set(sums["kind"].to_pylist()) == {H.SUMS}
+    n = sum(len(words(t)) for t in texts)
+    assert abs(sum(H.load(c[3], "<f4").sum() for c in sums["cells"].to_pylist()) / n - math.log10(0.5)) < 1e-3
+
+
+def test_cells_have_the_places_that_numbers_need():
+    rng = np.random.default_rng(12)
+    for top in (0, 200, 60_000, 1 << 20, (1 << 32) - 1):
+        x = np.append(rng.integers(0, top + 1, 5000), top)
+        assert (H.load(H.pack(x, "<u4"), "<u4") == x).all() and (H.load(H.pack(x, "<u8", True), "<u8", True) == x).all()
+        order, head, n = H.by_three(x % 9, x % 7, x % 5, 9)
+        assert [tuple(x) for x in np.stack([x % 9, x % 7, x % 5], 1)[order].tolist()] == sorted(zip((x % 9).tolist(), (x % 7).tolist(), (x % 5).tolist(), strict=True))
+        assert n.sum() == len(x) and (order[1:] > order[:-1])[np.setdiff1d(np.arange(1, len(x)), head) - 1].all()
+    x = rng.standard_normal(100)
+    assert (H.load(H.pack(x, "<f8"), "<f8") == x).all() and not len(H.load(H.pack(np.zeros(0), "<u4"), "<u4"))
+    big = rng.integers(0, 1 << 62, 300)  # no room for places
+    assert (H.ordering(big, 1 << 62) == np.argsort(big, kind="stable")).all()
