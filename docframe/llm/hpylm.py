@@ -57,7 +57,9 @@ def pack(x: np.ndarray, kind: str, delta: bool = False) -> bytes:
     """An array's cell: differences if asked, the bytes of one place together, as many places as the numbers have, compressed."""
     x = np.ascontiguousarray(np.asarray(x).astype(kind))
     if delta:
-        x = np.diff(x, prepend=x.dtype.type(0))
+        step = x.copy()
+        step[1:] -= x[:-1]
+        x = step
     width = x.itemsize if x.dtype.kind == "f" else max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
     raw, places = x.view("u1").reshape(-1, x.itemsize), np.empty((width, len(x)), "u1")
     for k in range(width):
@@ -456,9 +458,13 @@ class Group:
     def dealt(self):
         """For each part the slots and the hot entries whose words are there."""
         warm = np.flatnonzero(self.hot1 >= 0)
-        warm_of = self.part[self.up1[warm]]
-        for p in np.unique(self.part).tolist():
-            yield p, np.flatnonzero(self.part == p), np.flatnonzero(warm_of == p), warm
+        warm_of, most = self.part[self.up1[warm]], int(self.part.max(initial=0))
+        slots, own = ordering(self.part, most), ordering(warm_of, most)
+        start, n = runs(self.part[slots])
+        found = self.part[slots[start]]
+        low, high = (np.searchsorted(warm_of[own], found, side=x) for x in ("left", "right"))
+        for p, i, n_p, a, b in zip(*(x.tolist() for x in (found, start, n, low, high)), strict=True):
+            yield p, slots[i : i + n_p], own[a:b], warm
 
     def answers(self, rows: list[dict]) -> list[np.ndarray]:
         """What the parts answered, for all slots and all hot entries."""
@@ -671,8 +677,8 @@ def part_sweep(t: pa.Table, totals: Totals) -> pa.Table:
     return table([*out, (PART, -1, part, sweep, kept, sums)])
 
 
-def bucket_sweep(t: pa.Table, totals: Totals, sweep: int, keep: bool) -> pa.Table:
-    """A bucket's next seating, and its letters; with ``keep`` the seating becomes a sample."""
+def bucket_sweep(t: pa.Table, totals: Totals, sweep: int, keep: bool, last: bool = False) -> pa.Table:
+    """A bucket's next seating, and its letters; with ``keep`` the seating becomes a sample, and is only that in the last sweep."""
     rows = t.to_pylist()
     state = next(r for r in rows if r["kind"] == STATE)
     bucket, cells = state["bucket"], state["cells"]
@@ -698,7 +704,7 @@ def bucket_sweep(t: pa.Table, totals: Totals, sweep: int, keep: bool) -> pa.Tabl
     now = [pack(t1, "<u4"), pack(t2, "<u4")]
     sent, warm_sent, prior = np.bincount(g.up1[cold], t1[cold], g.n[0]), c1[warm], p0[g.up1[warm]]
     letters = [(LETTER, bucket, p, sweep, [pack(sent[mine], "<u4"), pack(warm_sent[own], "<u4"), pack(prior[own], "<f8")], None) for p, mine, own, _ in g.dealt()]
-    return table([(STATE, bucket, -1, sweep, [*cells[:8], *now, *cells[10:], *now * keep], None), *letters])
+    return table([(STATE, bucket, -1, sweep, [*cells[:8], *([b""] * 2 if last else now), *cells[10:], *now * keep], None), *letters])
 
 
 class Bucket:
@@ -872,7 +878,7 @@ def train(docs: DataFrame, *, text: str = "text", burn_in: int = 1, samples: int
         return Totals([np.array([c0]), c1], [np.array([t0]), t1], discount, [strength] * 3, v, tokens, unknown)
 
     def seating(now: Totals, k: int, keep: bool):
-        return lean(lambda t: bucket_sweep(t, now, k, keep))
+        return lean(lambda t: bucket_sweep(t, now, k, keep, keep and k == burn_in + samples))
 
     def rooting(now: Totals):
         return lean(lambda t: part_sweep(t, now))
@@ -955,7 +961,7 @@ def post(batches, buckets: int, split: dict[int, int], hot: np.ndarray, common:
 
 
 #: Entries, and tokens for the parts, that a bucket looks up at once.
-ENTRIES, TOLD = 400_000, 400_000
+ENTRIES, TOLD = 250_000, 400_000
 
 
 def sums_rows(blocks: list[int], block: np.ndarray, doc: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> list[tuple]:
@@ -1187,7 +1193,7 @@ def sum_block(t: pa.Table, schema: pa.Schema, tokens: int) -> pa.Table:
 def score(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text", held_out: Column | None = None, turns: int | None = None) -> DataFrame:
     """``id``, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity (of a token) for every row.
 
-    Large tables are scored in two turns, by a hash of the text, so that half of the postings are on the disks at once.
+    Large tables are scored in two turns, or three, by a hash of the text, so that a part of the postings is on the disks at once.
     """
     rows = docs.select(F.col(f"`{id}`").alias("id"), (F.lit(False) if held_out is None else held_out).alias("held"), text_of(text).cast("binary").alias("body"))
     kind = rows.schema["id"].dataType
@@ -1197,7 +1203,7 @@ def score(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "tex
         counts = F.create_map(*[F.lit(x) for b, n in split.items() for x in (b, n)])
         copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.element_at(counts, F.col("bucket")), F.lit(1)) - 1))
     columns = ["kind", "bucket", "split", "part", "sweep", F.lit(-1).cast("long").alias("block"), "cells"]
-    turns = turns or (2 if buckets > 8 else 1)
+    turns = turns or (1 if buckets <= 8 else 2 if buckets <= 128 else 3)  # postings grow with the buckets, as fewer tokens share a cell
 
     def freed() -> None:  # shuffles of the last sweep, of the turn before
         gc.collect()
